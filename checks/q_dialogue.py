@@ -454,7 +454,7 @@ def _(t):
 def _(t):
     by = ["conv_id"]
     grid = C.with_grid(D.event_stream(t.utterances(), t.tokens()), t.utterances(), by, 2000)
-    out = C.assign_chunks(grid, by, 2000, n_chunks="n_chunks", split=True)
+    out = C.assign_chunks(grid, by, 2000, n_chunks="n_chunks", split=True, stats=t.tokens())
     return out.select("conv_id", "seq", "k")
 
 

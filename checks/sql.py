@@ -63,17 +63,18 @@ res AS (
            || s[turn % 5 + 1] AS ref
   FROM (SELECT *, replace(ra, 'th', 't') AS pa,
                replace(rb, 'on', 'no')
-                 || CASE WHEN (conv_id + turn) % 5 = 0 THEN 'hahahaha' ELSE '' END AS pb,
+                 || CASE WHEN (conv_id + turn) % 5 = 0 THEN 'hahahahahahahaha' ELSE '' END AS pb,
                {lit_list(SPECIALS)} AS s
         FROM pairs))"""
 
 # Scores of D3, from the text alone.
 _side = lambda c, s: (
-    f"trim(array_to_string(regexp_extract_all({c}, '<speaker_{s}>([^<]*)</speaker_{s}>', 1), ''))"
+    f"array_to_string(list_transform(regexp_extract_all({c}, '<speaker_{s}>([^<]*)</speaker_{s}>',"
+    " 1), lambda x: trim(x)), '')"
 )
 _letters = lambda c: (
     "array_to_string(list_transform(regexp_extract_all(" + c
-    + ", '<(ts|te|bc|silence|pause)>', 1), x -> CASE x WHEN 'ts' THEN 's' WHEN 'te' THEN 'e'"
+    + ", '<(ts|te|bc|silence|pause)>', 1), lambda x: CASE x WHEN 'ts' THEN 's' WHEN 'te' THEN 'e'"
     " WHEN 'bc' THEN 'b' WHEN 'silence' THEN 'l' ELSE 'p' END), '')"
 )
 
@@ -91,12 +92,12 @@ lcs AS (
   SELECT sample_id, turn_id, max(length(pick)) AS tp
   FROM (SELECT sample_id, turn_id, rl,
                array_to_string(list_transform(
-                 list_filter(range(length(pl)), i -> (mask >> CAST(i AS INTEGER)) & 1 = 1),
-                 i -> substr(pl, i + 1, 1)), '') AS pick
+                 list_filter(range(length(pl)), lambda i: (mask >> CAST(i AS INTEGER)) & 1 = 1),
+                 lambda i: substr(pl, i + 1, 1)), '') AS pick
         FROM (SELECT *, unnest(range(CAST(1 << CAST(length(pl) AS INTEGER) AS BIGINT))) AS mask
               FROM sides))
   WHERE rl LIKE '%' || array_to_string(
-          list_transform(range(length(pick)), i -> substr(pick, i + 1, 1) || '%'), '')
+          list_transform(range(length(pick)), lambda i: substr(pick, i + 1, 1) || '%'), '')
   GROUP BY 1, 2),
 cers AS (
   SELECT s.*, l.tp,
@@ -123,7 +124,7 @@ def candidate_sql(text="text", dur="(end_ms - start_ms)"):
         f"(CASE WHEN {text} IN {lex} THEN [{text}]"
         + "".join(
             f" WHEN contains({text}, '{c}') THEN list_transform("
-            f"range(length(string_split({text}, '{c}')) - 1), x -> '{c}')"
+            f"range(length(string_split({text}, '{c}')) - 1), lambda x: '{c}')"
             for c in M.REPEATABLE
         )
         + f" ELSE [{text}] END)"
@@ -137,9 +138,9 @@ def candidate_sql(text="text", dur="(end_ms - start_ms)"):
 def density_sql(toks, lex):
     n = f"length({toks})"
     return (
-        f"({n} > 0 AND length(list_filter({toks}, x -> x IN {lex})) / {n} >= 0.6"
+        f"({n} > 0 AND length(list_filter({toks}, lambda x: x IN {lex})) / {n} >= 0.6"
         f" AND length(list_distinct({toks})) / {n} <= 0.6"
-        f" AND length(list_filter({toks}, x -> length(list_filter({toks}, y -> y = x)) > 1)) / {n}"
+        f" AND length(list_filter({toks}, lambda x: length(list_filter({toks}, lambda y: y = x)) > 1)) / {n}"
         " >= 0.3)"
     )
 

@@ -101,7 +101,7 @@ class Tables:
         pa = F.replace("ra", F.lit("th"), F.lit("t"))
         pb = F.concat(
             F.replace("rb", F.lit("on"), F.lit("no")),
-            F.when((conv + turn) % 5 == 0, "hahahaha").otherwise(""),
+            F.when((conv + turn) % 5 == 0, "ha" * 8).otherwise(""),
         )
         tag = lambda s, c: F.concat(F.lit(f"<speaker_{s}>"), c, F.lit(f"</speaker_{s}>"))
         return a.join(b, ["conv_id", "turn"]).select(

@@ -9,17 +9,18 @@ from parley.operators.records import RECORD, record_span
 from parley.operators.scan import Run, running
 
 
-def assign_chunks(events, by, chunk_ms, inclusive=True, offset="offset", n_chunks=None, split=False):
+def assign_chunks(
+    events, by, chunk_ms, inclusive=True, offset="offset", n_chunks=None, split=False, **kw
+):
     """Chunk number ``k`` (from 1) in which each event is released.
 
     Events are taken in ``seq`` order and a chunk stops at the first one ending after it, so a
     late event holds back all that follow: an event counts with the largest end so far. An end on
     a chunk border belongs to the chunk before it (``inclusive``) or after it. Events past
-    ``n_chunks`` are dropped.
+    ``n_chunks`` are dropped. ``split`` is for groups of any size; records are small.
     """
-    out = running(
-        events, by, ["seq"], {"eff_end": Run("max", F.col("end_ms"))}, x="seq", split=split
-    )
+    reach = {"eff_end": Run("max", F.col("end_ms"))}
+    out = running(events, by, ["seq"], reach, x="start_ms", split=split, **kw)
     chunks = (F.col("eff_end") - F.col(offset)) / chunk_ms
     k = F.ceil(chunks) if inclusive else F.floor(chunks) + 1
     out = out.withColumn("k", F.greatest(F.lit(1), k).cast("long")).drop("eff_end")

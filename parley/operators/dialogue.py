@@ -197,6 +197,7 @@ def event_stream(utts, tokens, by=("conv_id",), split=True, parity=True, label_p
     )
     events = events.withColumn("kind_rank", _kind_rank())
     order = ["start_ms", "kind_rank", "utt_idx", "is_boundary", "tok_idx"]
+    kw["stats"] = tokens
     return positions(events, by, order, name="seq", x="start_ms", split=split, **kw).drop(
         "kind_rank", "is_boundary"
     )
@@ -221,6 +222,7 @@ def two_state_stream(utts, tokens, by=("conv_id",), split=True, **kw):
     )
     events = spoken.unionByName(boundary_events(near, two_state_boundary(), by))
     order = ["start_ms", "utt_idx", "is_boundary", "tok_idx"]
+    kw["stats"] = tokens
     return positions(events, by, order, name="seq", x="start_ms", split=split, **kw).drop(
         "is_boundary"
     )

@@ -64,9 +64,13 @@ def with_segments(df, by, x, hot):
     )
 
 
-def segment(df, by, x, hot_rows=None, seg_rows=None):
-    """(rows with ``__seg``, hot keys): lets several scans share one shuffle."""
-    hot = hot_keys(df, by, x, hot_rows, seg_rows)
+def segment(df, by, x, stats=None, hot_rows=None, seg_rows=None):
+    """(rows with ``__seg``, hot keys): lets several scans share one shuffle.
+
+    ``stats`` may be a table that is cheaper to count than ``df`` and has its keys and ``x``; it
+    need not hold the very same rows, as segments only have to be about equal.
+    """
+    hot = hot_keys(df if stats is None else stats, by, x, hot_rows, seg_rows)
     return with_segments(df, by, x, hot), hot
 
 
@@ -79,7 +83,17 @@ def _ordered(cols, reverse):
 
 
 def running(
-    df, by, order, runs, x=None, reverse=False, split=True, hot=None, hot_rows=None, seg_rows=None
+    df,
+    by,
+    order,
+    runs,
+    x=None,
+    reverse=False,
+    split=True,
+    hot=None,
+    stats=None,
+    hot_rows=None,
+    seg_rows=None,
 ):
     """Add one column per entry of ``runs`` (name -> Run), scanning ``by`` groups in ``order``.
 
@@ -94,7 +108,7 @@ def running(
 
     shared = hot is not None
     if not shared:
-        df, hot = segment(df, by, x or order[0], hot_rows, seg_rows)
+        df, hot = segment(df, by, x or order[0], stats, hot_rows, seg_rows)
     values = {f"__v{i}": r.value for i, r in enumerate(runs.values())}
     df = df.withColumns(values)
     local = W.partitionBy(*by, "__seg").orderBy(*_ordered(order, reverse))
@@ -169,7 +183,7 @@ def neighbours(
     line = F.struct("speaker", "start_ms", "end_ms")
     mate = F.struct(F.col(idx).alias("utt_idx"), "start_ms", "end_ms", "n_tokens")
     if split:
-        df, hot = segment(df, by, idx, hot_rows, seg_rows)
+        df, hot = segment(df, by, idx, None, hot_rows, seg_rows)
         data = df
         part = by + ["__seg"]
     else:

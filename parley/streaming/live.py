@@ -15,8 +15,10 @@ from parley.functions import tagged as G
 from parley.operators import dialogue as D
 
 
-def with_event_time(df, ms="end_ms", name="ts"):
-    return df.withColumn(name, F.timestamp_millis(F.col(ms)))
+def with_event_time(df, ms="end_ms", name="ts", shift_ms=1):
+    """Event time from milliseconds. A stream starts with watermark 0 and takes rows at or before
+    the watermark as late, hence the shift: time 0 has to come after it."""
+    return df.withColumn(name, F.timestamp_millis(F.col(ms) + shift_ms))
 
 
 def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=("conv_id",)):
@@ -25,16 +27,16 @@ def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=
     An event belongs to the chunk in which it ends; an end on the border counts to the earlier
     chunk.
     """
-    timed = events.withColumn("ts", F.timestamp_millis(F.greatest(F.col("end_ms") - 1, F.lit(0))))
+    timed = with_event_time(events, "end_ms", shift_ms=chunk_ms - 1)
     items = F.sort_array(F.collect_list(F.struct("seq", "kind", "speaker", "token")))
     out = (
         timed.withWatermark("ts", delay)
         .groupBy(*by, F.window("ts", f"{chunk_ms} milliseconds").alias("w"))
         .agg(items.alias("items"))
     )
-    k = F.unix_millis(F.col("w.end")) / chunk_ms
+    k = F.floor(F.unix_millis(F.col("w.end")) / chunk_ms).cast("long") - 1
     return out.select(
-        *by, k.cast("long").alias("k"), G.serialise(F.col("items"), mode).alias("text")
+        *by, F.greatest(k, F.lit(1)).alias("k"), G.serialise(F.col("items"), mode).alias("text")
     )
 
 
@@ -250,6 +252,9 @@ def score_totals(scored, window="1 hour", delay="10 minutes", ts="ts"):
         "turns",
         "edits",
         "ref_chars",
+        "tp",
+        "fp",
+        "fn",
         G.cer(F.col("edits"), F.col("ref_chars")).alias("cer"),
         f1.alias("f1"),
     )
