@@ -61,7 +61,7 @@ def _(t):
     "st_4_live_sessions",
     S.TOK,
     """
-gap AS (SELECT *, coalesce(start_ms - lag(start_ms) OVER w >= 1000, true) AS opens FROM tok
+gap AS (SELECT *, coalesce(start_ms - lag(start_ms) OVER w > 1000, true) AS opens FROM tok
         WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY start_ms, utt_idx, tok_idx)),
 ses AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY conv_id, speaker
                ORDER BY start_ms, utt_idx, tok_idx) AS n FROM gap)""",

@@ -27,7 +27,8 @@ def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=
     An event belongs to the chunk in which it ends; an end on the border counts to the earlier
     chunk.
     """
-    timed = with_event_time(events, "end_ms", shift_ms=chunk_ms - 1)
+    at = events.withColumn("__end", F.greatest(F.col("end_ms"), F.lit(1)))
+    timed = with_event_time(at, "__end", shift_ms=chunk_ms - 1)
     items = F.sort_array(F.collect_list(F.struct("seq", "kind", "speaker", "token")))
     out = (
         timed.withWatermark("ts", delay)
@@ -36,7 +37,7 @@ def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=
     )
     k = F.floor(F.unix_millis(F.col("w.end")) / chunk_ms).cast("long") - 1
     return out.select(
-        *by, F.greatest(k, F.lit(1)).alias("k"), G.serialise(F.col("items"), mode).alias("text")
+        *by, k.alias("k"), G.serialise(F.col("items"), mode).alias("text")
     )
 
 
