@@ -1,5 +1,8 @@
 """Structured Streaming forms of the chunk, utterance, tagging, label and score operators.
 
+The stateful ones hold one conversation's open lines per key. How many rows of a conversation come
+in one trigger is up to the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+
 Event time is a timestamp column ``ts`` made from the millisecond columns. All functions take and
 return (streaming) DataFrames; the caller picks sink, trigger and checkpoint folder.
 """
@@ -153,26 +156,30 @@ def tagged_utterances(utts, delay="10 seconds", idle_ms=60_000):
                 lines.append([int(row[0]), row[1], *map(int, row[2:5]), row[5], label])
         lines.sort(key=lambda r: r[0])
         idle = bool(lines) and max(r[3] for r in lines) + idle_ms < now
+        # Next line of the same and of another speaker, found from the back.
+        mates, run_of, last_of = [None] * len(lines), None, {}
+        for at in range(len(lines) - 1, -1, -1):
+            speaker = lines[at][1]
+            if at + 1 < len(lines) and lines[at + 1][1] != speaker:
+                run_of = lines[at + 1]
+            mates[at] = (last_of.get(speaker), run_of)
+            last_of[speaker] = lines[at]
         out, keep = [], []
         for at, line in enumerate(lines):
-            later = lines[at + 1 :]
-            nxt = later[0] if later else None
-            same = next((r for r in later if r[1] == line[1]), None)
-            other = next((r for r in later if r[1] != line[1]), None)
+            nxt = lines[at + 1] if at + 1 < len(lines) else None
+            same, other = mates[at]
             needs_other = line[6] not in (None, "", M.DEFAULT_LABEL)
             settled = (
                 line[3] + horizon < now
                 and nxt is not None
                 and nxt[2] < now
-                and (other is not None and other[2] < now or not needs_other)
+                and (not needs_other or (other is not None and other[2] < now))
             )
             if not keep and (settled or idle):
-                mates = [r and [r[0], r[2], r[3], r[4]] or [None] * 4 for r in (same, other)]
-                out.append(
-                    [key[0], *line, *([nxt[1], nxt[2], nxt[3]] if nxt else [None] * 3)]
-                    + mates[0]
-                    + mates[1]
-                )
+                row = [key[0], *line, *(nxt[1:4] if nxt else [None] * 3)]
+                for mate in (same, other):
+                    row += [mate[0], mate[2], mate[3], mate[4]] if mate else [None] * 4
+                out.append(row)
             else:
                 keep.append(line)
         if keep:
