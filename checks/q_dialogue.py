@@ -405,8 +405,7 @@ def _events(t, two_state=False):
     wins = R.record_windows(u, 3)
     if not two_state:
         return R.record_events(u, t.tokens(), 3), wins
-    toks = t.tokens().join(wins.select(*REC, "utt_idx"), ["conv_id", "utt_idx"])
-    return D.two_state_stream(wins, toks, REC, split=False), wins
+    return D.two_state_stream(wins, t.tokens(), REC, split=False), wins
 
 
 TWO3 = S.two_state_sql(REC)

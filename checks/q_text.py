@@ -1,5 +1,8 @@
 """Text and path functions, labelling, splits."""
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -9,6 +12,7 @@ from parley.functions import repeats as P
 from parley.functions import tagged as G
 from parley.functions import text as X
 from parley.functions import udtf
+from parley.functions.distance import edit_distance
 from parley.operators import labelling as L
 from parley.operators import utterances as U
 
@@ -426,7 +430,7 @@ def _(t):
         G.speaker_text("pred", "B").alias("p"),
         G.speaker_text("ref", "B").alias("r"),
     )
-    rows = rows.withColumn("edits", F.levenshtein("p", "r").cast("long"))
+    rows = rows.withColumn("edits", edit_distance("p", "r").cast("long"))
     return rows.select(
         "sample_id", "turn_id", "edits", G.cer(F.col("edits"), F.length("r")).alias("cer")
     )
@@ -612,3 +616,7 @@ def _(t):
     r = t.label_results()
     parts = [r.where(F.col("rank") == i).select("id", "rank", "text", "label") for i in range(4)]
     return L.union_ranks(parts)
+
+
+# Workers need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])

@@ -30,8 +30,12 @@ class Tables:
     def _stored(self, name, build):
         key = (self.spark.sparkContext.applicationId, self.sf, name)
         if key not in _WRITTEN:
-            path = scratch_dir(self.spark, name)
-            build().write.parquet(path)
+            path, table = scratch_dir(self.spark, name), build()
+            cores = self.spark.sparkContext.defaultParallelism
+            if len(self.raw("events").inputFiles()) < cores:
+                # Test-sized input in a single file: use all cores from here on.
+                table = table.repartition(cores)
+            table.write.parquet(path)
             _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
 

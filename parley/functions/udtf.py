@@ -1,7 +1,9 @@
 """Table function over tagged transcripts, for use from SQL."""
 
 import re
+import sys
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql.functions import udtf
 
 from parley.functions.tagged import SPEAKER_TAG, SPECIAL
@@ -32,3 +34,7 @@ class TaggedEvents:
 def register(spark):
     """Register ``tagged_events`` in the session."""
     spark.udtf.register("tagged_events", TaggedEvents)
+
+
+# Workers need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])

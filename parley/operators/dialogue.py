@@ -135,6 +135,13 @@ def annotate(utts, by=("conv_id",), split=True, turn_ending=True, parity=False,
     return out.withColumns(flags).drop("prev", "next", "next_is_last", "next_same", "next_other")
 
 
+def _with_lines(tokens, utts, by, idx, *cols):
+    """Tokens joined to their lines; a window id that tokens lack comes from the lines."""
+    key = list(by) + [idx]
+    on = [c for c in key if c in tokens.columns]
+    return tokens.drop("speaker").join(utts.select(*key, "speaker", *cols), on)
+
+
 def token_events(utts, tokens, by=("conv_id",), idx="utt_idx"):
     """Events of the tokens of utterances with ``cut_ms``.
 
@@ -142,15 +149,12 @@ def token_events(utts, tokens, by=("conv_id",), idx="utt_idx"):
     overlap event at the cut, the rest is dropped.
     """
     key = list(by) + [idx]
-    joined = tokens.drop("speaker").join(utts.select(*key, "speaker", "cut_ms"), key)
-    late = F.col("end_ms") > F.col("cut_ms")
-    order = W.partitionBy(*key).orderBy("start_ms", "tok_idx")
-    first_late = F.min(F.when(late, F.col("__rank"))).over(W.partitionBy(*key))
-    joined = joined.withColumn("__rank", F.row_number().over(order)).withColumn(
-        "__late", first_late
-    )
-    cut = _false(F.col("__rank") == F.col("__late"))
-    return joined.where(F.col("__late").isNull() | (F.col("__rank") <= F.col("__late"))).select(
+    before = W.partitionBy(*key).orderBy("start_ms", "tok_idx").rowsBetween(W.unboundedPreceding, -1)
+    late = _false(F.col("end_ms") > F.col("cut_ms"))
+    joined = _with_lines(tokens, utts, by, idx, "cut_ms").withColumn("__late", late)
+    joined = joined.withColumn("__past", _false(F.max("__late").over(before)))
+    cut = F.col("__late")
+    return joined.where(~F.col("__past")).select(
         *key,
         F.lit(0).alias("is_boundary"),
         F.col("tok_idx").cast("long").alias("tok_idx"),
@@ -206,10 +210,7 @@ def event_stream(utts, tokens, by=("conv_id",), split=True, parity=True, label_p
 def two_state_stream(utts, tokens, by=("conv_id",), split=True, **kw):
     """Every token, and ``ts`` or ``te`` after every utterance; ordered by start alone."""
     near = neighbours(utts, by, split=split, **kw)
-    spoken = tokens.drop("speaker").join(
-        utts.select(*by, "utt_idx", "speaker"), list(by) + ["utt_idx"]
-    )
-    spoken = spoken.select(
+    spoken = _with_lines(tokens, utts, by, "utt_idx").select(
         *by,
         "utt_idx",
         F.lit(0).alias("is_boundary"),

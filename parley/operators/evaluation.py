@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parley import model as M
 from parley.functions import repeats as R
 from parley.functions import tagged as G
+from parley.functions.distance import edit_distance
 from parley.functions.text import truncate_text
 
 SCOPES = {"overall": [], "file": ["file"], "rank": ["rank"]}
@@ -30,7 +31,7 @@ def score_cer(df):
     out = out.withColumns(
         {
             **{
-                f"edits_{s}": F.levenshtein(F.col(f"__pred_{s}"), F.col(f"__ref_{s}"))
+                f"edits_{s}": edit_distance(f"__pred_{s}", f"__ref_{s}")
                 for s in M.SPEAKERS
             },
             **{f"ref_chars_{s}": F.length(f"__ref_{s}") for s in M.SPEAKERS},
@@ -243,13 +244,13 @@ def joined_rounds(rounds, by=("sample_idx",), idx="chunk_idx"):
 def round_cer(rounds, by=("sample_idx",), idx="chunk_idx"):
     """Mean error rate of the rounds that have a reference, and that of the joined sample."""
     per_round = F.when(
-        F.col("ref") != "", G.cer(F.levenshtein("ref", "pred"), F.length("ref"))
+        F.col("ref") != "", G.cer(edit_distance("ref", "pred"), F.length("ref"))
     )
     means = rounds.groupBy(*by).agg(
         F.avg(per_round).alias("mean_round_cer"), F.count(per_round).alias("scored_rounds")
     )
     whole = joined_rounds(rounds, by, idx).select(
-        *by, G.cer(F.levenshtein("ref", "pred"), F.length("ref")).alias("sample_cer")
+        *by, G.cer(edit_distance("ref", "pred"), F.length("ref")).alias("sample_cer")
     )
     return means.join(whole, list(by))
 

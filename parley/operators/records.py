@@ -57,9 +57,8 @@ def context_windows(df, n=1, by=RECORD, other_channel=True):
 def record_events(utts, tokens, length, overlap=False, parity=True, label_parity=False):
     """Event streams of all record windows; lines outside a window are not seen."""
     wins = record_windows(utts, length, overlap)
-    toks = tokens.join(wins.select("conv_id", "win_id", "utt_idx"), ["conv_id", "utt_idx"])
     return D.event_stream(
-        wins, toks, RECORD, split=False, parity=parity, label_parity=label_parity
+        wins, tokens, RECORD, split=False, parity=parity, label_parity=label_parity
     )
 
 

@@ -8,8 +8,10 @@ return (streaming) DataFrames; the caller picks sink, trigger and checkpoint fol
 """
 
 import json
+import sys
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -139,6 +141,7 @@ def tagged_utterances(utts, delay="10 seconds", idle_ms=60_000):
     nothing was said in the conversation for ``idle_ms``. The stateful step only finds the
     neighbours; the rules are the batch ones.
     """
+    default = M.DEFAULT_LABEL
     horizon = max(M.SWITCH_GAP, M.RESUME_WINDOW, M.SILENCE_THRESHOLD)
     schema = (
         "conv_id long, utt_idx long, speaker string, start_ms long, end_ms long, n_tokens long, "
@@ -168,7 +171,7 @@ def tagged_utterances(utts, delay="10 seconds", idle_ms=60_000):
         for at, line in enumerate(lines):
             nxt = lines[at + 1] if at + 1 < len(lines) else None
             same, other = mates[at]
-            needs_other = line[6] not in (None, "", M.DEFAULT_LABEL)
+            needs_other = line[6] not in (None, "", default)
             settled = (
                 line[3] + horizon < now
                 and nxt is not None
@@ -280,3 +283,7 @@ def run_to_files(stream, path, checkpoint, mode="append"):
     )
     query.awaitTermination()
     return path
+
+
+# Workers need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])

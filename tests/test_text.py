@@ -8,6 +8,7 @@ from parley.functions import repeats as P
 from parley.functions import tagged as G
 from parley.functions import text as X
 from parley.functions import udtf
+from parley.functions.distance import bit_distance, edit_distance
 from parley.operators import evaluation as E
 from tests import model as R
 
@@ -24,6 +25,26 @@ def test_squeeze_takes_the_best_unit(text, least, longest):
     assert P.squeeze(text, least, longest) == R.squeeze(text, least, longest)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abé", max_size=90), st.text(alphabet="abé", max_size=90))
+def test_bit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        old, row[0] = row[:], i + 1
+        for j, y in enumerate(b):
+            row[j + 1] = min(old[j + 1] + 1, row[j] + 1, old[j] + (x != y))
+    assert bit_distance(a, b) == row[-1]
+
+
+def test_edit_distance_over_the_size_limit(spark):
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
+    rows = [(word(n), word(m)) for n, m in [(0, 0), (3, 4), (90, 90), (150, 120), (400, 900), (0, 9)]]
+    df = spark.createDataFrame(rows + [(None, "a")], "a string, b string")
+    out = df.select(edit_distance("a", "b").alias("x"), F.levenshtein("a", "b").alias("y")).collect()
+    assert all(r.x == r.y for r in out) and len(out) == 7
+
+
 def test_squeeze_examples():
     assert P.squeeze("aababab") == "aab"
     assert P.squeeze("aaaaaa") == "a"  # one-character unit on equal savings
