@@ -452,8 +452,10 @@ def _(t):
 )
 def _(t):
     by = ["conv_id"]
-    grid = C.with_grid(D.event_stream(t.utterances(), t.tokens()), t.utterances(), by, 2000)
-    out = C.assign_chunks(grid, by, 2000, n_chunks="n_chunks", split=True, stats=t.tokens())
+    toks = t.tokens()
+    events = D.event_stream(t.utterances(), toks)
+    grid = C.with_grid(events, t.utterances(), by, 2000, split=True, stats=toks)
+    out = C.assign_chunks(grid, by, 2000, n_chunks="n_chunks", split=True, stats=toks)
     return out.select("conv_id", "seq", "k")
 
 

@@ -13,7 +13,6 @@ from parley.operators import evaluation as E
 from parley.streaming import live
 
 FAR_MS = 10_000_000_000
-FAR = F.lit(FAR_MS).cast("long")
 
 
 def _stream(t, name, df, tail=None):
@@ -160,7 +159,7 @@ def _(t):
     timed = live.with_event_time(E.score(stream), "sample_id", shift_ms=10)
     out = _run(t, "live_scores", live.score_totals(timed, "10 milliseconds", "1 seconds"))
     part = F.unix_millis("window_start") - 10
-    return out.where(part < FAR - 10).select(
+    return out.where(part < FAR_MS - 10).select(
         F.floor(part / 10).cast("long").alias("part"),
         "rank",
         "turns",

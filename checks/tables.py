@@ -36,8 +36,9 @@ class Tables:
                 # Test-sized input in a single file: use all cores from here on.
                 table = table.repartition(cores)
             table.write.parquet(path)
-            _WRITTEN[key] = path
-        return self.spark.read.parquet(_WRITTEN[key])
+            _WRITTEN[key] = path, table.schema
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def path(self, name):
         return scratch_dir(self.spark, name)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions.text import char_array, strip
+from parley.operators.lookup import lookup_join
 from parley.operators.scan import Run, running
 
 NO_SPACES = ("ja", "zh")
@@ -16,7 +17,7 @@ def clip_plan(utts, manifest, sample_rate, on="path"):
     """Sample range of each clip, clamped to the audio; an empty clip gets one sample."""
     lo = F.greatest(F.col("start_ms"), F.lit(0))
     hi = F.least(F.col("end_ms"), F.col("duration_ms"))
-    out = utts.join(manifest.select(on, "duration_ms"), on).withColumns({"__lo": lo, "__hi": hi})
+    out = lookup_join(utts, manifest.select(on, "duration_ms"), on).withColumns({"__lo": lo, "__hi": hi})
 
     def sample(ms):
         return F.bround(ms * sample_rate / 1000).cast("long")
@@ -32,12 +33,12 @@ def with_audio(segments, manifest, on="path"):
     """(segments whose audio exists, paths without audio)."""
     have = manifest.select(on).distinct()
     wanted = segments.select(on).distinct()
-    return segments.join(have, on, "left_semi"), wanted.join(have, on, "left_anti")
+    return lookup_join(segments, have, on, "left_semi"), wanted.join(have, on, "left_anti")
 
 
 def flag_alignable(segments, manifest, on="path"):
     """Why a segment cannot be aligned (``no_text``, ``past_end``), or ``ok``."""
-    out = segments.join(manifest.select(on, "duration_ms"), on, "left")
+    out = lookup_join(segments, manifest.select(on, "duration_ms"), on, "left")
     return out.withColumn(
         "alignable",
         F.when(strip("text") == "", "no_text")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parley import model as M
 from parley.functions import tagged as G
+from parley.operators.lookup import lookup_join
 from parley.operators.records import RECORD, record_span
 from parley.operators.scan import Run, running
 
@@ -27,8 +28,11 @@ def assign_chunks(
     return out if n_chunks is None else out.where(F.col("k") <= F.col(n_chunks))
 
 
-def with_grid(events, utts, by, chunk_ms):
-    """Events with the start (``offset``) and number of chunks of their record."""
+def with_grid(events, utts, by, chunk_ms, split=False, **kw):
+    """Events with the start (``offset``) and number of chunks of their record.
+
+    ``split`` is for groups of any size; records are small.
+    """
     span = record_span(utts, by).select(
         *by,
         F.col("span_start").alias("offset"),
@@ -36,7 +40,7 @@ def with_grid(events, utts, by, chunk_ms):
         .cast("long")
         .alias("n_chunks"),
     )
-    return events.join(span, list(by))
+    return lookup_join(events, span, by, **kw) if split else events.join(span, list(by))
 
 
 def chunk_text(events, by, mode="full"):
