@@ -8,8 +8,13 @@ from parley.functions import text as X
 from parley.operators import chunks as C
 from parley.operators import dialogue as D
 from parley.operators import records as R
-from parley.operators.scan import neighbours
-from parley.operators.utterances import group_into_utterances, utterances_from_tokens
+from parley.operators.scan import neighbours, positions
+from parley.operators.utterances import (
+    group_into_utterances,
+    pair_channels,
+    split_channel,
+    utterances_from_tokens,
+)
 
 REC = ("conv_id", "win_id")
 NEAR = S.near_sql()
@@ -614,8 +619,6 @@ win AS (
 )
 def _(t):
     u = t.utterances().where("speaker = 'A'").withColumnRenamed("utt_idx", "old_idx")
-    from parley.operators.scan import positions
-
     u = positions(u, ["conv_id"], ["old_idx"], name="utt_idx")
     toks = t.tokens().withColumnRenamed("utt_idx", "old_idx")
     toks = toks.join(u.select("conv_id", "old_idx", "utt_idx"), ["conv_id", "old_idx"])
@@ -643,8 +646,6 @@ SELECT conv_id, i AS chunk_idx, s AS start_ms, e AS end_ms,
 FROM h""",
 )
 def _(t):
-    from parley.operators.utterances import pair_channels, split_channel
-
     pairs, _u = pair_channels(split_channel(t.manifest().drop("channel")))
     out = C.chunk_plan(pairs, 3000, 1000)
     return out.select(
