@@ -9,7 +9,7 @@ stay in one segment and need no carry.
 ``x`` names a numeric column that never decreases along ``order``; segments are ranges of it.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ class Run:
     kind: str
     value: Column
     inclusive: bool = True
+    reverse: bool = False
 
 
 def hot_keys(df, by, x, hot_rows=None, seg_rows=None):
@@ -102,20 +103,24 @@ def running(
     ``hot`` from ``segment`` the rows carry ``__seg`` already and keep it.
     """
     by, order = list(by), list(order)
+    if reverse:
+        runs = {n: replace(r, reverse=not r.reverse) for n, r in runs.items()}
+
+    def window(part, cols, run):
+        return W.partitionBy(*part).orderBy(*_ordered(cols, run.reverse))
+
     if not split:
-        local = W.partitionBy(*by).orderBy(*_ordered(order, reverse))
-        return df.withColumns({n: _local(r, local) for n, r in runs.items()})
+        return df.withColumns({n: _local(r, window(by, order, r)) for n, r in runs.items()})
 
     shared = hot is not None
     if not shared:
         df, hot = segment(df, by, x or order[0], stats, hot_rows, seg_rows)
     values = {f"__v{i}": r.value for i, r in enumerate(runs.values())}
     df = df.withColumns(values)
-    local = W.partitionBy(*by, "__seg").orderBy(*_ordered(order, reverse))
-    across = W.partitionBy(*by).orderBy(*_ordered(["__seg"], reverse)).rowsBetween(UNB, -1)
     parts, carried = [], []
     for i, run in enumerate(runs.values()):
         value = F.col(f"__v{i}")
+        across = window(by, ["__seg"], run).rowsBetween(UNB, -1)
         if run.kind == "sum":
             parts.append(F.sum(value).alias(f"__s{i}"))
             carried.append(F.sum(f"__s{i}").over(across).alias(f"__c{i}"))
@@ -124,7 +129,7 @@ def running(
             carried.append(F.max(f"__s{i}").over(across).alias(f"__c{i}"))
         else:
             key = F.when(value.isNotNull(), F.struct(*order))
-            pick = F.min_by if reverse else F.max_by
+            pick = F.min_by if run.reverse else F.max_by
             parts.append(pick(value, key).alias(f"__s{i}"))
             carried.append(F.last(f"__s{i}", True).over(across).alias(f"__c{i}"))
     carry = (
@@ -135,7 +140,7 @@ def running(
     )
     out = df.withColumns(
         {
-            n: _local(Run(r.kind, F.col(f"__v{i}"), r.inclusive), local)
+            n: _local(replace(r, value=F.col(f"__v{i}")), window(by + ["__seg"], order, r))
             for i, (n, r) in enumerate(runs.items())
         }
     )
