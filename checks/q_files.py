@@ -14,10 +14,7 @@ from parley.sources import readers, sinks
 
 def _lines_dir(t, name, df, partition_by="conv_id"):
     """One folder of text lines per conversation, in line order."""
-    path = t.path(name)
-    rows = df.repartition(F.col(partition_by)).sortWithinPartitions(partition_by, "ord")
-    rows.select(partition_by, "value").write.partitionBy(partition_by).text(path)
-    return path
+    return sinks.write_lines(df, t.path(name), partition_by, ["ord"])
 
 
 def _aligned(t, footer=True):
@@ -240,8 +237,8 @@ SELECT CASE WHEN ((conv_id % 1000003) * 2654435761 + 42) // 65536 % 100 < 80
 FROM wins GROUP BY 1, 2""",
 )
 def _(t):
-    rows = L.train_test_split(_record_lines(t)).select("split", "value")
-    path = sinks.write_lines(rows, t.path("split_records"), "split")
+    rows = L.train_test_split(R.dialogue_records(t.utterances(), t.tokens(), 3))
+    path = sinks.write_records(rows, t.path("split_records"), "split")
     out = readers.records_of(readers.record_texts(t.spark, path))
     split = F.regexp_extract("file", "split=([a-z]+)", 1)
     return out.groupBy(split.alias("split"), "id").agg(F.count(F.lit(1)).alias("n"))
