@@ -28,7 +28,11 @@ def record_windows(df, length, overlap=False, by=("conv_id",), idx="utt_idx", co
         out = df.withColumn("win_id", F.floor(at / length).cast("long"))
     if not complete:
         return out
-    size = F.count(F.lit(1)).over(W.partitionBy(*by, "win_id"))
+    # Ordered although a count needs no order: the sort then serves the windows that follow.
+    whole = W.partitionBy(*by, "win_id").orderBy(idx)
+    size = F.count(F.lit(1)).over(
+        whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    )
     return out.withColumn("__size", size).where(F.col("__size") == length).drop("__size")
 
 

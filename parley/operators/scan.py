@@ -204,7 +204,14 @@ def neighbours(
         }
     )
     turn = F.col("prev.speaker") != F.col("speaker")
-    data = data.withColumn("next_other", F.last(F.when(turn, mate), True).over(back))
+    if split:
+        other = F.last(F.when(turn, mate), True).over(back)
+    else:
+        # Work grows with the square of the group, which is a few lines here; saves a sort.
+        other = F.first(F.when(turn, mate), True).over(
+            ahead.rowsBetween(1, W.unboundedFollowing)
+        )
+    data = data.withColumn("next_other", other)
     data = data.withColumn("next_same", F.lead(mate).over(own))
     if not split:
         return data.withColumn(
