@@ -44,6 +44,26 @@ def texts_of(column):
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
 
+def tree_merge(parts, merge, by=(), fan=64):
+    """Merge rows of task summaries, at most ``fan`` tasks' rows in one call, until one is left.
+
+    ``parts`` has an int column ``_task``. ``merge`` takes a pandas frame of a group's rows (equal
+    values of ``by``) and returns one with the same columns but ``_task``.
+    """
+    names = parts.columns
+    parts = materialise(parts, "merge")
+    tasks = (parts.agg(F.max("_task")).first()[0] or 0) + 1
+    while True:
+        tasks = -(-tasks // fan)
+        step = parts.withColumn("_task", F.floor(F.col("_task") / fan).cast("int"))
+        out = step.groupBy("_task", *by).applyInPandas(
+            lambda key, frame: merge(frame).assign(_task=key[0])[names], parts.schema
+        )
+        parts = materialise(out, "merge")
+        if tasks <= 1:
+            return parts.drop("_task")
+
+
 def running_offset(counts, group, order):
     """Exclusive running sum of ``n`` within ``group``, along ``order``, as ``before``."""
     from pyspark.sql import Window

@@ -10,7 +10,7 @@ are broadcast: their rows leave the data map-side. All other digests go through
 import pandas as pd
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialise, spread
+from parley.llm.common import materialise, spread, tree_merge
 
 COUNTERS = 2048
 
@@ -48,18 +48,8 @@ def heavy_digests(digests, counters=COUNTERS):
             total = reduced(total, counters)
         return pd.DataFrame({"digest": list(total), "n": list(total.values())}, columns=["digest", "n"])
 
-    schema, tasks = "digest string, n long", digests.rdd.getNumPartitions()
-    part = digests.select("digest").mapInPandas(summaries, schema)
-    part = materialise(part.withColumn("_task", F.spark_partition_id()), "heavy")
-    while True:
-        step = part.withColumn("_task", F.floor(F.col("_task") / 64).cast("int"))
-        out = step.groupBy("_task").applyInPandas(
-            lambda key, frame: merged(frame).assign(_task=key[0]), schema + ", _task int"
-        )
-        tasks = -(-tasks // 64)
-        if tasks <= 1:
-            return out.select("digest")
-        part = materialise(out, "heavy")
+    part = digests.select("digest").mapInPandas(summaries, "digest string, n long")
+    return tree_merge(part.withColumn("_task", F.spark_partition_id()), merged).select("digest")
 
 
 def winners(digests):
@@ -71,7 +61,7 @@ def winners(digests):
 
 def verified(digests, counters=COUNTERS):
     """Exact winners of the heavy digests with over one copy: at most ``counters`` rows."""
-    heavy = materialise(heavy_digests(digests, counters), "heavy")
+    heavy = heavy_digests(digests, counters)
     rows = digests.join(F.broadcast(heavy), "digest", "left_semi")
     return materialise(winners(rows).filter("group_size > 1"), "heavy")
 

@@ -1,6 +1,6 @@
 """The queries of this package: each applies one operator to a whole table."""
 
-from parley.llm import archives, exactdedup, packing, sharding, treebpe
+from parley.llm import archives, exactdedup, jaccard, maintext, packing, sharding, toxicity, treebpe
 
 VOCAB = "word_bpe_49k.json"
 
@@ -20,7 +20,10 @@ QUERIES = {
     "op1_rendezvous_sharding": lambda s, d: sharding.documents_query(table(s, d, "documents")),
     "op2_arc_to_warc": lambda s, d: archives.pages_query(table(s, d, "pages")),
     "op3_complement_packing": lambda s, d: packing.documents_query(table(s, d, "documents"), vocab_path()),
+    "op4_main_text": lambda s, d: maintext.pages_query(table(s, d, "pages")),
     "op5_exact_dedup": lambda s, d: exactdedup.documents_query(table(s, d, "documents")),
+    "op6_toxicity": lambda s, d: toxicity.documents_query(table(s, d, "documents"), table(s, d, "labels")),
     "op8_tree_bpe": lambda s, d: treebpe.documents_query(table(s, d, "documents"), vocab_path()),
+    "op9_ngram_jaccard_join": lambda s, d: jaccard.documents_query(table(s, d, "documents")),
 }
 ORACLES = {}
