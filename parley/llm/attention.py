@@ -266,9 +266,13 @@ class Adam:
         return loss
 
 
-def train(weights, windows, rate, batch=64, seed=0):
-    """One pass over windows of numbers, shape (n, SPAN + 1), from copies of the weights."""
+def train(weights, windows, rate, steps=200, seed=0):
+    """One pass over windows of numbers, shape (n, SPAN + 1), from copies of the weights.
+
+    A pass has about ``steps`` steps, of 16 to 256 windows each.
+    """
     adam = Adam({k: v.copy() for k, v in weights.items()}, rate)
+    batch = min(max(len(windows) // steps, 16), 256)
     order = np.random.default_rng(seed).permutation(len(windows))
     for at in range(0, len(order), batch):
         some = windows[order[at : at + batch]]

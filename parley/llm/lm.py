@@ -27,8 +27,8 @@ from parley.llm.shingles import in_chunks, mix, word_hashes
 END_ID = 49407
 END_WORD = 0x5D1E_57A9_0C3B_F7E1  # the hash that stands for the end of a text
 HEAVY = 1 << 17
-SLICE_BYTES = 120
-SLICE_EVERY = 8192
+SLICE_BYTES = 320
+SLICE_EVERY = 6144
 FLUSH_WORDS = 6_000_000
 RATES = (0.04, 0.015)
 LN10 = float(np.log(10))
