@@ -1,6 +1,6 @@
 """The queries of this package: each applies one operator to a whole table."""
 
-from parley.llm import archives, exactdedup, jaccard, lm, maintext, packing, sharding, toxicity, treebpe
+from parley.llm import archives, exactdedup, innerproduct, jaccard, lm, maintext, packing, sharding, toxicity, treebpe
 
 VOCAB = "word_bpe_49k.json"
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op4_main_text": lambda s, d: maintext.pages_query(table(s, d, "pages")),
     "op5_exact_dedup": lambda s, d: exactdedup.documents_query(table(s, d, "documents")),
     "op6_toxicity": lambda s, d: toxicity.documents_query(table(s, d, "documents"), table(s, d, "labels")),
+    "op7_norm_sorted_topk": lambda s, d: innerproduct.embeddings_query(table(s, d, "embeddings")),
     "op8_tree_bpe": lambda s, d: treebpe.documents_query(table(s, d, "documents"), vocab_path()),
     "op9_ngram_jaccard_join": lambda s, d: jaccard.documents_query(table(s, d, "documents")),
     "op10_attention_lm": lambda s, d: lm.documents_query(table(s, d, "documents"), vocab_path()),
