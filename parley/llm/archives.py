@@ -220,7 +220,7 @@ def index_arc(manifest):
                         _, payload, headers = http_parts(block)
                         key = headers.get(KEY_HEADER.lower())
                         rows.append((file, number, key, fields["URL"], fields["Archive-date"], len(payload), digest(payload)))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")], dtype=object)
 
     return by_file(manifest).mapInPandas(run, INDEX)
 
@@ -366,7 +366,7 @@ def index_warc(manifest):
                                 headers.get("warc-refers-to"),
                             )
                         )
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in WARC_ROWS.split(", ")])
+                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in WARC_ROWS.split(", ")], dtype=object)
                 frame["payload_bytes"] = frame["payload_bytes"].astype("Int64")
                 yield frame
 

@@ -7,6 +7,7 @@ winners are then computed with map-side combining, and the verified ones, at mos
 are broadcast: their rows leave the data map-side. All other digests go through an ordinary shuffle.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ def reduced(held, counters):
     return {k: n - cut for k, n in held.items() if n > cut}
 
 
+def _frame(held):
+    return pd.DataFrame({"digest": np.array(list(held), object), "n": np.array(list(held.values()), np.int64)})
+
+
 def heavy_digests(digests, counters=COUNTERS):
     """At most ``counters`` digests, among them all with over rows / (counters + 1) copies.
 
@@ -40,13 +45,13 @@ def heavy_digests(digests, counters=COUNTERS):
 
     def summaries(frames):
         held = misra_gries((f["digest"].value_counts().to_dict() for f in frames), counters)
-        yield pd.DataFrame({"digest": list(held), "n": list(held.values())}, columns=["digest", "n"])
+        yield _frame(held)
 
     def merged(frame):
         total = frame.groupby("digest")["n"].sum().to_dict()
         if len(total) > counters:
             total = reduced(total, counters)
-        return pd.DataFrame({"digest": list(total), "n": list(total.values())}, columns=["digest", "n"])
+        return _frame(total)
 
     part = digests.select("digest").mapInPandas(summaries, "digest string, n long")
     return tree_merge(part.withColumn("_task", F.spark_partition_id()), merged).select("digest")
