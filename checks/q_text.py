@@ -453,17 +453,31 @@ def _(t):
     return rows.select("sample_id", "turn_id", G.lcs_length("p", "r").alias("lcs"))
 
 
+# Units that compete for the same place, and what is left of them.
+COMPETING = {
+    "aababab#": "aab#",
+    "aaabaaabaaab#": "aaab#",
+    "abababababab#": "ab#",
+    "aaaaaa#": "a#",
+    "xyyyxyyyxyyy#": "xyyy#",
+}
+
+
 @query(
     "tx_13_collapse_repeats",
     S.UTT,
-    select="""
-SELECT conv_id, utt_idx, CASE WHEN event_id % 3 = 2 THEN text || 'x' || text ELSE text END AS text
-FROM utt""",
+    select=f"""
+SELECT conv_id, utt_idx, CASE event_id % 8 WHEN 0 THEN text WHEN 1 THEN text
+       WHEN 2 THEN text || 'x' || text
+       {" ".join(f"WHEN {k + 3} THEN '{v}' || text" for k, v in enumerate(COMPETING.values()))}
+       END AS text FROM utt""",
 )
 def _(t):
-    n, text = F.col("event_id") % 3, F.col("text")
+    n, text = F.col("event_id") % 8, F.col("text")
     out = F.when(n == 0, F.repeat(text, 3)).when(n == 1, F.repeat(text, 5))
-    out = out.otherwise(F.concat(text, F.lit("x"), text))
+    out = out.when(n == 2, F.concat(text, F.lit("x"), text))
+    for k, given in enumerate(COMPETING):
+        out = out.when(n == k + 3, F.concat(F.lit(given), text))
     return t.utterances().select("conv_id", "utt_idx", P.collapse_repeats(out).alias("text"))
 
 
@@ -482,23 +496,42 @@ def _(t):
     return t.utterances().select("conv_id", "utt_idx", P.collapse_phrases(out).alias("text"))
 
 
-@query("tx_15_clean_prediction")
-def _(t):
-    return prepare(t.results()).select(
-        "sample_id", "turn_id", "pred", "cleanup_changed", "chars_before", "chars_after"
+def _tagged(text):
+    """Predictions with repeated units, phrases and event tokens; only the last are to stay."""
+    return F.concat(
+        F.lit("<speaker_A>"),
+        F.repeat(text, 4),
+        F.lit("</speaker_A><ts><ts><ts><speaker_B>"),
+        F.concat_ws("、", text, text, F.concat(F.lit(" "), text), F.lit("終")),
+        F.lit("</speaker_B><te>"),
     )
 
 
+CLEANED = """'<speaker_A>' || text || '</speaker_A><ts><ts><ts><speaker_B>' || text || '、終</speaker_B><te>'"""
+
+
 @query(
-    "ud_2_repeat_cleanup",
-    S.RES,
-    select="""
-SELECT sample_id, turn_id, CASE WHEN length(regexp_extract(pred, '((ha)+)</speaker_B>', 1)) >= 16
-       THEN regexp_replace(pred, '(ha)+</speaker_B>', 'ha</speaker_B>') ELSE pred END AS pred FROM res""",
+    "tx_15_clean_prediction",
+    S.UTT,
+    select=f"""
+SELECT conv_id, utt_idx, CASE WHEN event_id % 2 = 0 THEN {CLEANED} ELSE text END AS pred,
+       event_id % 2 = 0 AS cleanup_changed,
+       CAST(length(text) * CASE WHEN event_id % 2 = 0 THEN 7 ELSE 1 END
+            + CASE WHEN event_id % 2 = 0 THEN length({CLEANED}) - 2 * length(text) + 3 ELSE 0 END
+            AS INTEGER) AS chars_before
+FROM utt""",
 )
 def _(t):
-    # Eight copies: no text holds them but the run at the end that the oracle looks for.
-    return prepare(t.results(), min_repeats=8).select("sample_id", "turn_id", "pred")
+    text = F.col("text")
+    pred = F.when(F.col("event_id") % 2 == 0, _tagged(text)).otherwise(text)
+    rows = t.utterances().select("conv_id", "utt_idx", pred.alias("pred"))
+    return prepare(rows).select("conv_id", "utt_idx", "pred", "cleanup_changed", "chars_before")
+
+
+@query("ud_2_repeat_cleanup", S.UTT, select=f"SELECT conv_id, utt_idx, {CLEANED} AS pred FROM utt")
+def _(t):
+    rows = t.utterances().select("conv_id", "utt_idx", _tagged(F.col("text")).alias("pred"))
+    return prepare(rows).select("conv_id", "utt_idx", "pred")
 
 
 # --- labelling --------------------------------------------------------------------------------

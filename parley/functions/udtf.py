@@ -1,40 +1,24 @@
 """Table function over tagged transcripts, for use from SQL."""
 
-import re
-import sys
-
-from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql.functions import udtf
-
 from parley.functions.tagged import SPEAKER_TAG, SPECIAL
+from parley.functions.text import EDGE_SPACE
 
-
-@udtf(returnType="pos int, kind string, speaker string, value string")
-class TaggedEvents:
-    """``SELECT * FROM t, LATERAL tagged_events(t.text)``"""
-
-    def __init__(self):
-        self.cut = re.compile(f"({SPEAKER_TAG}|{SPECIAL})")
-
-    def eval(self, text: str):
-        speaker, pos = None, 0
-        for piece in self.cut.split(text or ""):
-            if piece.startswith("<speaker_") and self.cut.fullmatch(piece):
-                speaker = piece[1:-1]
-            elif piece.startswith("</") and self.cut.fullmatch(piece):
-                speaker = None
-            elif self.cut.fullmatch(piece):
-                yield pos, "special", None, piece
-                pos += 1
-            elif piece.strip():
-                yield pos, "text", speaker, piece.strip()
-                pos += 1
+#: ``tagged.parse_events`` as SQL: pieces that start at a speaker tag, each cut at its event tokens.
+_EVENTS = f"""
+flatten(transform(split(tagged, r'(?={SPEAKER_TAG})'), run -> filter(transform(
+  split(regexp_replace(run, r'^{SPEAKER_TAG}', ''), r'(?<={SPECIAL})|(?={SPECIAL})'),
+  piece -> CASE WHEN piece RLIKE r'^{SPECIAL}$'
+    THEN named_struct('kind', 'special', 'speaker', CAST(NULL AS STRING), 'value', piece)
+    ELSE named_struct('kind', 'text', 'speaker', nullif(regexp_extract(run, r'^<(speaker_[AB])>', 1), ''),
+                      'value', regexp_replace(piece, r'{EDGE_SPACE}', '')) END),
+  event -> event.value <> '')))"""
 
 
 def register(spark):
-    """Register ``tagged_events`` in the session."""
-    spark.udtf.register("tagged_events", TaggedEvents)
-
-
-# Workers need not have this package installed.
-register_pickle_by_value(sys.modules[__name__])
+    """Register ``tagged_events``: ``SELECT * FROM t, LATERAL tagged_events(t.text)``."""
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION tagged_events(tagged STRING)
+        RETURNS TABLE (pos INT, kind STRING, speaker STRING, value STRING)
+        RETURN SELECT at, event.kind, event.speaker, event.value
+        FROM (SELECT posexplode({_EVENTS}) AS (at, event))"""
+    )

@@ -13,8 +13,9 @@ SCOPES = {"overall": [], "file": ["file"], "rank": ["rank"]}
 
 def prepare(results, cleanup=True, **options):
     """Predictions with repeats removed, the raw ones kept beside them."""
-    cleaned = R.clean_prediction("pred", **options) if cleanup else F.col("pred")
-    out = results.withColumn("pred_raw", F.col("pred")).withColumn("pred", cleaned)
+    out = results.withColumn("pred_raw", F.col("pred"))
+    if cleanup:
+        out = R.clean_prediction(out, "pred", **options)
     return out.withColumns(
         {
             "cleanup_changed": F.col("pred") != F.col("pred_raw"),

@@ -54,21 +54,32 @@ def test_squeeze_examples():
     assert P.squeeze("aaa", keep=3) == "aaa"
 
 
-def test_squeeze_phrases():
-    assert P.squeeze_phrases("a、a、a") == "a"
-    assert P.squeeze_phrases("a、a、a、b") == "a、b"
-    assert P.squeeze_phrases("a, a,a，b") == "a，b"
-    assert P.squeeze_phrases("a、a、a、") == "a"
-    assert P.squeeze_phrases("a、、a、a、a") == "a、、a、a、a"
-    assert P.squeeze_phrases("、a、a、a") == "、a、a、a"
-    assert P.squeeze_phrases("") == ""
-    assert P.squeeze_phrases("a、a") == "a、a"
+PHRASES = {
+    "a、a、a": "a",
+    "a、a、a、b": "a、b",
+    "a, a,a，b": "a，b",
+    "a、a、a、": "a",
+    "a、a、b、": "a、a、b、",
+    "b、a、a、a、c、c、c": "b、a、c",
+    "a、、a、a、a": "a、、a、a、a",
+    "、a、a、a": "、a、a、a",
+    " 、 、 、x": " 、 、 、x",
+    "": "",
+    "、": "、",
+    "a、a": "a、a",
+}
+
+
+def test_collapse_phrases(spark):
+    assert column(spark, [*PHRASES, None], P.collapse_phrases) == [*PHRASES.values(), None]
+    assert column(spark, ["a、a、b"], lambda c: P.collapse_phrases(c, 2)) == ["a、b"]
 
 
 def test_clean_prediction_leaves_tags(spark):
-    texts = ["<ts><ts><ts><ts>", "<speaker_A>はいはいはい</speaker_A><te>", "ab", None, "x、x、x、y"]
-    want = ["<ts><ts><ts><ts>", "<speaker_A>はい</speaker_A><te>", "ab", None, "x、y"]
-    assert column(spark, texts, P.clean_prediction) == want
+    texts = ["<ts><ts><ts><ts>", "<speaker_A>はいはいはい</speaker_A><te>", "ab", None, "x、x、x、y", "<speaker_A>x、x、x</speaker_A><ts>、y"]
+    want = ["<ts><ts><ts><ts>", "<speaker_A>はい</speaker_A><te>", "ab", None, "x、y", "<speaker_A>x</speaker_A><ts>、y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    assert [r.v for r in P.clean_prediction(df, "v").orderBy("i").collect()] == want
 
 
 def test_lcs_against_table(spark):
