@@ -166,20 +166,31 @@ wins AS (SELECT conv_id, unnest(range(n // 3)) AS win_id FROM (
   SELECT conv_id, count(*) AS n FROM utt GROUP BY 1))"""
 
 
+def _record_of(path):
+    """A record with fields and content items that the reader does not know, as concatenated texts."""
+    head = '[{"role":"user","more":{"k":[1,null]},"content":[{"type":"text","text":"'
+    tail = '"},{"type":"utterances","utterances":[{"lang":"ja","audio":"' + path
+    return head, tail, '.wav"}]},{"type":"audio","audio":"/data/corpus/x.wav"}]}]'
+
+
 @query(
     "src_5_read_tolerant",
     S.UTT,
-    WINS,
-    select="""
-SELECT conv_id, CASE WHEN win_id % 9 = 4 THEN 'failed' ELSE 'ok' END AS status,
-       win_id % 9 <> 4 AS relative, count(*) AS n FROM wins GROUP BY 1, 2, 3""",
+    select=f"""
+SELECT conv_id, CASE WHEN event_id % 9 = 4 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN event_id % 9 = 4 THEN '{_record_of("")[0]}' || text
+            ELSE '{_record_of("")[0]}' || text || '{_record_of("corpus/audios/")[1]}' || utt_idx
+                 || '{_record_of("")[2]}' END AS "value" FROM utt""",
 )
 def _(t):
-    out = readers.read_tolerant(t.spark, _broken_records(t), "corpus")
-    relative = F.col("value").contains('"audio":"corpus/audios/x.wav"')
-    return out.groupBy(
-        _conv_of().alias("conv_id"), "status", relative.alias("relative")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    u = t.utterances()
+    head, tail, end = (F.lit(x) for x in _record_of("/data/corpus/audios/"))
+    broken = F.concat(head, F.col("text"))
+    whole = F.concat(broken, tail, F.col("utt_idx").cast("string"), end)
+    value = F.when(F.col("event_id") % 9 == 4, broken).otherwise(whole)
+    rows = u.select("conv_id", F.col("utt_idx").alias("ord"), value.alias("value"))
+    out = readers.read_tolerant(t.spark, _lines_dir(t, "tolerant", rows), "corpus")
+    return out.select(_conv_of().alias("conv_id"), "status", "value")
 
 
 @query(

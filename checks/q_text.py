@@ -646,11 +646,13 @@ def _(t):
     S.UTT,
     select="""
 SELECT conv_id, utt_idx, CASE WHEN
-         ((conv_id % 1000003) * 2654435761 + 42) // 65536 % 100 < 80
+         CAST('0x' || substr(md5('42:/a/' || conv_id || '.jsonl'), 1, 8) AS BIGINT) % 100 < 80
        THEN 'train' ELSE 'test' END AS split FROM utt""",
 )
 def _(t):
-    return L.train_test_split(t.utterances()).select("conv_id", "utt_idx", "split")
+    path = F.concat(F.lit("/a/"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    rows = L.train_test_split(t.utterances().withColumn("path", path), "path")
+    return rows.select("conv_id", "utt_idx", "split")
 
 
 @query("so_4_union_ranks", S.LAB, select="SELECT id, rank, text, label FROM lab")
