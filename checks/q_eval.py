@@ -350,8 +350,8 @@ def _(t):
 
 ROUNDS = """
 rnd AS (SELECT conv_id * 1000 + turn // 2 AS sample_idx, turn % 2 AS chunk_idx,
-               CASE WHEN turn % 4 = 3 THEN '' ELSE plain END AS ref, replace(plain, 'e', '') AS pred
-        FROM (SELECT *, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS plain FROM conversations)),
+               CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS ref, replace(text, 'e', '') AS pred
+        FROM conversations),
 whole AS (SELECT sample_idx, string_agg(ref, '' ORDER BY chunk_idx) AS ref,
                  string_agg(pred, '' ORDER BY chunk_idx) AS pred FROM rnd GROUP BY 1)"""
 
@@ -359,12 +359,12 @@ whole AS (SELECT sample_idx, string_agg(ref, '' ORDER BY chunk_idx) AS ref,
 @query(
     "ag_8_round_cer",
     ROUNDS,
-    """
-m AS (SELECT sample_idx, avg(CASE WHEN ref <> '' THEN levenshtein(ref, pred) / length(ref) END) AS m,
+    f"""
+m AS (SELECT sample_idx, avg(CASE WHEN ref <> '' THEN {S.distance_sql("ref", "pred")} / length(ref) END) AS m,
              count(CASE WHEN ref <> '' THEN 1 END) AS scored_rounds FROM rnd GROUP BY 1)""",
-    select="""
+    select=f"""
 SELECT sample_idx, round(m, 6) AS mean_round_cer, scored_rounds,
-       round(levenshtein(ref, pred) / greatest(length(ref), 1), 6) AS sample_cer
+       round({S.distance_sql("ref", "pred")} / greatest(length(ref), 1), 6) AS sample_cer
 FROM m JOIN whole USING (sample_idx)""",
 )
 def _(t):
@@ -397,8 +397,9 @@ def _(t):
 joined AS (SELECT sample_id, 0 AS turn_id, string_agg(ref, '' ORDER BY turn_id) AS ref,
                   string_agg(pred, '' ORDER BY turn_id) AS pred FROM res GROUP BY 1)""",
     S.scored_sql("joined").split("lcs AS")[0].rstrip(",\n"),
-    select="""
-SELECT sample_id AS sample_idx, CAST(levenshtein(pa_, ra_) + levenshtein(pb_, rb_) AS INTEGER) AS edits,
+    select=f"""
+SELECT sample_id AS sample_idx,
+       CAST({S.distance_sql("pa_", "ra_")} + {S.distance_sql("pb_", "rb_")} AS INTEGER) AS edits,
        CAST(length(ra_) + length(rb_) AS INTEGER) AS ref_chars,
        CAST(length(pl) AS INTEGER) AS n_pred, CAST(length(rl) AS INTEGER) AS n_ref FROM sides""",
 )

@@ -420,9 +420,9 @@ def _(t):
     "tx_9_edit_distance",
     S.RES,
     S.scored_sql(),
-    select="""
-SELECT sample_id, turn_id, levenshtein(pb_, rb_) AS edits,
-       levenshtein(pb_, rb_) / greatest(length(rb_), 1) AS cer FROM sides""",
+    select=f"""
+SELECT sample_id, turn_id, {S.distance_sql("pb_", "rb_")} AS edits,
+       {S.distance_sql("pb_", "rb_")} / greatest(length(rb_), 1) AS cer FROM sides""",
 )
 def _(t):
     rows = t.results().select(

@@ -44,10 +44,9 @@ tok AS (
   FROM (SELECT *, length(text) AS n, unnest(range(length(text))) AS i FROM utt))"""
 
 # D3
-_ascii = lambda c: f"regexp_replace({c}, '[^A-Za-z ]', '', 'g')"
 RES = f"""
 pairs AS (
-  SELECT a.conv_id, a.turn, {_ascii('a.text')} AS ra, {_ascii('b.text')} AS rb
+  SELECT a.conv_id, a.turn, a.text AS ra, b.text AS rb
   FROM conversations a JOIN conversations b
     ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
   WHERE a.role = 'user'),
@@ -67,10 +66,21 @@ res AS (
                {lit_list(SPECIALS)} AS s
         FROM pairs))"""
 
+# Letters beyond ASCII in the texts, and characters of one byte that do not occur in them.
+LETTERS = "ÀÁÂÄÇÈÉÊËÍÎÑÓÔÖÚÛÜßàáâäçèéêëíîñóôöúûü"
+STAND_INS = "0123456789!#$%&()*+-:;=?@[]^`{|}~X\x01\x02\x03"
+
+
+def distance_sql(a, b):
+    """Edit distance by character: DuckDB's is one by byte, so each letter becomes one byte."""
+    one = lambda c: f"translate({c}, '{LETTERS}', '{STAND_INS[: len(LETTERS)]}')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
 # Scores of D3, from the text alone.
 _side = lambda c, s: (
     f"array_to_string(list_transform(regexp_extract_all({c}, '<speaker_{s}>([^<]*)</speaker_{s}>',"
-    " 1), lambda x: trim(x)), '')"
+    " 1), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '')"
 )
 _letters = lambda c: (
     "array_to_string(list_transform(regexp_extract_all(" + c
@@ -101,7 +111,7 @@ lcs AS (
   GROUP BY 1, 2),
 cers AS (
   SELECT s.*, l.tp,
-         levenshtein(pa_, ra_) AS edits_A, levenshtein(pb_, rb_) AS edits_B,
+         {distance_sql('pa_', 'ra_')} AS edits_A, {distance_sql('pb_', 'rb_')} AS edits_B,
          length(ra_) AS ref_chars_A, length(rb_) AS ref_chars_B,
          length(pl) - l.tp AS fp, length(rl) - l.tp AS fn,
          l.tp / greatest(length(pl), 1) AS "precision",

@@ -31,10 +31,6 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf, name)
         if key not in _WRITTEN:
             path, table = scratch_dir(self.spark, name), build()
-            cores = self.spark.sparkContext.defaultParallelism
-            if len(self.raw("events").inputFiles()) < cores:
-                # Test-sized input in a single file: use all cores from here on.
-                table = table.repartition(cores)
             table.write.parquet(path)
             _WRITTEN[key] = path, table.schema
         path, schema = _WRITTEN[key]
@@ -97,9 +93,8 @@ class Tables:
 
     def _results(self):
         turns = self.raw("conversations")
-        plain = F.regexp_replace("text", "[^A-Za-z ]", "")
-        a = turns.where("role = 'user'").select("conv_id", "turn", plain.alias("ra"))
-        b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), plain.alias("rb"))
+        a = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ra"))
+        b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("rb"))
         conv, turn = F.col("conv_id"), F.col("turn")
         marks = F.array(*[F.lit(s) for s in SPECIALS])
         mark = lambda x: F.get(marks, (x % 5).cast("int"))
@@ -133,13 +128,12 @@ class Tables:
     def rounds(self):
         """Streaming rounds: two turns to a sample, every fourth without a reference."""
         turns = self.raw("conversations")
-        plain = F.regexp_replace("text", "[^A-Za-z ]", "")
-        ref = F.when(F.col("turn") % 4 == 3, "").otherwise(plain)
+        ref = F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("text"))
         return turns.select(
             (F.col("conv_id") * 1000 + _div(F.col("turn"), 2)).alias("sample_idx"),
             (F.col("turn") % 2).alias("chunk_idx"),
             ref.alias("ref"),
-            F.replace(plain, F.lit("e"), F.lit("")).alias("pred"),
+            F.replace("text", F.lit("e"), F.lit("")).alias("pred"),
         )
 
     # D4
