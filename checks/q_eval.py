@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import sql as S
 from checks.registry import query
 from parley.operators import alignment as A
+from parley.operators import dialogue as D
 from parley.operators import evaluation as E
 from parley.operators import spans as P
 from parley.operators import utterances as U
@@ -148,6 +149,71 @@ def _(t):
     return P.overlap_pairs(t.utterances()).select("conv_id", "a_utt_idx", "b_utt_idx")
 
 
+# One line per fiftieth conversation that lasts a year, as a corrupt end time would make it.
+YEAR = 31_536_000_000
+LONG = f"""
+utl AS (SELECT * REPLACE (CASE WHEN utt_idx = 1 AND conv_id % 50 = 0 THEN start_ms + {YEAR} ELSE end_ms END AS end_ms)
+        FROM utt)"""
+
+
+def _long_lines(t):
+    end = F.when((F.col("utt_idx") == 1) & (F.col("conv_id") % 50 == 0), F.col("start_ms") + YEAR)
+    return t.utterances().withColumn("end_ms", F.coalesce(end, F.col("end_ms")))
+
+
+@query(
+    "jn_5_long_interval",
+    S.UTT,
+    GRID,
+    LONG,
+    """
+spl AS (SELECT * FROM spn UNION ALL SELECT DISTINCT conv_id, -5, 10000000000000 FROM spn WHERE conv_id % 70 = 0)""",
+    select="""
+SELECT s.conv_id, span_start, span_end, utt_idx FROM spl s JOIN utl u
+  ON s.conv_id = u.conv_id AND u.end_ms >= span_start AND u.start_ms <= span_end""",
+)
+def _(t):
+    ends = [F.lit(x).cast("long") for x in (-5, 10_000_000_000_000)]
+    whole = t.utterances().where("conv_id % 70 = 0").select("conv_id").distinct()
+    spans = _grid(t).select("conv_id", "span_start", "span_end").unionByName(
+        whole.select("conv_id", ends[0].alias("span_start"), ends[1].alias("span_end"))
+    )
+    return P.utterances_in_span(_long_lines(t), spans).select("conv_id", "span_start", "span_end", "utt_idx")
+
+
+@query(
+    "jn_6_long_interval",
+    S.UTT,
+    LONG,
+    select="""
+SELECT a.conv_id, a.utt_idx AS a_utt_idx, b.utt_idx AS b_utt_idx FROM utl a JOIN utl b
+  ON a.conv_id = b.conv_id AND a.utt_idx < b.utt_idx AND a.start_ms < b.end_ms
+ AND b.start_ms < a.end_ms""",
+)
+def _(t):
+    return P.overlap_pairs(_long_lines(t)).select("conv_id", "a_utt_idx", "b_utt_idx")
+
+
+@query(
+    "jn_5_span_text_events",
+    S.UTT,
+    S.near_sql(),
+    GRID,
+    select=f"""
+SELECT s.conv_id, span_start, span_end, string_agg('<speaker_' || speaker || '>' || text
+         || '</speaker_' || speaker || '>' || CASE WHEN is_ts THEN '<ts>' ELSE '' END
+         || CASE WHEN coalesce(is_bc, false) THEN '<bc>' ELSE '' END
+         || CASE WHEN is_pause THEN '<pause>' ELSE '' END
+         || CASE WHEN is_silence THEN '<silence>' ELSE '' END, '' ORDER BY utt_idx) AS text
+FROM spn s JOIN near u
+  ON s.conv_id = u.conv_id AND u.end_ms >= span_start AND u.start_ms <= span_end
+GROUP BY 1, 2, 3""",
+)
+def _(t):
+    flags = {"ts": "is_turn_taking", "bc": "is_back_channel", "pause": "is_pause", "silence": "is_silence"}
+    return P.span_text(D.annotate(t.utterances()), _grid(t), flags=flags)
+
+
 # --- overlap clusters -------------------------------------------------------------------------
 
 CLUSTERS = """

@@ -269,29 +269,41 @@ def _(t):
     return sinks.record_offsets(docs).select("file", "line", "offset")
 
 
-SUMMARY = S.scored_sql()
-
-
-@query(
-    "snk_3_write_summary",
+_KEYS = {"overall": "'all'", "file": "file", "rank": "coalesce(CAST(rank AS VARCHAR), 'unknown')"}
+_SUMS = "count(*) AS turns, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_chars) AS BIGINT) AS ref_chars"
+_SUMS += "".join(f", CAST(sum({c}) AS BIGINT) AS {c}" for c in ("tp", "fp", "fn"))
+_NAMES = "turns edits ref_chars tp fp fn".split()
+SUMMARY = (
     S.RES,
-    SUMMARY,
-    select="""
-SELECT scope, key, turns, edits FROM (
-  SELECT 'overall' AS scope, 'all' AS key, count(*) AS turns, CAST(sum(edits) AS BIGINT) AS edits FROM scored
-  UNION ALL
-  SELECT 'file', file, count(*), CAST(sum(edits) AS BIGINT) FROM scored GROUP BY file
-  UNION ALL
-  SELECT 'rank', coalesce(CAST(rank AS VARCHAR), 'unknown'), count(*), CAST(sum(edits) AS BIGINT)
-  FROM scored GROUP BY rank)""",
+    S.scored_sql(),
+    "tot AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{scope}' AS scope, {key} AS key, {_SUMS} FROM scored GROUP BY {key}"
+        for scope, key in _KEYS.items()
+    )
+    + ")",
 )
+_NULL = "CAST(NULL AS BIGINT)"
+SUMMARY_ROWS = f"""
+SELECT 'speaker_cer' AS section, scope, key, turns, edits, ref_chars,
+       {_NULL} AS tp, {_NULL} AS fp, {_NULL} AS fn FROM tot
+UNION ALL SELECT 'special_token_f1', scope, key, turns, NULL, NULL, tp, fp, fn FROM tot
+UNION ALL SELECT 'files', 'file', key, turns, NULL, NULL, NULL, NULL, NULL FROM tot WHERE scope = 'file'
+UNION ALL SELECT 'worst_examples', 'overall', 'all', NULL, NULL, NULL, NULL, NULL, NULL FROM range(10)"""
+
+
+def _summary_rows(document):
+    body = F.from_json("body", ", ".join(f"{n} bigint" for n in _NAMES))
+    sections = ("speaker_cer", "special_token_f1", "files", "worst_examples")
+    rows = document.where(F.col("section").isin(*sections)).withColumn("b", body)
+    return rows.select("section", "scope", "key", *[f"b.{n}" for n in _NAMES])
+
+
+@query("snk_3_write_summary", *SUMMARY, select=SUMMARY_ROWS)
 def _(t):
     document = E.summary_document(E.score(t.results()))
     path = sinks.write_summary(document, t.path("summary"))
-    rows = t.spark.read.schema("section string, scope string, key string, body string").json(path)
-    body = F.from_json("body", "turns bigint, edits bigint")
-    rows = rows.where("section = 'speaker_cer'").withColumn("b", body)
-    return rows.select("scope", "key", "b.turns", "b.edits")
+    return _summary_rows(t.spark.read.schema("section string, scope string, key string, body string").json(path))
 
 
 @query(
@@ -339,10 +351,14 @@ def _(t):
 
 @query(
     "flow_result_analysis",
-    select=None,
+    *SUMMARY,
+    select=SUMMARY_ROWS,
 )
 def _(t):
-    return flows.result_analysis(t.spark, [_result_files(t)], pattern="*.txt")
+    # The clean-up has queries of its own; without it the oracle can score the texts.
+    document = flows.result_analysis(t.spark, [_result_files(t)], pattern="*.txt", cleanup=False)
+    part = F.regexp_extract("key", "part=([^/]+)", 1)
+    return _summary_rows(document).withColumn("key", F.when(part != "", part).otherwise(F.col("key")))
 
 
 @query(

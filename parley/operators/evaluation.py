@@ -207,6 +207,9 @@ def summary_document(scored, k=10):
     }
     if "cleanup_changed" in scored.columns:
         parts["repeat_cleanup"] = cleanup_stats(scored)
+    parts["files"] = scored.groupBy(F.lit("file").alias("scope"), F.col("file").alias("key")).agg(
+        F.count(F.lit(1)).alias("turns")
+    )
     out = None
     for name, part in parts.items():
         body = F.to_json(F.struct(*[c for c in part.columns if c not in ("scope", "key")]))
@@ -215,6 +218,7 @@ def summary_document(scored, k=10):
     if k > 0:
         worst = worst_examples(scored, k)
         cols = ["sample_id", "turn_id", "rank", "file", "cer", "f1", "pred", "ref"]
+        cols += [c for c in ("pred_raw", "cleanup_changed") if c in scored.columns]
         rows = worst.select(
             F.lit("worst_examples").alias("section"),
             F.lit("overall").alias("scope"),
