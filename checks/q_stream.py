@@ -1,7 +1,7 @@
 """Streaming forms, run over all available input and compared with their batch counterparts.
 
-The input is written as files in two steps: the derived table, then one late row per conversation
-that moves the watermark past everything before it.
+The input is written as files in several spans of time, one trigger each, and at last a row that moves
+the watermark past everything before it.
 """
 
 from pyspark.sql import functions as F
@@ -10,19 +10,31 @@ from checks import sql as S
 from checks.registry import query
 from parley.operators import dialogue as D
 from parley.operators import evaluation as E
+from parley.operators.records import record_span
 from parley.streaming import live
 
 FAR_MS = 10_000_000_000
 
 
-def _stream(t, name, df, tail=None):
-    """A stream over ``df`` and then ``tail``, one file per trigger."""
+SLICES, FILES = 3, 4
+
+
+def _stream(t, name, df, time, tail=None):
+    """A stream over ``df`` in ``SLICES`` spans of time, each of some files and a trigger, then ``tail``."""
     path = t.path(name)
-    df.coalesce(1).write.parquet(path)
+    cuts = df.select(F.percentile_approx(time, [k / SLICES for k in range(1, SLICES)])).first()[0]
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = df
+        if lo is not None:
+            part = part.where(F.col(time) >= lo)
+        if hi is not None:
+            part = part.where(F.col(time) < hi)
+        part.repartition(FILES).write.mode("append").parquet(path)
     if tail is not None:
-        tail.coalesce(1).write.mode("append").parquet(path)
+        tail.write.mode("append").parquet(path)
     reader = t.spark.readStream.schema(t.spark.read.parquet(path).schema)
-    return reader.option("maxFilesPerTrigger", 1).parquet(path)
+    return reader.option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _run(t, name, stream):
@@ -32,10 +44,8 @@ def _run(t, name, stream):
 
 def _tail_row(df, **values):
     """One row with the given values to close all windows."""
-    cols = [
-        F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields
-    ]
-    return df.limit(1).select(*cols)
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.sparkSession.createDataFrame([tuple(values.get(f.name) for f in df.schema.fields)], names)
 
 
 @query(
@@ -43,17 +53,22 @@ def _tail_row(df, **values):
     S.TOK,
     S.near_sql(),
     S.events_sql(),
-    """
-placed AS (SELECT *, greatest(1, CAST(ceil(end_ms / 2000) AS BIGINT)) AS k FROM evt)""",
+    S.placed_sql(("conv_id",), src="utt"),
     S.text_sql(("conv_id",)),
-    select="SELECT conv_id, k, text FROM txt",
+    select="SELECT CAST(conv_id AS VARCHAR) AS conv_id, k, text FROM txt",
 )
 def _(t):
     events = D.event_stream(t.utterances(), t.tokens())
-    tail = _tail_row(events, conv_id=-1, start_ms=FAR_MS, end_ms=FAR_MS, seq=0, kind="overlap")
-    stream = _stream(t, "events", events, tail)
-    out = _run(t, "live_chunks", live.chunk_text(stream))
-    return out.where("conv_id >= 0 AND text <> ''").select("conv_id", "k", "text")
+    events = events.withColumn("conv_id", F.col("conv_id").cast("string"))
+    tail = _tail_row(events, conv_id="end", start_ms=FAR_MS, end_ms=FAR_MS, seq=0, kind="overlap")
+    stream = _stream(t, "events", events, "start_ms", tail)
+    out = _run(t, "live_chunks", live.chunk_text(stream)).where("conv_id <> 'end' AND text <> ''")
+    # The batch form leaves out what lies past the end of a conversation.
+    last = record_span(t.utterances(), ["conv_id"]).select(
+        F.col("conv_id").cast("string").alias("conv_id"),
+        F.greatest(F.lit(1), F.ceil((F.col("span_end") - F.col("span_start")) / 2000)).alias("n"),
+    )
+    return out.join(last, "conv_id").where("k <= n").select("conv_id", "k", "text")
 
 
 @query(
@@ -71,7 +86,7 @@ FROM ses GROUP BY conv_id, speaker, n""",
 def _(t):
     toks = t.tokens()
     tail = _tail_row(toks, conv_id=-1, speaker="A", start_ms=FAR_MS, end_ms=FAR_MS)
-    out = _run(t, "live_sessions", live.sessions(_stream(t, "tokens", toks, tail)))
+    out = _run(t, "live_sessions", live.sessions(_stream(t, "tokens", toks, "start_ms", tail)))
     return out.where("conv_id >= 0").select(
         "conv_id", "speaker", "start_ms", "end_ms", "n_tokens"
     )
@@ -97,30 +112,34 @@ def _(t):
     tail = _tail_row(
         toks, conv_id=-1, utt_idx=0, tok_idx=0, speaker="A", start_ms=FAR_MS, end_ms=FAR_MS, text=""
     )
-    out = _run(t, "live_utterances", live.utterances(_stream(t, "tokens", toks, tail)))
+    out = _run(t, "live_utterances", live.utterances(_stream(t, "tokens", toks, "start_ms", tail)))
     return out.where("conv_id >= 0")
 
 
+# Pauses of over a minute after every seventh line.
+PAUSE = 70_000
+PAUSED = f"""
+utg AS (SELECT * REPLACE (start_ms + utt_idx // 7 * {PAUSE} AS start_ms, end_ms + utt_idx // 7 * {PAUSE} AS end_ms)
+        FROM utt)"""
+
+
 @query(
     "st_5_live_tagger",
     S.UTT,
-    S.near_sql(),
-    select=f"SELECT conv_id, utt_idx, end_ms, {S.BOUNDARY} AS kind FROM near",
+    PAUSED,
+    S.near_sql("utg"),
+    select=f"SELECT CAST(conv_id AS VARCHAR) AS conv_id, utt_idx, end_ms, {S.BOUNDARY} AS kind FROM near",
 )
 def _(t):
     u = t.utterances()
-    tail = _tail_row(
-        u,
-        conv_id=-1,
-        utt_idx=0,
-        speaker="A",
-        start_ms=FAR_MS,
-        end_ms=FAR_MS,
-        text="",
-        n_tokens=0,
-    )
-    out = _run(t, "live_tags", live.tagged_utterances(_stream(t, "utterances", u, tail)))
-    return out.where("conv_id >= 0")
+    pause = F.floor(F.col("utt_idx") / 7).cast("long") * PAUSE
+    u = u.withColumns({"start_ms": F.col("start_ms") + pause, "end_ms": F.col("end_ms") + pause})
+    u = u.withColumn("conv_id", F.col("conv_id").cast("string"))
+    ends = u.groupBy("conv_id").agg((F.max("end_ms") + 1).alias("start_ms"))
+    rows = u.unionByName(ends, allowMissingColumns=True)
+    tail = _tail_row(rows, conv_id="end", start_ms=FAR_MS)
+    out = _run(t, "live_tags", live.tagged_utterances(_stream(t, "utterances", rows, "start_ms", tail)))
+    return out.where("conv_id <> 'end'")
 
 
 @query(
@@ -132,7 +151,7 @@ SELECT (start_ms // 60000) * 60000 AS window_ms, coalesce(bc_label, 'non_backcha
 )
 def _(t):
     u = t.utterances().select("start_ms", F.col("bc_label").alias("label"))
-    stream = _stream(t, "labels", u, _tail_row(u, start_ms=FAR_MS, label="none"))
+    stream = _stream(t, "labels", u, "start_ms", _tail_row(u, start_ms=FAR_MS, label="none"))
     stream = live.with_event_time(stream, "start_ms", shift_ms=60000)
     out = _run(t, "live_labels", live.label_counts(stream, "60 seconds", "10 seconds"))
     return out.where("label <> 'none'").select(
@@ -154,7 +173,7 @@ FROM scored GROUP BY 1, 2""",
 def _(t):
     r = t.results()
     stream = _stream(
-        t, "results", r, _tail_row(r, sample_id=FAR_MS, turn_id=0, rank=0, pred="", ref="")
+        t, "results", r, "sample_id", _tail_row(r, sample_id=FAR_MS, turn_id=0, rank=0, pred="", ref="")
     )
     timed = live.with_event_time(E.score(stream), "sample_id", shift_ms=10)
     out = _run(t, "live_scores", live.score_totals(timed, "10 milliseconds", "1 seconds"))

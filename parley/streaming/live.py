@@ -26,24 +26,77 @@ def with_event_time(df, ms="end_ms", name="ts", shift_ms=1):
     return df.withColumn(name, F.timestamp_millis(F.col(ms) + shift_ms))
 
 
+def _key_fields(df, by):
+    """Schema text of the key columns, of whatever type the input has."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+
+def _text(value):
+    return value if isinstance(value, str) else None
+
+
 def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=("conv_id",)):
-    """Tagged text per conversation and chunk ``k``, once the watermark has passed the chunk.
+    """Tagged text per conversation and chunk ``k``, as soon as the chunk can get no more events.
 
-    An event belongs to the chunk in which it ends; an end on the border counts to the earlier
-    chunk.
+    The rule is that of ``chunks.assign_chunks``: events count in ``seq`` order with the largest end so
+    far, and chunks are counted from the conversation's first event. An event waits until the watermark
+    has passed its start; one that arrives behind the watermark is dropped. How many chunks a
+    conversation has is not known while it runs, so none are cut off at its end.
     """
-    at = events.withColumn("__end", F.greatest(F.col("end_ms"), F.lit(1)))
-    timed = with_event_time(at, "__end", shift_ms=chunk_ms - 1)
-    items = F.sort_array(F.collect_list(F.struct("seq", "kind", "speaker", "token")))
-    out = (
-        timed.withWatermark("ts", delay)
-        .groupBy(*by, F.window("ts", f"{chunk_ms} milliseconds").alias("w"))
-        .agg(items.alias("items"))
-    )
-    k = F.floor(F.unix_millis(F.col("w.end")) / chunk_ms).cast("long") - 1
-    return out.select(
-        *by, k.alias("k"), G.serialise(F.col("items"), mode).alias("text")
+    by = list(by)
+    item = "struct<seq:bigint,kind:string,speaker:string,token:string>"
+    schema = f"{_key_fields(events, by)}, k long, items array<{item}>"
+
+    def run(key, frames, state: GroupState):
+        held = json.loads(state.get[0]) if state.exists else {"wait": [], "from": None, "items": []}
+        now = state.getCurrentWatermarkMs()
+        wait = held["wait"]
+        for frame in frames:
+            frame = frame[frame["start_ms"] >= now]
+            cols = ["seq", "start_ms", "end_ms", "kind", "speaker", "token"]
+            for seq, start, end, *texts in frame[cols].itertuples(index=False):
+                wait.append([int(seq), int(start), int(end), *map(_text, texts)])
+        wait.sort(key=lambda e: e[0])
+        out, ready = [], 0
+        while ready < len(wait) and wait[ready][1] < now:
+            seq, start, end, *texts = wait[ready]
+            if held["from"] is None:
+                held.update({"from": start, "reach": end, "k": 1})
+            held["reach"] = max(held["reach"], end)
+            k = max(1, -((held["from"] - held["reach"]) // chunk_ms))
+            if k != held["k"] and held["items"]:
+                out.append((held["k"], held["items"]))
+                held["items"] = []
+            held["k"] = k
+            held["items"].append([seq, *texts])
+            ready += 1
+        del wait[:ready]
+        border = None if held["from"] is None else held["from"] + held["k"] * chunk_ms
+        # What is still to come starts after the border, and so ends in a later chunk.
+        if held["items"] and border < now:
+            out.append((held["k"], held["items"]))
+            held["items"] = []
+        state.update((json.dumps(held),))
+        wake = [wait[0][1] + 1] if wait else []
+        wake += [border + 1] if held["items"] else []
+        if wake:
+            state.setTimeoutTimestamp(max(min(wake), now + 1))
+        if out:
+            names = ("seq", "kind", "speaker", "token")
+            frame = {c: [v] * len(out) for c, v in zip(by, key)}
+            frame["k"] = [k for k, _ in out]
+            frame["items"] = [[dict(zip(names, i)) for i in items] for _, items in out]
+            yield pd.DataFrame(frame)
+
+    chunks = (
+        with_event_time(events, "start_ms")
+        .withWatermark("ts", delay)
+        .groupBy(*by)
+        .applyInPandasWithState(
+            run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
+    return chunks.select(*by, "k", G.serialise(F.col("items"), mode).alias("text"))
 
 
 def sessions(tokens, gap_ms=M.UTTERANCE_GAP, delay="10 seconds"):
@@ -70,7 +123,8 @@ def utterances(tokens, gap_ms=M.UTTERANCE_GAP, delay="10 seconds"):
     that arrives behind the watermark is dropped.
     """
     schema = (
-        "conv_id long, speaker string, start_ms long, end_ms long, n_tokens long, text string"
+        f"{_key_fields(tokens, ['conv_id'])}, speaker string, start_ms long, end_ms long, "
+        "n_tokens long, text string"
     )
     fields = ["start_ms", "utt_idx", "tok_idx", "end_ms", "speaker", "text"]
 
@@ -133,32 +187,36 @@ LINE = ["utt_idx", "speaker", "start_ms", "end_ms", "n_tokens", "text", "bc_labe
 MATE = ["utt_idx", "start_ms", "end_ms", "n_tokens"]
 
 
-def tagged_utterances(utts, delay="10 seconds", idle_ms=60_000):
+def tagged_utterances(utts, delay="10 seconds"):
     """Boundary event of each utterance as soon as it is settled.
 
-    An utterance waits until the watermark has passed its end by the longest look-ahead and the
-    next line is known (for a labelled backchannel also the other speaker's next line), or until
-    nothing was said in the conversation for ``idle_ms``. The stateful step only finds the
+    An utterance waits until the watermark has passed its end by the longest look-ahead and the next
+    line is known (for a labelled backchannel also the other speaker's next line), however long that
+    takes. A row without a speaker says that its conversation has ended before its ``start_ms``; then
+    the lines that still wait are settled without a next one. The stateful step only finds the
     neighbours; the rules are the batch ones.
     """
     default = M.DEFAULT_LABEL
     horizon = max(M.SWITCH_GAP, M.RESUME_WINDOW, M.SILENCE_THRESHOLD)
     schema = (
-        "conv_id long, utt_idx long, speaker string, start_ms long, end_ms long, n_tokens long, "
-        "text string, bc_label string, next_speaker string, next_start long, next_end long, "
+        f"{_key_fields(utts, ['conv_id'])}, utt_idx long, speaker string, start_ms long, end_ms long, "
+        "n_tokens long, text string, bc_label string, next_speaker string, next_start long, next_end long, "
         + ", ".join(f"{w}_{c} long" for w in ("same", "other") for c in MATE)
     )
 
     def run(key, frames, state: GroupState):
-        lines = json.loads(state.get[0]) if state.exists else []
+        held = json.loads(state.get[0]) if state.exists else {"lines": [], "end": None}
         now = state.getCurrentWatermarkMs()
+        lines = held["lines"]
         for frame in frames:
             frame = frame[frame["start_ms"] >= now]
             for row in frame[LINE].itertuples(index=False):
-                label = row[6] if isinstance(row[6], str) else None
-                lines.append([int(row[0]), row[1], *map(int, row[2:5]), row[5], label])
+                if _text(row[1]) is None:
+                    held["end"] = int(row[2])
+                else:
+                    lines.append([int(row[0]), row[1], *map(int, row[2:5]), row[5], _text(row[6])])
         lines.sort(key=lambda r: r[0])
-        idle = bool(lines) and max(r[3] for r in lines) + idle_ms < now
+        over = held["end"] is not None and held["end"] < now
         # Next line of the same and of another speaker, found from the back.
         mates, run_of, last_of = [None] * len(lines), None, {}
         for at in range(len(lines) - 1, -1, -1):
@@ -178,25 +236,27 @@ def tagged_utterances(utts, delay="10 seconds", idle_ms=60_000):
                 and nxt[2] < now
                 and (not needs_other or (other is not None and other[2] < now))
             )
-            if not keep and (settled or idle):
+            if not keep and (settled or over):
                 row = [key[0], *line, *(nxt[1:4] if nxt else [None] * 3)]
                 for mate in (same, other):
                     row += [mate[0], mate[2], mate[3], mate[4]] if mate else [None] * 4
                 out.append(row)
             else:
                 keep.append(line)
-        if keep:
-            state.update((json.dumps(keep),))
-            wake = min(keep[0][3] + horizon + 1, max(r[3] for r in keep) + idle_ms + 1)
-            if wake <= now:
-                wake = max(r[3] for r in keep) + idle_ms + 1
-            state.setTimeoutTimestamp(max(wake, now + 1))
+        if keep or held["end"] is not None and not over:
+            state.update((json.dumps({"lines": keep, "end": held["end"]}),))
+            # Look again when the watermark passes something that is known and still ahead.
+            ahead = [r[2] + 1 for r in keep] + [r[3] + horizon + 1 for r in keep]
+            ahead += [held["end"] + 1] if held["end"] is not None else []
+            ahead = [t for t in ahead if t > now]
+            if ahead:
+                state.setTimeoutTimestamp(min(ahead))
         elif state.exists:
             state.remove()
         if out:
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            frame = pd.DataFrame(out, columns=["conv_id", *[c.split()[0] for c in schema.split(", ")[1:]]])
             for c in frame.columns:
-                if c not in ("speaker", "text", "bc_label", "next_speaker"):
+                if c not in ("conv_id", "speaker", "text", "bc_label", "next_speaker"):
                     frame[c] = frame[c].astype("Int64")
             yield frame
 

@@ -62,38 +62,69 @@ def test_utterances_equal_batch(spark, tmp_path, rows):
     assert have == sorted(want)
 
 
-def test_tagger_equals_batch(spark, tmp_path, rows):
-    end = closing(rows[0], conv_id=-1, utt_idx=0, speaker="A", start_ms=FAR, end_ms=FAR, n_tokens=0, text="")
-    batches = shuffled_batches(rows, "start_ms", 30, 3000) + [end]
-    got = run(
-        spark, tmp_path, "t", P.UTT_SCHEMA, batches, lambda s: live.tagged_utterances(s, delay="5 seconds")
-    )
-    have = {(r.conv_id, r.utt_idx): r.kind for r in got if r.conv_id >= 0}
-    near = neighbours(spark.createDataFrame(rows, P.UTT_SCHEMA)).withColumn("kind", D.boundary())
+@pytest.mark.parametrize("pause", [0, 70_000])
+def test_tagger_equals_batch(spark, tmp_path, rows, pause):
+    """Pauses of any length; a row without a speaker ends a conversation."""
+    rows = [r | {"conv_id": f"c{r['conv_id']}"} for r in rows]
+    rows = [r | {c: r[c] + r["utt_idx"] // 5 * pause for c in ("start_ms", "end_ms")} for r in rows]
+    last = {}
+    for r in rows:
+        last[r["conv_id"]] = max(r["end_ms"], last.get(r["conv_id"], 0))
+    blank = dict.fromkeys(rows[0])
+    ends = [blank | dict(conv_id=c, start_ms=at + 1) for c, at in last.items()]
+    batches = shuffled_batches(rows + ends, "start_ms", 30, 3000) + [[blank | dict(conv_id="end", start_ms=FAR)]]
+    schema = P.UTT_SCHEMA.replace("conv_id long", "conv_id string")
+    got = run(spark, tmp_path, "t", schema, batches, lambda s: live.tagged_utterances(s, delay="5 seconds"))
+    have = {(r.conv_id, r.utt_idx): r.kind for r in got}
+    near = neighbours(spark.createDataFrame(rows, schema)).withColumn("kind", D.boundary())
     want = {(r.conv_id, r.utt_idx): r.kind for r in near.collect()}
-    assert have == want and len(got) >= len(want)
+    assert have == want and len(got) == len(want)
+
+
+def test_lines_wait_for_what_follows(spark, tmp_path, rows):
+    """Without an end row the last line of a conversation stays open, however long nothing is said."""
+    end = closing(rows[0], conv_id=-1, utt_idx=0, speaker="A", start_ms=FAR, end_ms=FAR, n_tokens=0, text="")
+    got = run(spark, tmp_path, "w", P.UTT_SCHEMA, [rows, end], live.tagged_utterances)
+    last = {}
+    for r in rows:
+        last[r["conv_id"]] = max(r["utt_idx"], last.get(r["conv_id"], -1))
+    assert got and all(r.utt_idx < last[r.conv_id] for r in got)
+
+
+EVENT = "conv_id string, seq long, start_ms long, end_ms long, kind string, speaker string, token string"
+
+
+def asr(conv, seq, start, end, speaker, token):
+    return dict(conv_id=conv, seq=seq, start_ms=start, end_ms=end, kind="asr", speaker=speaker, token=token)
 
 
 def test_chunk_text_and_late_rows(spark, tmp_path):
-    schema = "conv_id long, seq long, end_ms long, kind string, speaker string, token string"
-    one = [
-        dict(conv_id=1, seq=1, end_ms=2000, kind="asr", speaker="A", token="b"),
-        dict(conv_id=1, seq=2, end_ms=2001, kind="asr", speaker="B", token="c"),
+    batches = [
+        [asr("a", 1, 900, 2000, "A", "b"), asr("a", 2, 1500, 2001, "B", "c")],
+        [asr("a", 0, 0, 1, "A", "a")],
+        [asr("b", 0, 499000, 500000, "A", "z")],
+        [asr("b", 1, 500050, 500100, "A", "z")],
+        [asr("a", 3, 50, 100, "A", "late")],
+        [asr("b", 2, 900000, 900001, "A", "y")],
     ]
-    two = [dict(conv_id=1, seq=0, end_ms=1, kind="asr", speaker="A", token="a")]
-    far = [dict(conv_id=2, seq=0, end_ms=500000, kind="asr", speaker="A", token="z")]
-    more = [dict(conv_id=2, seq=1, end_ms=500100, kind="asr", speaker="A", token="z")]
-    late = [dict(conv_id=1, seq=3, end_ms=100, kind="asr", speaker="A", token="late")]
-    far2 = [dict(conv_id=2, seq=1, end_ms=900000, kind="asr", speaker="A", token="y")]
-    got = run(
-        spark, tmp_path, "c", schema, [one, two, far, more, late, far2], lambda s: live.chunk_text(s, delay="4 seconds")
-    )
+    got = run(spark, tmp_path, "c", EVENT, batches, lambda s: live.chunk_text(s, delay="4 seconds"))
     texts = {(r.conv_id, r.k): r.text for r in got}
-    assert texts[(1, 1)] == "<speaker_A>ab</speaker_A>"
-    assert texts[(1, 2)] == "<speaker_B>c</speaker_B>"
+    assert texts[("a", 1)] == "<speaker_A>ab</speaker_A>"
+    assert texts[("a", 2)] == "<speaker_B>c</speaker_B>"
+    assert texts[("b", 1)] == "<speaker_A>zz</speaker_A>"
     assert not any("late" in t for t in texts.values())
 
 
+def test_a_late_end_holds_back_what_follows(spark, tmp_path):
+    """Chunks are counted from the first event, and an event counts with the largest end so far."""
+    one = [asr("a", 0, 700, 5000, "A", "long"), asr("a", 1, 800, 900, "B", "x"), asr("a", 2, 1400, 1500, "B", "y")]
+    far = [asr("b", 0, 10**9, 10**9 + 1, "A", "z")]
+    got = run(spark, tmp_path, "h", EVENT, [one, far, far], live.chunk_text)
+    assert [(r.k, r.text) for r in got if r.conv_id == "a"] == [
+        (3, "<speaker_A>long</speaker_A><speaker_B>xy</speaker_B>")
+    ]
+
+
 def test_label_counts_by_window(spark, tmp_path):
     schema = "at long, label string"
     a = [dict(at=10, label="continuer"), dict(at=59_000, label=None), dict(at=61_000, label="continuer")]
