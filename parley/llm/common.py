@@ -1,5 +1,7 @@
 """Helpers that several operators share."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -7,6 +9,14 @@ from pyspark.sql import functions as F
 from parley.session import scratch_dir
 
 
+def reachable(spark):
+    """Let Python workers import this package from where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    places = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in places:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, places)])
+
+
 def materialise(df, name):
     """Write a table to the shared scratch folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession

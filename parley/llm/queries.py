@@ -1,6 +1,7 @@
 """The queries of this package: each applies one operator to a whole table."""
 
 from parley.llm import archives, exactdedup, innerproduct, jaccard, lm, maintext, packing, sharding, toxicity, treebpe
+from parley.llm.common import reachable
 
 VOCAB = "word_bpe_49k.json"
 
@@ -13,6 +14,7 @@ def vocab_path(name=VOCAB):
 
 
 def table(spark, sf_dir, name):
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
