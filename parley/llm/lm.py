@@ -183,7 +183,7 @@ def heavy_words(words, most=HEAVY):
                 ok = size_class(c) >= least
                 yield pd.DataFrame({"data": [h[ok].tobytes() + c[ok].tobytes()]})
 
-    parts = [r["data"] for r in words.select("data").mapInPandas(pick, "data binary").toLocalIterator()]
+    parts = [r["data"] for r in words.select("data").mapInPandas(pick, "data binary").collect()]
     h = np.concatenate([np.frombuffer(x, "<u8", len(x) // 16) for x in parts]) if parts else np.zeros(0, "<u8")
     c = np.concatenate([np.frombuffer(x, "<i8", -1, len(x) // 2) for x in parts]) if parts else np.zeros(0, "<i8")
     order = np.argsort(h)
