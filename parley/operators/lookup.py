@@ -8,7 +8,7 @@ its rows to the same place.
 
 from pyspark.sql import functions as F
 
-from parley.operators.scan import HOT_ROWS, SEG_ROWS
+from parley.operators.scan import HOT_ROWS, SEG_ROWS, largest_keys, null_safe_join
 
 
 def _hashable(df):
@@ -24,16 +24,11 @@ def lookup_join(df, small, on, how="inner", stats=None, hot_rows=None, seg_rows=
     on = [on] if isinstance(on, str) else list(on)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     seg_rows = SEG_ROWS if seg_rows is None else seg_rows
-    # At most (rows / hot_rows) rows: safe to broadcast.
-    hot = (
-        (df if stats is None else stats)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*on, F.ceil(F.col("__n") / seg_rows).cast("int").alias("__salts"))
-    )
+    hot = largest_keys(df if stats is None else stats, on, hot_rows)
+    hot = hot.select(*on, F.ceil(F.col("__n") / seg_rows).cast("int").alias("__salts"))
     salt = F.pmod(F.xxhash64(*_hashable(df)), F.col("__salts")).cast("int")
-    left = df.join(F.broadcast(hot), on, "left").withColumn(
+    # A null key matches nothing but may be hot all the same.
+    left = null_safe_join(df, F.broadcast(hot), on).withColumn(
         "__salt", F.coalesce(salt, F.lit(0))
     )
     copies = F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0)))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 SEG_ROWS = 500_000
+MAX_HOT = 1000
+GRID = 256
 
 UNB = W.unboundedPreceding
 
@@ -30,39 +32,49 @@ class Run:
     reverse: bool = False
 
 
+def null_safe_join(left, right, on, how="left"):
+    """Join on equal columns ``on``, nulls being equal, too; the right side's copies of them go."""
+    there = {c: f"__r_{c}" for c in on}
+    match = [left[c].eqNullSafe(F.col(there[c])) for c in on]
+    return left.join(right.withColumnsRenamed(there), match, how).drop(*there.values())
+
+
+def largest_keys(df, by, hot_rows):
+    """(key, ``__n``) of the keys over ``hot_rows`` rows, at most the ``MAX_HOT`` largest ones.
+
+    Small enough to broadcast whatever the data; a key left out has under rows / MAX_HOT rows.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    return counts.orderBy(F.desc("__n"), *by).limit(MAX_HOT)
+
+
 def hot_keys(df, by, x, hot_rows=None, seg_rows=None):
-    """Keys over the limit with the lower end and width of their segments.
+    """Hot keys with the values of ``x`` at which their segments begin, by quantiles.
 
-    At most (rows / hot_rows) rows by construction, hence safe to broadcast.
+    An outlier in ``x`` moves no border. A key has at most ``GRID`` segments.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     seg_rows = SEG_ROWS if seg_rows is None else seg_rows
-    span = F.col("__hi") - F.col("__lo") + 1
-    return (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-        .where(F.col("__n") > hot_rows)
-        .select(
-            *by,
-            "__lo",
-            F.greatest(F.lit(1), F.ceil(span / F.ceil(F.col("__n") / seg_rows)))
-            .cast("long")
-            .alias("__w"),
-        )
+    hot = largest_keys(df, by, hot_rows)
+    rows = null_safe_join(df.select(*by, F.col(x).alias("__x")), F.broadcast(hot), by, "inner")
+    grid = F.percentile_approx("__x", [k / GRID for k in range(1, GRID)], 10 * GRID).alias("__grid")
+    many = F.least(F.lit(GRID), F.ceil(F.col("__n") / seg_rows)).cast("int")
+    place = lambda k: F.greatest(F.lit(1), F.floor(k * GRID / many)).cast("int")
+    cuts = F.when(
+        many > 1,
+        F.array_distinct(F.transform(F.sequence(F.lit(1), many - 1), lambda k: F.get("__grid", place(k) - 1))),
     )
+    return rows.groupBy(*by).agg(F.first("__n").alias("__n"), grid).select(*by, cuts.alias("__cuts"))
 
 
 def _seg(x):
-    return F.floor((F.col(x) - F.col("__lo")) / F.col("__w")).cast("long")
+    return F.size(F.filter("__cuts", lambda c: c <= F.col(x))).cast("long")
 
 
 def with_segments(df, by, x, hot):
     """All rows with ``__seg``; 0 for every key that is not hot."""
-    return (
-        df.join(F.broadcast(hot), list(by), "left")
-        .withColumn("__seg", F.coalesce(_seg(x), F.lit(0).cast("long")))
-        .drop("__lo", "__w")
-    )
+    cut = F.when(F.col("__cuts").isNotNull(), _seg(x)).otherwise(F.lit(0).cast("long"))
+    return null_safe_join(df, F.broadcast(hot), by).withColumn("__seg", cut).drop("__cuts")
 
 
 def segment(df, by, x, stats=None, hot_rows=None, seg_rows=None):
@@ -76,7 +88,9 @@ def segment(df, by, x, stats=None, hot_rows=None, seg_rows=None):
 
 
 def _only_hot(df, by, hot):
-    return df.join(F.broadcast(hot.select(*by)), list(by), "left_semi")
+    keys = hot.select(*[F.col(c).alias(f"__r_{c}") for c in by])
+    match = [df[c].eqNullSafe(F.col(f"__r_{c}")) for c in by]
+    return df.join(F.broadcast(keys), match, "left_semi")
 
 
 def _ordered(cols, reverse):
@@ -144,7 +158,7 @@ def running(
             for i, (n, r) in enumerate(runs.items())
         }
     )
-    out = out.join(carry, by + ["__seg"], "left")
+    out = null_safe_join(out, carry, by + ["__seg"])
     out = out.withColumns(
         {n: _combine(r.kind, F.col(n), F.col(f"__c{i}")) for i, (n, r) in enumerate(runs.items())}
     )
