@@ -7,6 +7,7 @@ from checks.registry import query
 from parley.operators import evaluation as E
 from parley.operators import labelling as L
 from parley.operators import records as R
+from parley.operators import spans as P
 from parley.operators import utterances as U
 from parley.plans import flows
 from parley.sources import readers, sinks
@@ -243,7 +244,7 @@ def _(t):
     S.UTT,
     WINS,
     select="""
-SELECT CASE WHEN ((conv_id % 1000003) * 2654435761 + 42) // 65536 % 100 < 80
+SELECT CASE WHEN CAST('0x' || substr(md5('42:' || conv_id), 1, 8) AS BIGINT) % 100 < 80
             THEN 'train' ELSE 'test' END AS split, CAST(conv_id AS VARCHAR) AS id, count(*) AS n
 FROM wins GROUP BY 1, 2""",
 )
@@ -255,6 +256,90 @@ def _(t):
     return out.groupBy(split.alias("split"), "id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "src_7_read_labels",
+    S.LAB,
+    select="SELECT id, text, label, rank FROM lab",
+)
+def _(t):
+    rows = t.label_results().select("id", "text", "label", "rank", "pos")
+    one = F.to_json(F.sort_array(F.collect_list(F.struct("pos", "id", "text", "label"))))
+    path = t.path("labels")
+    rows.groupBy("rank", F.floor(F.col("id") / 50).alias("part")).agg(one.alias("value")).select(
+        "rank", "value"
+    ).hint("rebalance", "rank").write.partitionBy("rank").option("maxRecordsPerFile", 1).text(path)
+    out = readers.read_labels(t.spark, path, pattern="*.txt")
+    rank = F.regexp_extract("file", "rank=([0-9]+)", 1).cast("long")
+    return out.select("id", "text", "label", rank.alias("rank"))
+
+
+@query(
+    "flow_labels_back",
+    S.TOK,
+    select="""
+SELECT conv_id, utt_idx AS line, CASE WHEN event_id % 3 = 0 THEN 'continuer' END AS bc_label,
+       count(*) AS n FROM tok GROUP BY conv_id, utt_idx, event_id""",
+)
+def _(t):
+    toks = t.tokens().join(t.segments().select("conv_id", "utt_idx", "path"), ["conv_id", "utt_idx"])
+    rows = sinks.aligned_lines(toks, ["conv_id", "utt_idx"], F.col("path"))
+    source = _lines_dir(t, "unlabelled", rows.select("conv_id", F.col("utt_idx").alias("ord"), "value"))
+    lines = readers.read_lines(t.spark, source, footer=True).withColumn("conv_id", _conv_of())
+    labels = t.utterances().where("event_id % 3 = 0").select(
+        "conv_id", F.col("utt_idx").alias("line"), F.lit("continuer").alias("label")
+    )
+    done = sinks.labelled_lines(lines.drop("file"), labels, ("conv_id", "line"))
+    path = sinks.write_lines(done, t.path("labelled"), "conv_id", ["line"])
+    out = readers.read_dialogues(t.spark, path)
+    return out.select(_conv_of().alias("conv_id"), "line", "bc_label", F.size("text_stream").cast("long").alias("n"))
+
+
+@query(
+    "flow_merge",
+    S.TOK,
+    """
+firsts AS (SELECT conv_id, speaker, utt_idx, min(start_ms) AS start_ms, count(*) AS n FROM tok GROUP BY 1, 2, 3),
+pair AS (SELECT conv_id FROM firsts GROUP BY 1 HAVING count(DISTINCT speaker) = 2)""",
+    select="""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, speaker, utt_idx) - 1 AS line,
+       speaker, start_ms, n FROM firsts JOIN pair USING (conv_id)""",
+)
+def _(t):
+    toks = t.tokens().join(t.segments().select("conv_id", "utt_idx", "path"), ["conv_id", "utt_idx"])
+    rows = sinks.aligned_lines(toks, ["conv_id", "utt_idx"], F.col("path"), keep=("speaker",))
+    name = F.concat_ws("_", F.col("conv_id").cast("string"), F.lower("speaker"))
+    rows = rows.select(name.alias("name"), F.col("utt_idx").alias("ord"), "value")
+    source = _lines_dir(t, "channels", rows, "name")
+    out = t.path("merged")
+    flows.merge_channel_files(t.spark, source, out, name=r"name=(\d+_[ab])/")
+    lines = readers.read_dialogues(t.spark, out)
+    base = F.regexp_extract("file", "base=([0-9]+)", 1).cast("long")
+    start = F.array_min(F.transform("text_stream", lambda x: x["start_ms"]))
+    return lines.select(
+        base.alias("conv_id"), "line", "speaker", start.alias("start_ms"), F.size("text_stream").cast("long").alias("n")
+    )
+
+
+@query(
+    "snk_4_clusters",
+    S.UTT,
+    """
+o1 AS (SELECT *, coalesce(start_ms >= max(end_ms) OVER (PARTITION BY conv_id ORDER BY start_ms, utt_idx
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens,
+              row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, utt_idx) - 1 AS place FROM utt),
+o2 AS (SELECT *, max(CASE WHEN opens THEN place END) OVER (PARTITION BY conv_id
+              ORDER BY start_ms, utt_idx) AS cluster_id FROM o1)""",
+    select="""
+SELECT conv_id, cluster_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS num_utts
+FROM o2 GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def _(t):
+    members = P.overlap_clusters(t.utterances())
+    path = sinks.write_clusters(members, t.path("clusters"))
+    schema = "conv_id long, cluster_id long, start_ms long, end_ms long, num_utts long"
+    return t.spark.read.schema(schema).json(f"{path}/info")
+
+
 @query(
     "snk_2_record_offsets",
     select="""

@@ -5,10 +5,10 @@ hash buckets over the whole table; any order is right, the counts only make it q
 reach the threshold share a shingle within their prefixes, so candidates meet on prefix shingles.
 
 Components need not every pair. Texts with equal sets are one class from the start. In a first round
-each member of a prefix shingle's group is paired with the group's first and with the member before
-it, which joins large groups of near copies in as many pairs as they have members. A second round
-pairs all members whose components still differ. A link is lost only if its texts are connected
-anyway; nothing is capped.
+each member of a prefix shingle's group is paired with the most central one, in whose order the
+shingle comes first: of near copies that is the least edited one. That joins large groups of near
+copies in about one pair a member. A second round pairs all members whose components still differ. A
+link is lost only if its texts are connected anyway; nothing is capped.
 
 A pair passes on its way: the length and positional filters where it is made, then the suffix filter
 (the element-wise difference of two histograms over hash ranges is a lower bound of what differs), and
@@ -201,8 +201,17 @@ def _pair_arrays(fp, n, i, j):
     return fp[a], fp[b], n[a], n[b]
 
 
+def _central(first, size, pos):
+    """Index of each group's most central member: the shared shingle comes first in its order.
+
+    What comes before it are rarer shingles, such as those of an edited copy.
+    """
+    key = (pos.astype(np.int64) << 32) | np.arange(len(pos))
+    return np.minimum.reduceat(key, first) & ((1 << 32) - 1)
+
+
 def star(postings, share=SHARE):
-    """Pairs with a group's first member and with the one before; and the rows of groups of over 3."""
+    """Pairs of a group's members with its most central one; and the rows of groups of over 2."""
 
     def run(batches):
         for cols in _whole_groups(batches):
@@ -210,13 +219,10 @@ def star(postings, share=SHARE):
             if not len(size):
                 continue
             shingle, fp, n, pos = cols
-            start = np.repeat(first, size)
-            at = np.arange(len(fp))
-            one, two = at[at > start], at[at > start + 1]
-            i, j = np.concatenate((one - 1, start[two])), np.concatenate((one, two))
-            ok = may_link(n[i], pos[i], n[j], pos[j], share)
+            i, j = np.repeat(_central(first, size, pos), size), np.arange(len(fp))
+            ok = (i != j) & may_link(n[i], pos[i], n[j], pos[j], share)
             pairs = pd.DataFrame(dict(zip("a b na nb".split(), _pair_arrays(fp, n, i[ok], j[ok])))).drop_duplicates()
-            big = np.repeat(size > 3, size)
+            big = np.repeat(size > 2, size)
             rows = pd.DataFrame({"shingle": shingle[big], "fp": fp[big], "n": n[big], "pos": pos[big]})
             table = pa.concat_tables(
                 [pa.Table.from_pandas(pairs, preserve_index=False), pa.Table.from_pandas(rows, preserve_index=False)],
@@ -234,29 +240,41 @@ def cross(groups, share=SHARE):
     def run(batches):
         for cols in _whole_groups(batches):
             cols, first, size = _distinct(cols)
-            for at, m in zip(first, size):
+            if not len(size):
+                continue
+            made = []
+            for at, m, centre in zip(first, size, _central(first, size, cols[3])):
                 fp, n, pos, root = (c[at : at + m] for c in cols[1:])
                 if (root == root[0]).all():
                     continue
+                centre -= at
                 block = max(1, PAIR_BLOCK // m)
-                for lo in range(2, m, block):
+                for lo in range(1, m, block):
                     j, i = np.nonzero(root[lo : lo + block, None] != root[None, :])
                     j = j + lo
-                    ok = (i > 0) & (i < j - 1)
+                    ok = (i < j) & (i != centre) & (j != centre)
                     i, j = i[ok], j[ok]
                     ok = may_link(n[i], pos[i], n[j], pos[j], share)
-                    frame = pd.DataFrame(dict(zip("a b na nb".split(), _pair_arrays(fp, n, i[ok], j[ok]))))
-                    yield from pa.Table.from_pandas(frame, preserve_index=False).to_batches()
+                    made.append(pd.DataFrame(dict(zip("a b na nb".split(), _pair_arrays(fp, n, i[ok], j[ok])))))
+                if sum(map(len, made)) > PAIR_BLOCK:
+                    yield from _batches(made)
+                    made = []
+            if made:
+                yield from _batches(made)
 
     ordered = groups.repartition("shingle").sortWithinPartitions("shingle", "n", "fp")
     return ordered.select("shingle", "fp", "n", "pos", "root").mapInArrow(run, PAIRS)
 
 
+def _batches(frames):
+    frame = pd.concat(frames).drop_duplicates()
+    return pa.Table.from_pandas(frame, preserve_index=False).to_batches()
+
+
 def hot_pairs(postings, share=SHARE):
-    """For shingles too frequent for one task: each member with the smallest one, by a join."""
-    member = F.struct("n", "fp", "pos")
-    first = postings.groupBy("shingle").agg(F.min(member).alias("m"))
-    first = first.select(F.col("shingle").alias("_s"), "m.*").toDF("_s", "_n", "_fp", "_pos")
+    """``star`` for shingles too frequent for one task: each member with the most central, by a join."""
+    first = postings.groupBy("shingle").agg(F.min(F.struct("pos", "n", "fp")).alias("m"))
+    first = first.select("shingle", "m.n", "m.fp", "m.pos").toDF("_s", "_n", "_fp", "_pos")
     return _passing(postings.join(first, F.col("shingle") == F.col("_s")), share).distinct()
 
 
@@ -348,9 +366,11 @@ def sets_of(df, text, wanted, width=WIDTH):
 
 def verified(pairs, df, text, width=WIDTH, share=SHARE):
     """The pairs that link, by exact intersection; ``pairs`` is a written table."""
-    sets = materialise(sets_of(df, text, pairs, width), "sets").withColumnRenamed("fp", "_fp")
-    with_a = pairs.select("a", "b").join(sets, F.col("a") == F.col("_fp")).drop("_fp").withColumnRenamed("elements", "x")
-    both = with_a.join(sets, F.col("b") == F.col("_fp")).drop("_fp").withColumnRenamed("elements", "y")
+    # Both joins read one exchange of the sets, dealt by fingerprint.
+    sets = sets_of(df, text, pairs, width)
+    left, right = sets.toDF("_a", "x"), sets.toDF("_b", "y")
+    with_a = pairs.select("a", "b").join(left, F.col("a") == F.col("_a")).select("a", "b", "x")
+    both = with_a.join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -375,20 +395,20 @@ def links(df, counts, text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, h
     postings = postings.select(F.col("e.prefix").alias("shingle"), "fp", "n", "pos", F.col("e.hot").alias("hot"))
     made = materialise(star(postings.filter("not hot"), share), "star")
     often = materialise(postings.filter("hot").drop("hot").distinct(), "hot")
-    pairs = made.filter("a is not null").select("a", "b", "na", "nb").unionByName(hot_pairs(often, share)).distinct()
-    pairs = materialise(suffix_filter(pairs, classes, share), "pairs")
-    edges = materialise(verified(pairs, df, text, width, share), "links")
-    roots = components(edges)
+    groups = made.filter("fp is not null").select("shingle", "fp", "n", "pos")
+
+    def linked(pairs):
+        near = materialise(suffix_filter(pairs.distinct(), classes, share), "pairs")
+        return materialise(verified(near, df, text, width, share), "links")
 
     def labelled(rows):
         known = rows.join(roots, F.col("fp") == F.col("node"), "left")
         return known.select("shingle", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
 
-    groups = made.filter("fp is not null").select("shingle", "fp", "n", "pos")
-    more = cross(labelled(groups), share).unionByName(hot_cross(labelled(often), share)).distinct()
-    more = materialise(suffix_filter(more, classes, share), "pairs")
-    edges = edges.unionByName(verified(more, df, text, width, share))
-    return components(edges)
+    edges = linked(made.filter("a is not null").select("a", "b", "na", "nb").unionByName(hot_pairs(often, share)))
+    roots = components(edges)
+    more = cross(labelled(groups), share).unionByName(hot_cross(labelled(often), share))
+    return components(edges.unionByName(linked(more)))
 
 
 def grouped(df, key="doc_id", text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, hot=HOT):

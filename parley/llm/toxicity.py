@@ -9,13 +9,15 @@ The model is fitted on at most about ``max_train`` labelled rows, picked by a ha
 are always whole. Scoring is a single pass over the table without a shuffle.
 """
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import crc32_mod, materialise, texts_of
+from parley.llm.common import crc32_mod, materialise, texts_of, tree_merge
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 19
@@ -158,14 +160,22 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", fold=(4, 2), max
                 mine = y[first + owner]
                 for k in (0, 1):
                     total[k] += np.bincount(bucket[mine == k], minlength=1 << bits)
-        yield pd.DataFrame({"texts": [texts.tolist()], "counts": [total.astype("<i4").tobytes()]})
-
-    negative, positive = np.zeros(1 << bits), np.zeros(1 << bits)
-    sizes = np.zeros(2)
-    # 16 rows of a size that the parameters fix.
-    for row in train.repartition(16).mapInPandas(count, "texts array<long>, counts binary").toLocalIterator():
-        part = np.frombuffer(row["counts"], "<i4").reshape(2, -1)
-        negative, positive, sizes = negative + part[0], positive + part[1], sizes + row["texts"]
+        yield packed(texts, total)
+
+    def packed(texts, total):
+        counts = zlib.compress(total.astype("<i4").tobytes(), 1)
+        return pd.DataFrame({"clean": [int(texts[0])], "toxic": [int(texts[1])], "counts": [counts]})
+
+    def add(frame):
+        total = sum(np.frombuffer(zlib.decompress(c), "<i4").astype(np.int64) for c in frame["counts"])
+        return packed(frame[["clean", "toxic"]].sum().to_numpy(), total)
+
+    part = train.mapInPandas(count, "clean long, toxic long, counts binary")
+    sizes, negative, positive = np.zeros(2), np.zeros(1 << bits), np.zeros(1 << bits)
+    # One row of a size that the parameters fix.
+    for row in tree_merge(part.withColumn("_task", F.spark_partition_id()), add).collect():
+        sizes = np.array([row["clean"], row["toxic"]], float)
+        negative, positive = np.frombuffer(zlib.decompress(row["counts"]), "<i4").reshape(2, -1).astype(float)
     if not sizes.all():  # one class only, or no labelled text: the share of toxic texts is all there is
         share = np.clip((sizes[1] + 0.5) / (sizes.sum() + 1), 1e-6, 1 - 1e-6)
         return Model(np.zeros(1 << bits), float(np.log(share / (1 - share))), bits, orders)
