@@ -42,10 +42,12 @@ JUNK = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|comments?|commentlist|"
     r"disqus\w*|respond|replies|reply|cookies?|cookiebar|consent|gdpr|notices?|notification\w*|alerts?|popup\w*|modal|overlay|"
     r"newsletter\w*|subscribe\w*|subscription|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumbs?|"
-    r"menu\w*|nav|navbar|navigation|footer\w*|header|masthead|toolbar|topbar|pagination|pager|widgets?|outbrain|taboola|"
+    r"menu\w*|nav|navbar|navigation|footer\w*|masthead|toolbar|topbar|pagination|pager|widgets?|outbrain|taboola|"
     r"search\w*|skip|copyright|disclaimer|teasers?|tags?|tagcloud)(?=$|[\s_-])",
     re.I,
 )
+#: Junk outside of an article only; inside it is the article's own head.
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"article|body|content|entry|main|page|post|text|story|blog", re.I)
 BAD = re.compile(r"hidden|foot|meta|outbrain|shout|tool|list|link|combx|contact", re.I)
 TAG = re.compile(
@@ -194,7 +196,7 @@ def prune(nodes):
         role = values.get("role", "").strip().lower()
         hidden = "hidden" in values or values.get("aria-hidden") == "true"
         hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I)
-        junk = role in ROLES or JUNK.search(joined)
+        junk = role in ROLES or JUNK.search(joined) or (not inside[node] and HEADER.search(joined))
         if hidden or (junk and not node.article and tag not in HEADINGS):
             node.dropped = True
     return names

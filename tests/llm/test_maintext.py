@@ -21,6 +21,11 @@ def test_article_without_its_surroundings():
     assert maintext.main_text(html) == f"T & U\n{CLEAN}\nShort.\none\ntwo\nx é y z"
 
 
+def test_headers_of_the_page_and_of_the_article():
+    html = page(f'<div class="page-header">Site</div><article><div class="entry-header"><h1>A</h1></div><p>{LONG}</p></article>')
+    assert maintext.main_text(html) == f"A\n{CLEAN}"
+
+
 def test_unclosed_tags():
     html = page(f"<article><h1>A</h1><p><b>{LONG}<br><p>{LONG}</p><p>end</article><footer>no</footer>")
     assert maintext.main_text(html) == f"A\n{CLEAN}\n{CLEAN}\nend"
