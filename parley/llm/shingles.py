@@ -2,7 +2,7 @@
 
 import numpy as np
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -23,7 +23,8 @@ ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 19
 FEATURES = 4096
 MAX_TRAIN = 16384
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+ROWS = 512  # of a batch whose texts are copied at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -153,9 +154,10 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", fold=(4, 2), max
         total = np.zeros((2, 1 << bits), np.int64)
         texts = np.zeros(2, np.int64)
         for frame in frames:
-            encoded, y = [t.encode() for t in frame["text"]], frame["label"].to_numpy()
+            y = frame["label"].to_numpy()
             texts += np.bincount(y, minlength=2)
-            for first, some in in_chunks(encoded):
+            for first, some in in_chunks(frame["text"].tolist()):
+                some = [t.encode() for t in some]
                 owner, bucket = present(some, None, bits, orders)
                 mine = y[first + owner]
                 for k in (0, 1):
@@ -188,8 +190,9 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", fold=(4, 2), max
     def hits(frames):
         table = used.value >= 0
         for frame in frames:
-            encoded, out = [t.encode() for t in frame["text"]], []
-            for _, some in in_chunks(encoded):
+            out = []
+            for _, some in in_chunks(frame["text"].tolist()):
+                some = [t.encode() for t in some]
                 owner, bucket = present(some, table, bits, orders)
                 out += np.split(used.value[bucket], np.searchsorted(owner, np.arange(1, len(some))))
             yield pd.DataFrame({"label": frame["label"], "cols": [x.astype("<i4").tobytes() for x in out]})
@@ -217,8 +220,10 @@ def scored(df, model, text="text", score="score"):
 
     def run(batches):
         for batch in batches:
-            values = sent.value.score(texts_of(batch.column(at))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, score])
+            for first in range(0, batch.num_rows, ROWS):
+                some = batch.slice(first, ROWS)
+                values = sent.value.score(texts_of(some.column(at)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(values, pa.float64())], names=[*names, score])
 
     return df.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ import json
 import numpy as np
 
 LONG_RUN = 24
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 NO_RANK = np.int32(1 << 30)
 
 
