@@ -266,15 +266,31 @@ class Adam:
         return loss
 
 
-def train(weights, windows, rate, steps=200, seed=0):
-    """One pass over windows of numbers, shape (n, SPAN + 1), from copies of the weights.
-
-    A pass has about ``steps`` steps, of 16 to 256 windows each.
+def in_parts(blocks, most=1 << 18):
+    """Blocks of windows put together to parts of about ``most`` windows."""
+    held, n = [], 0
+    for block in blocks:
+        held.append(block.astype(np.int16))  # numbers go up to TAIL
+        n += len(block)
+        if n >= most:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def train(weights, blocks, rate, steps=200, seed=0):
+    """(weights, number of windows): one pass over blocks of windows of numbers, shape (n, SPAN + 1).
+
+    Starts from copies of the weights. Blocks are read one after another; windows are mixed within
+    parts of bounded size. A part has about ``steps`` steps, of 16 to 256 windows each.
     """
-    adam = Adam({k: v.copy() for k, v in weights.items()}, rate)
-    batch = min(max(len(windows) // steps, 16), 256)
-    order = np.random.default_rng(seed).permutation(len(windows))
-    for at in range(0, len(order), batch):
-        some = windows[order[at : at + batch]]
-        adam.step(some[:, :-1], some[:, 1:])
-    return adam.w
+    adam, rng, n = Adam({k: v.copy() for k, v in weights.items()}, rate), np.random.default_rng(seed), 0
+    for windows in in_parts(blocks):
+        batch = min(max(len(windows) // steps, 16), 256)
+        order = rng.permutation(len(windows))
+        for at in range(0, len(order), batch):
+            some = windows[order[at : at + batch]].astype(np.int64)
+            adam.step(some[:, :-1], some[:, 1:])
+        n += len(windows)
+    return adam.w, n

@@ -1,10 +1,9 @@
 """Language-model scores of whole texts, and a smoothed unigram base.
 
-``gather`` reads the corpus once. Every task counts the words of its training texts and cuts short
-windows from each of them, more from longer ones, so both grow with the corpus. Word counts are merged
-by hash range; the attention model (``attention.py``) starts from the windows' id frequencies and is
-trained on all windows, data-parallel: each task makes one pass over its own from the common weights,
-and the weights are averaged, round after round.
+``gather`` reads the corpus once. Every task counts the words and the ids of its training texts and cuts
+all their ids into windows. Word counts are merged by hash range; the attention model (``attention.py``)
+starts from the id counts and is trained on all windows, data-parallel: each task makes one pass over
+its own from the common weights, and the weights are averaged, round after round.
 
 ``score`` reads the corpus a second time. The most frequent words (a fixed number) and the model go to
 the tasks; a text's other words are dealt by hash range to where their counts are, and only sums come
@@ -29,6 +28,8 @@ END_WORD = 0x5D1E_57A9_0C3B_F7E1  # the hash that stands for the end of a text
 HEAVY = 1 << 17
 SLICE_BYTES = 320
 SLICE_EVERY = 6144
+IDS = -1  # stands in place of a hash range: a task's id counts
+FLUSH_IDS = 1 << 18
 FLUSH_WORDS = 6_000_000
 RATES = (0.04, 0.015)
 LN10 = float(np.log(10))
@@ -57,7 +58,7 @@ def range_of(h, ranges):
 
 
 def slices(text):
-    """Short parts of a text, from places that its bytes decide; cut at white space."""
+    """Short parts of a text, from places that its bytes decide; cut at white space. Training reads whole texts."""
     n, seed, out = len(text), zlib.crc32(text), []
     if n <= 2 * SLICE_BYTES:
         return [text]
@@ -78,12 +79,19 @@ def slices(text):
 
 
 def gather(df, vocab, ranges, key="key", text="text", fold=(10, 0)):
-    """Rows of (range, task, data): word counts by range, and windows of ids (range null)."""
+    """Rows of (range, task, data): word counts by range, id counts (range ``IDS``), windows of ids (range null).
+
+    A task's training texts are one stream of ids, an end id before the first and after each. Every id
+    but the first is a window's target; the last window reaches back over ids of the one before, or is
+    filled up with end ids in front, so the last ``SPAN`` ids may be targets twice.
+    """
     span = attention.SPAN
 
     def run(batches):
         bpe, task = wordbpe.load(vocab), TaskContext.get().partitionId()
-        keys, counts, waiting, stream = [], [], 0, []
+        keys, counts, waiting = [], [], 0
+        stream, ready, back = [np.array([END_ID])], 0, np.zeros(0, np.int64)
+        seen = np.zeros(len(bpe.width), np.int64)
 
         def words():
             h, c = summed(np.concatenate(keys), np.concatenate(counts))
@@ -104,6 +112,10 @@ def gather(df, vocab, ranges, key="key", text="text", fold=(10, 0)):
             at = np.arange(n)[:, None] * span + np.arange(span + 1)[None, :]
             return rows([None], [ids[at].astype("<u2").tobytes()])
 
+        def last(ids):
+            before = np.full(max(span + 1 - len(ids), 0), END_ID)
+            return windows(np.concatenate((before, ids))[-span - 1 :])
+
         for batch in batches:
             held = [zlib.crc32(str(k).encode() if k is not None else b"") % fold[0] == fold[1] for k in batch.column(0).to_pylist()]
             train = [lowered(t) for t, h in zip(texts_of(batch.column(1)), held) if not h]
@@ -114,19 +126,30 @@ def gather(df, vocab, ranges, key="key", text="text", fold=(10, 0)):
                 keys.append(u)
                 counts.append(c)
                 waiting += len(u)
-                parts = [p for t in some for p in slices(t)]
-                for ids in bpe.encode(parts):
-                    stream += [ids, [END_ID]]
-            if waiting > FLUSH_WORDS:
-                yield words()
-                keys, counts, waiting = [], [], 0
-            if sum(map(len, stream)) > 1 << 18:
-                yield windows(np.concatenate(stream))
-                stream = []
+                ids = np.concatenate([x for t in bpe.encode(some) for x in (t, [END_ID])]).astype(np.int64)
+                seen += np.bincount(ids, minlength=len(seen))
+                stream.append(ids)
+                ready += len(ids)
+                if ready > FLUSH_IDS:
+                    ids = np.concatenate(stream)
+                    yield windows(ids)
+                    # What is left over, and a window's worth before it for the last one.
+                    done = (len(ids) - 1) // span * span
+                    stream, ready, back = [ids[done:]], 0, ids[done - span : done]
+                if waiting > FLUSH_WORDS:
+                    yield words()
+                    keys, counts, waiting = [], [], 0
         if keys:
             yield words()
-        if stream and sum(map(len, stream)) > span:
-            yield windows(np.concatenate(stream))
+        if seen.any():
+            yield rows([IDS], [zlib.compress(seen.astype("<i8").tobytes(), 1)])
+        ids = np.concatenate(stream)
+        if len(ids) > span:
+            yield windows(ids)
+            done = (len(ids) - 1) // span * span
+            ids, back = ids[done:], ids[done - span : done]
+        if len(ids) > 1:
+            yield last(np.concatenate((back, ids)))
 
     return df.select(key, text).mapInArrow(run, "range int, task int, data binary")
 
@@ -157,7 +180,7 @@ def word_counts(gathered):
         )
 
     schema = "range int, data binary, distinct long, total long, classes array<int>, members array<long>"
-    return materialise(gathered.filter("range is not null").groupBy("range").applyInPandas(merge, schema), "words")
+    return materialise(gathered.filter(F.col("range") != IDS).groupBy("range").applyInPandas(merge, schema), "words")
 
 
 def size_class(c):
@@ -195,21 +218,14 @@ def _windows_of(blob):
 
 
 def trained(gathered, size, rates=RATES):
-    """(weights, vocabulary) from the gathered windows of ids below ``size``."""
+    """(weights, vocabulary) from the gathered counts and windows of ids below ``size``."""
     blobs = gathered.filter("range is null").select("data")
 
-    def count(frames):
-        total = np.zeros(size, np.int64)
-        for frame in frames:
-            for blob in frame["data"]:
-                total += np.bincount(_windows_of(blob)[:, 1:].ravel(), minlength=size)
-        yield pd.DataFrame({"data": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
-
     def add(frame):
         total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in frame["data"])
         return pd.DataFrame({"data": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
-    part = blobs.mapInPandas(count, "data binary").withColumn("_task", F.spark_partition_id())
+    part = gathered.filter(F.col("range") == IDS).select("data", F.col("task").alias("_task"))
     found = [r["data"] for r in tree_merge(part, add).collect()]
     counts = np.frombuffer(zlib.decompress(found[0]), "<i8") if found else np.zeros(size, np.int64)
     vocabulary = attention.Vocabulary(counts, END_ID)
@@ -224,12 +240,10 @@ def _round(blobs, weights, vocabulary, rate):
 
     def train(frames):
         start, known = sent.value
-        mine = [known.number[_windows_of(b)] for f in frames for b in f["data"]]
-        if not mine:
-            return
-        mine = np.concatenate(mine)
-        out = attention.pack(attention.train(start, mine, rate)).astype(np.float64)
-        yield pd.DataFrame({"n": [float(len(mine))], "data": [(out * len(mine)).tobytes()]})
+        mine = (known.number[_windows_of(b)] for f in frames for b in f["data"])
+        out, n = attention.train(start, mine, rate)
+        if n:
+            yield pd.DataFrame({"n": [float(n)], "data": [(attention.pack(out).astype(np.float64) * n).tobytes()]})
 
     def add(frame):
         total = sum(np.frombuffer(x, "<f8") for x in frame["data"])

@@ -121,3 +121,29 @@ def test_slices_follow_the_text():
     parts = lm.slices(text)
     assert len(parts) == 1 + len(text) // lm.SLICE_EVERY
     assert all(p.strip() in text for p in parts)
+
+
+def test_training_sees_every_token(spark, vocab, edge_docs):
+    from parley.llm import wordbpe
+
+    bpe, held = wordbpe.load(vocab), lambda k: zlib.crc32(str("" if k is None else k).encode()) % 10 == 0
+    rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
+    want = Counter()
+    for ids in bpe.encode([lm.lowered((t or "").encode()) for k, t in rows if not held(k)]):
+        want.update([*map(int, ids), lm.END_ID])
+    docs = edge_docs.repartition(3)
+    got = lm.gather(docs.select("doc_id", "text"), vocab, 16, key="doc_id").collect()
+    counts = sum(np.frombuffer(zlib.decompress(r["data"]), "<i8") for r in got if r["range"] == lm.IDS)
+    assert {k: int(n) for k, n in enumerate(counts) if n} == dict(want)
+    blobs = [r for r in got if r["range"] is None]
+    targets = Counter(int(i) for r in blobs for i in lm._windows_of(r["data"])[:, 1:].ravel())
+    assert not want - targets
+    assert sum(targets.values()) <= sum(want.values()) + attention.SPAN * len({r["task"] for r in blobs})
+
+
+def test_a_pass_takes_all_blocks():
+    weights, vocabulary = small()
+    blocks = [numbers(n, attention.SPAN + 1, vocabulary) for n in (40, 7, 100)]
+    assert sum(map(len, attention.in_parts(blocks, most=50))) == 147
+    assert attention.train(weights, iter(blocks), 0.01)[1] == 147
+    assert attention.train(weights, iter([]), 0.01)[1] == 0
