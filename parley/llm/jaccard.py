@@ -8,7 +8,11 @@ Components need not every pair. Texts with equal sets are one class from the sta
 each member of a prefix shingle's group is paired with the most central one, in whose order the
 shingle comes first: of near copies that is the least edited one. That joins large groups of near
 copies in about one pair a member. A second round pairs all members whose components still differ. A
-link is lost only if its texts are connected anyway; nothing is capped.
+link is left out here only if its texts are connected anyway; nothing is capped.
+
+All links lie within these components, so a third step finds them there: a component's members are cut
+into chunks, every pair of chunks is a task's block, and a block's intersections are all taken exactly.
+Components whose pairs are all known links already need no blocks.
 
 A pair passes on its way: the length and positional filters where it is made, then the suffix filter
 (the element-wise difference of two histograms over hash ranges is a lower bound of what differs), and
@@ -34,6 +38,9 @@ BINS = 128
 HOT = 20_000  # occurrences from which a shingle's group may be dealt over many tasks
 FILTER_BITS = 23
 PAIR_BLOCK = 1 << 20
+BLOCK = 512  # members in a chunk of a component
+BLOCK_ELEMENTS = 1 << 19  # and their elements
+LINKS = "fp long, to long, links long"
 
 
 def prefix_length(n, share=SHARE):
@@ -387,8 +394,8 @@ def verified(pairs, df, text, width=WIDTH, share=SHARE):
     return both.mapInArrow(run, "a long, b long")
 
 
-def links(df, counts, text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, hot=HOT):
-    """(node, root) of all classes that link with another one."""
+def spanning(df, counts, text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, hot=HOT):
+    """Links (a, b) that connect all classes which links connect; not every link."""
     raw = materialise(class_rows(df, text, counts, width, share, bits, hot), "classes")
     classes = raw.select("fp", "bins").dropDuplicates(["fp"])
     postings = raw.select("fp", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "e"))
@@ -408,23 +415,160 @@ def links(df, counts, text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, h
     edges = linked(made.filter("a is not null").select("a", "b", "na", "nb").unionByName(hot_pairs(often, share)))
     roots = components(edges)
     more = cross(labelled(groups), share).unionByName(hot_cross(labelled(often), share))
-    return components(edges.unionByName(linked(more)))
+    return edges.unionByName(linked(more))
+
+
+def overlaps(sets, left, step=4096):
+    """Sizes of the intersections of the first ``left`` sets with the others, or of all if ``left`` is 0."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(many[column] > 1)
+    column = (np.cumsum(many > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[shared][order], column[order]
+    out = np.zeros((left or m, m - left), np.int64)
+    for lo in range(0, int((many > 1).sum()), step):
+        a, b = np.searchsorted(column, (lo, lo + step))
+        has = np.zeros((m, step), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        out += (has[: left or m] @ has[left:].T).astype(np.int64)
+    return out
+
+
+def block_rows(fp, weight, sets, left, every, share=SHARE):
+    """Columns (fp, to, links) of a block: the first ``left`` classes against the others, or all if it is 0.
+
+    Rows with ``to`` are links: every one, or as many as connect what all of them do. The others sum the
+    weights of the classes that a class links with.
+    """
+    m, n = len(fp), np.array([len(x) for x in sets])
+    same = overlaps(sets, left)
+    ok = 100 * same >= share * (n[: left or m, None] + n[None, left:] - same)
+    if left:
+        near = np.zeros((m, m), bool)
+        near[:left, left:], near[left:, :left] = ok, ok.T
+    else:
+        near = ok
+        np.fill_diagonal(near, False)
+    if every:
+        a, b = np.nonzero(np.triu(near))
+    else:
+        a, b, seen = [], [], np.zeros(m, bool)
+        for start in range(m):
+            todo, seen[start] = [] if seen[start] else [start], True
+            while todo:
+                x = todo.pop()
+                new = np.flatnonzero(near[x] & ~seen)
+                seen[new] = True
+                a += [x] * len(new)
+                b += new.tolist()
+                todo += new.tolist()
+    linked = np.flatnonzero(near.any(1))
+    total = near[linked] @ weight
+    lead, to = fp[np.asarray(a, np.int64)], fp[np.asarray(b, np.int64)]
+    return (
+        pa.array(np.concatenate((np.minimum(lead, to), fp[linked]))),
+        pa.concat_arrays([pa.array(np.maximum(lead, to)), pa.nulls(len(linked), pa.int64())]),
+        pa.concat_arrays([pa.nulls(len(lead), pa.int64()), pa.array(total)]),
+    )
+
+
+def links(df, edges, sizes, text="text", width=WIDTH, share=SHARE, block=BLOCK, every=False):
+    """Written rows (fp, to, links) of all links between classes, see ``block_rows``.
+
+    ``edges`` are spanning links, ``sizes`` has a row (fp, weight, n) per class.
+    """
+    roots = components(edges)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = roots.withColumnRenamed("node", "fp").join(sizes.select("fp", "weight", "n"), "fp")
+    members = materialise(members, "classes-linked")
+    known = edges.join(members.select(F.col("fp").alias("a"), "root"), "a")
+    have = known.groupBy("root").agg(F.count(F.lit(1)).alias("have"))
+    groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements")).join(have, "root")
+    groups = materialise(groups, "groups")
+    whole = F.col("have") * 2 >= F.col("k") * (F.col("k") - 1)
+
+    complete = known.join(groups.filter(whole).select("root"), "root", "left_semi").select("a", "b")
+    ends = complete.select("a", "b").unionByName(complete.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(members.select(F.col("fp").alias("b"), "weight"), "b").groupBy("a").agg(F.sum("weight").alias("links"))
+    ready = complete.select(F.col("a").alias("fp"), F.col("b").alias("to"), F.lit(None).cast("long").alias("links"))
+    ready = ready.unionByName(ends.select(F.col("a").alias("fp"), F.lit(None).cast("long").alias("to"), "links"))
+
+    chunks = F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    rest = members.join(groups.filter(~whole).select("root", chunks.alias("chunks")), "root")
+    rest = materialise(rest.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")), "rest")
+    sets = sets_of(df, text, rest.select(F.col("fp").alias("a"), F.col("fp").alias("b")), width)
+    dealt = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).join(sets, "fp")
+    low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+    dealt = dealt.select("root", low, high, "chunk", "fp", "weight", "elements")
+    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "chunk")
+
+    def run(batches):
+        now, held = None, []
 
+        def block_of():
+            chunk, fp, weight, some = zip(*held)
+            left = chunk.count(now[1]) if now[1] < now[2] else 0
+            if now[1] < now[2] and left in (0, len(fp)):  # nothing on one side
+                return
+            some = [np.frombuffer(x.as_buffer(), np.uint64) for x in some]
+            columns = block_rows(np.array(fp), np.array(weight), some, left, every, share)
+            yield pa.RecordBatch.from_arrays(list(columns), names=["fp", "to", "links"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            values = zip(*(batch.column(k).to_pylist() for k in range(3, 6)), batch.column(6))
+            for key, value in zip(keys, values):
+                if key != now and held:
+                    yield from block_of()
+                    held = []
+                now = key
+                held.append(value)
+        if held:
+            yield from block_of()
+
+    return materialise(ready.unionByName(dealt.mapInArrow(run, LINKS)), "all-links")
+
+
+def class_sizes(rows):
+    """A row per class: its smallest key, rows (``weight``) and elements (``n``)."""
+    some = rows.filter("fp is not null").groupBy("fp")
+    return some.agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("weight"), F.max("n_shingles").alias("n"))
 
-def grouped(df, key="doc_id", text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, hot=HOT):
-    """key, n_shingles and component_id of every row.
 
-    ``component_id`` is the smallest key reachable by links (null keys are larger than any other).
+def link_pairs(df, key="doc_id", text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, hot=HOT, block=BLOCK):
+    """(a, b) of all links between different sets, once each; a class stands as its smallest key."""
+    rows, counts = described(df, key, text, width, bits)
+    sizes = materialise(class_sizes(rows), "sizes")
+    found = links(df, materialise(spanning(df, counts, text, width, share, bits, hot), "spanning"), sizes, text, width, share, block, every=True)
+    name = lambda c: sizes.select(F.col("fp").alias(f"_{c}"), F.col("least").alias(c))
+    pairs = found.filter("to is not null").join(name("a"), F.col("fp") == F.col("_a")).join(name("b"), F.col("to") == F.col("_b"))
+    return pairs.select("a", "b")
+
+
+def grouped(df, key="doc_id", text="text", width=WIDTH, share=SHARE, bits=SKETCH_BITS, hot=HOT, block=BLOCK):
+    """key, n_shingles, component_id and n_links of every row.
+
+    ``component_id`` is the smallest key reachable by links (null keys are larger than any other),
+    ``n_links`` the number of other rows that link with the row, those with an equal set among them.
     A text without words links with nothing and is its own component; a null text counts as empty.
     """
     rows, counts = described(df, key, text, width, bits)
-    roots = links(df, counts, text, width, share, bits, hot)
-    known = rows.join(roots, F.col("fp") == F.col("node"), "left")
-    known = materialise(known.select("key", "n_shingles", F.coalesce("root", "fp").alias("root")), "members")
+    sizes = materialise(class_sizes(rows), "sizes")
+    edges = materialise(spanning(df, counts, text, width, share, bits, hot), "spanning")
+    found = links(df, edges, sizes, text, width, share, block)
+    roots = components(found.filter("to is not null").select(F.col("fp").alias("a"), F.col("to").alias("b")))
+    many = found.filter("to is null").groupBy("fp").agg(F.sum("links").alias("links"))
+    classes = sizes.join(many, "fp", "left").join(roots, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    )
+    known = rows.join(classes, F.col("fp") == F.col("_fp"), "left")
+    known = materialise(known.select("key", "n_shingles", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "members")
     least = known.filter("root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
     joined = known.join(least.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"), "left")
     own = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return joined.select("key", "n_shingles", own.alias("component_id"))
+    return joined.select("key", "n_shingles", own.alias("component_id"), "n_links")
 
 
 def representatives(df, key="doc_id", text="text", **options):
@@ -440,4 +584,4 @@ def representatives(df, key="doc_id", text="text", **options):
 
 def documents_query(docs):
     """op9: size of the shingle set and component of every document."""
-    return grouped(docs).withColumnRenamed("key", "doc_id")
+    return grouped(docs).select(F.col("key").alias("doc_id"), "n_shingles", "component_id")

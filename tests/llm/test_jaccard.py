@@ -156,3 +156,23 @@ def test_components(spark, shape):
                 seen.add(x)
                 todo.append(x)
         assert got.get(node, node) == min(seen)
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_all_links_against_brute_force(spark, block):
+    rows = families(3, 10)
+    rows += [(5, rows[0][1]), (7, rows[0][1].upper()), (8, ""), (9, None)]
+    base = [f"w{k}" for k in range(120)]
+    rows += [(100 + k, " ".join([*base[: 5 * k], f"x{k}", *base[5 * k + 1 :]])) for k in range(20)]
+    sets = {k: shingle_set(t) for k, t in rows}
+    link = lambda a, b: len(a & b) > 0 and 100 * len(a & b) >= 75 * len(a | b)
+    least = {}
+    for k in sorted(sets):
+        least.setdefault(sets[k], k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {(a, b) for x, a in least.items() for y, b in least.items() if a < b and link(x, y)}
+    pairs = [tuple(sorted((r["a"], r["b"]))) for r in jaccard.link_pairs(docs, bits=12, block=block).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    got = {r["key"]: r["n_links"] for r in jaccard.grouped(docs, bits=12, block=block).collect()}
+    assert got == {k: sum(k != j and link(sets[k], sets[j]) for j in sets) for k in sets}
+    assert len(want) > len(least)
