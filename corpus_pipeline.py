@@ -10,8 +10,8 @@ from parley.llm import exactdedup, jaccard, packing, toxicity
 from parley.llm.common import materialise
 from parley.llm.queries import table, vocab_path
 
-#: From this probability on a text is rejected: more likely toxic than not.
-TOXIC = 0.5
+#: From this probability on a text is rejected: what op6 predicts as toxic.
+TOXIC = toxicity.THRESHOLD
 
 
 def drop_toxic(spark, docs, sf_dir):

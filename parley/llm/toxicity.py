@@ -23,6 +23,7 @@ ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 19
 FEATURES = 4096
 MAX_TRAIN = 16384
+THRESHOLD = 0.3  # from this probability on a text is predicted toxic
 CHUNK = 1 << 19
 ROWS = 512  # of a batch whose texts are copied at a time
 
@@ -228,7 +229,7 @@ def scored(df, model, text="text", score="score"):
     return df.mapInArrow(run, schema)
 
 
-def documents_query(docs, labels, threshold=0.3):
+def documents_query(docs, labels, threshold=THRESHOLD):
     """op6: toxicity of all documents; learns only where crc32(doc_id) mod 4 is not 2."""
     rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
     return rows.select(

@@ -43,3 +43,14 @@ def test_stages_take_clashing_columns(spark, clashing):
         assert docs.columns == clashing.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
     assert zlib.crc32(b"") == 0
+
+
+def test_stage_rejects_what_op6_predicts(spark):
+    from parley.llm import toxicity
+
+    where = SF.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{where}/{name}.parquet") for name in ("documents", "labels"))
+    found = toxicity.documents_query(docs, labels).collect()
+    assert any(0.3 <= r["score"] < 0.5 for r in found)
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, where)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in found if not r["predicted"])
