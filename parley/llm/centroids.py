@@ -204,7 +204,8 @@ def summed(rows, tree):
                     mine = who == cluster
                     d = best[mine].astype(object) if best.dtype == object or best.max(initial=0) > LONG // BATCH else best[mine]
                     add(total, int(cluster), int(mine.sum()), m[mine].sum(0).astype(object), int(d.sum()))
-        yield frame_of(total, 0)
+        if total:
+            yield frame_of(total, 0)
 
     def merge(key, frame):
         total = {}
