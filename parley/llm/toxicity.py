@@ -35,17 +35,18 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 def grams(texts, orders=ORDERS, bits=BUCKET_BITS):
     """Yield (text number, bucket) arrays of all n-grams, one pair of arrays for each order.
 
-    Every text gets a blank at either end. N-grams never span two texts.
+    Every text gets a blank at either end. N-grams never span two texts; a NUL in a text is a byte like others.
     """
     raw = b"\0".join(b" " + t + b" " for t in texts) + b"\0"
+    end = np.zeros(len(raw), bool)
+    end[np.cumsum([len(t) + 3 for t in texts]) - 1] = True
     b = _LOWER[np.frombuffer(raw, np.uint8)]
     high = np.flatnonzero((b >= 0x80) & (b <= 0x9E))
     if len(high):  # capital Latin letters of two bytes
         b[high[(b[high - 1] == 0xC3) & (b[high] != 0x97)]] += 0x20
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
-    b = b[keep]
-    end = b == 0
+    b, end = b[keep], end[keep]
     owner = np.cumsum(end, dtype=np.int32) - end
     h = np.zeros(len(b), np.uint64)
     stop = np.zeros(len(b), bool)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -79,3 +80,57 @@ def test_grams_are_those_of_each_text():
         alone, same = toxicity.present([low.strip(b" ")], orders=(3, 4))
         assert found == set(same)
         assert len(found) == len({low[i : i + n] for n in (3, 4) for i in range(len(low) - n + 1)})
+
+
+def plain_grams(text):
+    """Buckets of one text, n-gram by n-gram."""
+    b = bytearray(b" " + text + b" ")
+    for i, x in enumerate(b):
+        b[i] = 32 if 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x
+    for i in range(1, len(b)):
+        if 0x80 <= b[i] <= 0x9E and b[i - 1] == 0xC3 and b[i] != 0x97:
+            b[i] += 32
+    while b"  " in b:
+        b = bytearray(bytes(b).replace(b"  ", b" "))
+    out = set()
+    for n in toxicity.ORDERS:
+        for i in range(len(b) - n + 1):
+            h = 0
+            for x in b[i : i + n]:
+                h = (h * 0x100000001B3 + x + 1) % (1 << 64)
+            out.add((h + n) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - toxicity.BUCKET_BITS))
+    return out
+
+
+NULS = [b"good \0 day", b"\0", b"\0\0 a\0", b"", b"plain", "É\0è".encode(), b" \t A\0 \n", b"idiot\0idiot"]
+
+
+def test_grams_against_brute_force():
+    owner, bucket = toxicity.present(NULS)
+    for k, text in enumerate(NULS):
+        assert set(bucket[owner == k].tolist()) == plain_grams(text), text
+
+
+def test_fit_and_scores_against_brute_force(spark):
+    """Ratios from plain counts, the fit at its optimum, scores as plain sums; NULs in training and scored rows."""
+    rows, labels = corpus(200)
+    rows = [(k, t + ("\0 x\0" if k % 7 == 0 else "")) for k, t in rows]
+    docs, known = tables(spark, rows, labels)
+    model = toxicity.fit(docs, known)
+    train = [(t.encode(), y) for (k, t), (_, _, y) in zip(rows, labels) if zlib.crc32(str(k).encode()) % 4 != 2]
+    sets = [plain_grams(t) for t, _ in train]
+    used = np.flatnonzero(model.weights)
+    assert len(used) > 100
+    count = {y: np.ones(1 << toxicity.BUCKET_BITS) for y in (0, 1)}
+    for s, (_, y) in zip(sets, train):
+        count[y][list(s)] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    w = model.weights[used] / ratio[used]
+    x = np.array([[ratio[b] * (b in s) for b in used] for s in sets])
+    y = np.array([y for _, y in train], float)
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
+    assert np.abs(x.T @ (p - y) + 0.3 * w).max() / len(y) < 0.02 and abs((p - y).mean()) < 0.02
+    got = {r["doc_id"]: r["score"] for r in toxicity.documents_query(docs, known).collect()}
+    for k, t in rows:
+        z = model.intercept + sum(model.weights[b] for b in plain_grams(t.encode()))
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-9
