@@ -21,7 +21,10 @@ SLICES, FILES = 3, 4
 
 def _stream(t, name, df, time, tail=None):
     """A stream over ``df`` in ``SLICES`` spans of time, each of some files and a trigger, then ``tail``."""
-    path = t.path(name)
+    path, whole = t.path(name), t.path(name + "_whole")
+    schema = df.schema
+    df.write.parquet(whole)
+    df = t.spark.read.schema(schema).parquet(whole)
     cuts = df.select(F.percentile_approx(time, [k / SLICES for k in range(1, SLICES)])).first()[0]
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):

@@ -1,23 +1,34 @@
 """Structured Streaming forms of the chunk, utterance, tagging, label and score operators.
 
-The stateful ones hold one conversation's open lines per key. How many rows of a conversation come
-in one trigger is up to the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+The stateful ones are in ``processors``; a stream that uses them is started in a session that is
+``prepared``. How many rows of a conversation come in one trigger is up to the source
+(``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 
 Event time is a timestamp column ``ts`` made from the millisecond columns. All functions take and
 return (streaming) DataFrames; the caller picks sink, trigger and checkpoint folder.
 """
 
-import json
-import sys
-
 import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley import model as M
 from parley.functions import tagged as G
 from parley.operators import dialogue as D
+from parley.streaming import processors as P
+
+IDLE = "7 days"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def prepared(spark):
+    """Set the session's state store to the one that the stateful forms need, writing changes, not copies.
+
+    Making a stateful form does it; a stream that is started later from another session needs it again.
+    """
+    spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return spark
 
 
 def with_event_time(df, ms="end_ms", name="ts", shift_ms=1):
@@ -31,71 +42,32 @@ def _key_fields(df, by):
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
 
-def _text(value):
-    return value if isinstance(value, str) else None
+def _milliseconds(interval):
+    """Milliseconds of a text like "7 days"; None for never."""
+    return None if interval is None else int(pd.Timedelta(interval).total_seconds() * 1000)
+
 
+def _stateful(df, by, processor, schema, delay):
+    prepared(df.sparkSession)
+    rows = with_event_time(df, "start_ms").withWatermark("ts", delay)
+    return rows.groupBy(*by).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
-def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=("conv_id",)):
+
+def chunk_text(events, chunk_ms=M.CHUNK_MS, delay="10 seconds", mode="full", by=("conv_id",), idle=IDLE):
     """Tagged text per conversation and chunk ``k``, as soon as the chunk can get no more events.
 
-    The rule is that of ``chunks.assign_chunks``: events count in ``seq`` order with the largest end so
-    far, and chunks are counted from the conversation's first event. An event waits until the watermark
-    has passed its start; one that arrives behind the watermark is dropped. How many chunks a
-    conversation has is not known while it runs, so none are cut off at its end.
+    The rule is that of ``chunks.assign_chunks``: events count in ``seq`` order, which has to be an order
+    of their starts, with the largest end so far, and chunks are counted from the conversation's first
+    event. An event waits until the watermark has passed its start; one that arrives behind the watermark
+    is dropped. How many chunks a conversation has is not known while it runs, so none are cut off at its
+    end. A row without a ``kind`` ends its conversation at its ``start_ms``, as does event time without a
+    row for ``idle``: nothing is kept of it, and a later event would begin a new one.
     """
     by = list(by)
     item = "struct<seq:bigint,kind:string,speaker:string,token:string>"
     schema = f"{_key_fields(events, by)}, k long, items array<{item}>"
-
-    def run(key, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {"wait": [], "from": None, "items": []}
-        now = state.getCurrentWatermarkMs()
-        wait = held["wait"]
-        for frame in frames:
-            frame = frame[frame["start_ms"] >= now]
-            cols = ["seq", "start_ms", "end_ms", "kind", "speaker", "token"]
-            for seq, start, end, *texts in frame[cols].itertuples(index=False):
-                wait.append([int(seq), int(start), int(end), *map(_text, texts)])
-        wait.sort(key=lambda e: e[0])
-        out, ready = [], 0
-        while ready < len(wait) and wait[ready][1] < now:
-            seq, start, end, *texts = wait[ready]
-            if held["from"] is None:
-                held.update({"from": start, "reach": end, "k": 1})
-            held["reach"] = max(held["reach"], end)
-            k = max(1, -((held["from"] - held["reach"]) // chunk_ms))
-            if k != held["k"] and held["items"]:
-                out.append((held["k"], held["items"]))
-                held["items"] = []
-            held["k"] = k
-            held["items"].append([seq, *texts])
-            ready += 1
-        del wait[:ready]
-        border = None if held["from"] is None else held["from"] + held["k"] * chunk_ms
-        # What is still to come starts after the border, and so ends in a later chunk.
-        if held["items"] and border < now:
-            out.append((held["k"], held["items"]))
-            held["items"] = []
-        state.update((json.dumps(held),))
-        wake = [wait[0][1] + 1] if wait else []
-        wake += [border + 1] if held["items"] else []
-        if wake:
-            state.setTimeoutTimestamp(max(min(wake), now + 1))
-        if out:
-            names = ("seq", "kind", "speaker", "token")
-            frame = {c: [v] * len(out) for c, v in zip(by, key)}
-            frame["k"] = [k for k, _ in out]
-            frame["items"] = [[dict(zip(names, i)) for i in items] for _, items in out]
-            yield pd.DataFrame(frame)
-
-    chunks = (
-        with_event_time(events, "start_ms")
-        .withWatermark("ts", delay)
-        .groupBy(*by)
-        .applyInPandasWithState(
-            run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    processor = P.Chunks([*by, "k", "items"], chunk_ms, _milliseconds(idle))
+    chunks = _stateful(events, by, processor, schema, delay)
     return chunks.select(*by, "k", G.serialise(F.col("items"), mode).alias("text"))
 
 
@@ -122,152 +94,32 @@ def utterances(tokens, gap_ms=M.UTTERANCE_GAP, delay="10 seconds"):
     Tokens wait in the state until the watermark shows that none can come before them. A token
     that arrives behind the watermark is dropped.
     """
+    names = ["speaker", "start_ms", "end_ms", "n_tokens", "text"]
     schema = (
         f"{_key_fields(tokens, ['conv_id'])}, speaker string, start_ms long, end_ms long, "
         "n_tokens long, text string"
     )
-    fields = ["start_ms", "utt_idx", "tok_idx", "end_ms", "speaker", "text"]
-
-    def run(key, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {"wait": [], "open": None}
-        now = state.getCurrentWatermarkMs()
-        wait, open_ = held["wait"], held["open"]
-        for frame in frames:
-            frame = frame[frame["start_ms"] >= now]
-            wait += [
-                [int(a), int(b), int(c), int(d), s, t]
-                for a, b, c, d, s, t in frame[fields].itertuples(index=False)
-            ]
-        wait.sort()
-        ready = [t for t in wait if t[0] < now]
-        wait = wait[len(ready) :]
-        done = []
-        for start, _, _, end, speaker, text in ready:
-            if open_ and open_["speaker"] == speaker and start - open_["last"] <= gap_ms:
-                open_["texts"].append(text)
-                open_["last"] = end
-            else:
-                if open_:
-                    done.append(open_)
-                open_ = {"speaker": speaker, "start": start, "last": end, "texts": [text]}
-        if open_ and open_["last"] + gap_ms < now and not any(
-            t[0] - open_["last"] <= gap_ms for t in wait
-        ):
-            done.append(open_)
-            open_ = None
-        if wait or open_:
-            state.update((json.dumps({"wait": wait, "open": open_}),))
-            wake = min([t[0] + 1 for t in wait] + ([open_["last"] + gap_ms + 1] if open_ else []))
-            state.setTimeoutTimestamp(max(wake, now + 1))
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(
-                {
-                    "conv_id": [key[0]] * len(done),
-                    "speaker": [u["speaker"] for u in done],
-                    "start_ms": [u["start"] for u in done],
-                    "end_ms": [u["last"] for u in done],
-                    "n_tokens": [len(u["texts"]) for u in done],
-                    "text": ["".join(u["texts"]) for u in done],
-                }
-            )
-
-    return (
-        with_event_time(tokens, "start_ms")
-        .withWatermark("ts", delay)
-        .groupBy("conv_id")
-        .applyInPandasWithState(
-            run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    return _stateful(tokens, ["conv_id"], P.Utterances(["conv_id", *names], gap_ms), schema, delay)
 
 
-LINE = ["utt_idx", "speaker", "start_ms", "end_ms", "n_tokens", "text", "bc_label"]
 MATE = ["utt_idx", "start_ms", "end_ms", "n_tokens"]
 
 
-def tagged_utterances(utts, delay="10 seconds"):
+def tagged_utterances(utts, delay="10 seconds", idle=IDLE):
     """Boundary event of each utterance as soon as it is settled.
 
-    An utterance waits until the watermark has passed its end by the longest look-ahead and the next
-    line is known (for a labelled backchannel also the other speaker's next line), however long that
-    takes. A row without a speaker says that its conversation has ended before its ``start_ms``; then
-    the lines that still wait are settled without a next one. The stateful step only finds the
-    neighbours; the rules are the batch ones.
+    Lines come in ``utt_idx`` order, which has to be an order of their starts. An utterance waits until the
+    watermark has passed its end by the longest look-ahead and the next line is known (for a labelled
+    backchannel also the other speaker's next line). A row without a speaker says that its conversation
+    has ended before its ``start_ms``; then the lines that still wait are settled without a next one, as they
+    are when event time has gone on for ``idle`` without a row (None: never). The stateful step only finds
+    the neighbours; the rules are the batch ones.
     """
-    default = M.DEFAULT_LABEL
     horizon = max(M.SWITCH_GAP, M.RESUME_WINDOW, M.SILENCE_THRESHOLD)
-    schema = (
-        f"{_key_fields(utts, ['conv_id'])}, utt_idx long, speaker string, start_ms long, end_ms long, "
-        "n_tokens long, text string, bc_label string, next_speaker string, next_start long, next_end long, "
-        + ", ".join(f"{w}_{c} long" for w in ("same", "other") for c in MATE)
-    )
-
-    def run(key, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {"lines": [], "end": None}
-        now = state.getCurrentWatermarkMs()
-        lines = held["lines"]
-        for frame in frames:
-            frame = frame[frame["start_ms"] >= now]
-            for row in frame[LINE].itertuples(index=False):
-                if _text(row[1]) is None:
-                    held["end"] = int(row[2])
-                else:
-                    lines.append([int(row[0]), row[1], *map(int, row[2:5]), row[5], _text(row[6])])
-        lines.sort(key=lambda r: r[0])
-        over = held["end"] is not None and held["end"] < now
-        # Next line of the same and of another speaker, found from the back.
-        mates, run_of, last_of = [None] * len(lines), None, {}
-        for at in range(len(lines) - 1, -1, -1):
-            speaker = lines[at][1]
-            if at + 1 < len(lines) and lines[at + 1][1] != speaker:
-                run_of = lines[at + 1]
-            mates[at] = (last_of.get(speaker), run_of)
-            last_of[speaker] = lines[at]
-        out, keep = [], []
-        for at, line in enumerate(lines):
-            nxt = lines[at + 1] if at + 1 < len(lines) else None
-            same, other = mates[at]
-            needs_other = line[6] not in (None, "", default)
-            settled = (
-                line[3] + horizon < now
-                and nxt is not None
-                and nxt[2] < now
-                and (not needs_other or (other is not None and other[2] < now))
-            )
-            if not keep and (settled or over):
-                row = [key[0], *line, *(nxt[1:4] if nxt else [None] * 3)]
-                for mate in (same, other):
-                    row += [mate[0], mate[2], mate[3], mate[4]] if mate else [None] * 4
-                out.append(row)
-            else:
-                keep.append(line)
-        if keep or held["end"] is not None and not over:
-            state.update((json.dumps({"lines": keep, "end": held["end"]}),))
-            # Look again when the watermark passes something that is known and still ahead.
-            ahead = [r[2] + 1 for r in keep] + [r[3] + horizon + 1 for r in keep]
-            ahead += [held["end"] + 1] if held["end"] is not None else []
-            ahead = [t for t in ahead if t > now]
-            if ahead:
-                state.setTimeoutTimestamp(min(ahead))
-        elif state.exists:
-            state.remove()
-        if out:
-            frame = pd.DataFrame(out, columns=["conv_id", *[c.split()[0] for c in schema.split(", ")[1:]]])
-            for c in frame.columns:
-                if c not in ("conv_id", "speaker", "text", "bc_label", "next_speaker"):
-                    frame[c] = frame[c].astype("Int64")
-            yield frame
-
-    near = (
-        with_event_time(utts, "start_ms")
-        .withWatermark("ts", delay)
-        .groupBy("conv_id")
-        .applyInPandasWithState(
-            run, schema, "lines string", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    schema = f"{_key_fields(utts, ['conv_id'])}, {P.Neighbours.LINE}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    processor = P.Neighbours(names, horizon, M.DEFAULT_LABEL, _milliseconds(idle))
+    near = _stateful(utts, ["conv_id"], processor, schema, delay)
 
     def mate(which):
         cols = [F.col(f"{which}_{c}").alias(c) for c in MATE]
@@ -343,7 +195,3 @@ def run_to_files(stream, path, checkpoint, mode="append"):
     )
     query.awaitTermination()
     return path
-
-
-# Workers need not have this package installed.
-register_pickle_by_value(sys.modules[__name__])

@@ -2,12 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from parley.operators import dialogue as D
 from parley.operators import utterances as U
 from parley.operators.scan import neighbours
 from parley.streaming import live
+from parley.streaming import processors as S
 from tests import model as P
 
 FAR = 10_000_000_000
@@ -82,9 +84,9 @@ def test_tagger_equals_batch(spark, tmp_path, rows, pause):
 
 
 def test_lines_wait_for_what_follows(spark, tmp_path, rows):
-    """Without an end row the last line of a conversation stays open, however long nothing is said."""
+    """Without an end row or idle time the last line of a conversation stays open, however long nothing is said."""
     end = closing(rows[0], conv_id=-1, utt_idx=0, speaker="A", start_ms=FAR, end_ms=FAR, n_tokens=0, text="")
-    got = run(spark, tmp_path, "w", P.UTT_SCHEMA, [rows, end], live.tagged_utterances)
+    got = run(spark, tmp_path, "w", P.UTT_SCHEMA, [rows, end], lambda s: live.tagged_utterances(s, idle=None))
     last = {}
     for r in rows:
         last[r["conv_id"]] = max(r["utt_idx"], last.get(r["conv_id"], -1))
@@ -152,3 +154,188 @@ def test_sessions_split_on_gap_only(spark, tmp_path):
     got = run(spark, tmp_path, "s", schema, [rows, end], live.sessions)
     have = sorted((r.speaker, r.start_ms, r.end_ms, r.n_tokens) for r in got if r.conv_id == 1)
     assert have == [("A", 0, 950, 2), ("A", 2500, 2550, 1), ("B", 100, 150, 1)]
+
+
+class Store:
+    """A state variable in memory that counts the rows read and written."""
+
+    def __init__(self, cost, kind):
+        self.cost, self.kind, self.data = cost, kind, {} if kind == "map" else []
+
+    def exists(self):
+        return bool(self.data)
+
+    def clear(self):
+        self.data = {} if self.kind == "map" else []
+
+    def touched(self, value):
+        # The rows of an array count one by one.
+        self.cost["rows"] += max(1, sum(len(v) for v in value if isinstance(v, list)))
+        return value
+
+    def get(self):
+        if self.kind == "value":
+            return self.touched(self.data[0]) if self.data else None
+        return iter([self.touched(v) for v in self.data])
+
+    def update(self, value):
+        self.data = [self.touched(value)]
+
+    def appendList(self, values):
+        self.data += [self.touched(v) for v in values]
+
+    def getValue(self, key):
+        return self.touched(self.data[key]) if key in self.data else None
+
+    def updateValue(self, key, value):
+        self.data[key] = self.touched(value)
+
+    def removeKey(self, key):
+        self.data.pop(key, None)
+
+    def keys(self):
+        return iter(list(self.data))
+
+    def iterator(self):
+        return iter([(k, self.touched(v)) for k, v in self.data.items()])
+
+
+class Handle:
+    def __init__(self):
+        self.cost, self.timers, self.stores = {"rows": 0}, set(), []
+
+    def _store(self, kind):
+        self.stores.append(Store(self.cost, kind))
+        return self.stores[-1]
+
+    def getMapState(self, *_):
+        return self._store("map")
+
+    def getListState(self, *_):
+        return self._store("list")
+
+    def getValueState(self, *_):
+        return self._store("value")
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def kept(self):
+        return len(self.timers) + sum(len(s.data) for s in self.stores)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def drive(processor, rows, trigger, delay):
+    """Rows of one conversation through a processor, ``trigger`` at a time; (output rows, cost of each trigger)."""
+    handle, now, out, costs = Handle(), 0, [], []
+    processor.init(handle)
+    batches = [rows[i : i + trigger] for i in range(0, len(rows), trigger)]
+    for batch in [*batches, [], []]:
+        before, clock = handle.cost["rows"], Clock(now)
+        if batch:
+            assert not list(processor.handleInputRows(("c",), iter([pd.DataFrame(batch)]), clock))
+        for at in sorted(t for t in handle.timers if t <= now):
+            for frame in processor.handleExpiredTimer(("c",), clock, None):
+                out += frame.to_dict("records")
+            handle.timers.discard(at)
+        costs.append(handle.cost["rows"] - before)
+        now = max(now, max((r["start_ms"] for r in batch), default=FAR) + 1 - delay)
+    return out, costs, handle
+
+
+MANY = 100_000
+
+
+def test_a_long_conversation_costs_the_same_per_row():
+    """One speaker for the first half: lines that wait for another speaker are not read again and again."""
+    lines = [
+        dict(utt_idx=i, speaker="A" if i < MANY // 2 else "AB"[i % 2], start_ms=400 * i, end_ms=400 * i + 300, n_tokens=3, text="うん。", bc_label="continuer" if i % 3 == 0 else None)
+        for i in range(MANY)
+    ]
+    end = dict.fromkeys(lines[0]) | dict(start_ms=400 * MANY)
+    names = ["conv_id", *[c.split()[0] for c in S.Neighbours.LINE.split(", ")]]
+    out, costs, handle = drive(S.Neighbours(names, 1500, "non_backchannel", None), [*lines, end], 1000, 10_000)
+    assert len(out) == MANY and handle.kept() == 0
+    assert max(costs[2:45]) < 2 * min(costs[2:45]) and sum(costs) < 12 * MANY
+    got = {r["utt_idx"]: r for r in out}
+    for i in [0, 1, 2, MANY // 2 - 3, MANY // 2, MANY - 3]:
+        r, later = got[i], lines[i + 1 :]
+        same = next((x["utt_idx"] for x in later if x["speaker"] == lines[i]["speaker"]), None)
+        assert (r["next_speaker"], r["next_start"]) == (later[0]["speaker"], later[0]["start_ms"])
+        assert r["same_utt_idx"] == same
+        if lines[i]["bc_label"]:
+            assert r["other_utt_idx"] == next(x["utt_idx"] for x in later if x["speaker"] != lines[i]["speaker"])
+
+
+def test_a_long_utterance_costs_the_same_per_token():
+    toks = [dict(utt_idx=0, tok_idx=i, speaker="A", start_ms=100 * i, end_ms=100 * i + 90, text=str(i % 10)) for i in range(MANY)]
+    out, costs, handle = drive(S.Utterances(["conv_id", "speaker", "start_ms", "end_ms", "n_tokens", "text"], 1000), toks, 1000, 5000)
+    assert len(out) == 1 and out[0]["n_tokens"] == MANY and out[0]["text"] == "0123456789" * (MANY // 10)
+    assert max(costs[2:95]) < 2 * min(costs[2:95]) and sum(costs) < 8 * MANY and handle.kept() == 0
+
+
+def test_a_long_chunk_costs_the_same_per_event():
+    events = [dict(seq=i, start_ms=50 * i, end_ms=50 * i + 40, kind="asr", speaker="A", token="x") for i in range(MANY)]
+    events.append(dict.fromkeys(events[0]) | dict(start_ms=50 * MANY))
+    out, costs, handle = drive(S.Chunks(["conv_id", "k", "items"], 10**9, None), events, 1000, 5000)
+    assert [(r["k"], len(r["items"])) for r in out] == [(1, MANY)]
+    assert max(costs[2:95]) < 2 * min(costs[2:95]) and sum(costs) < 8 * MANY and handle.kept() == 0
+
+
+@pytest.mark.parametrize("slow", [1, 7, 10**6])
+def test_one_long_conversation_equals_batch(spark, tmp_path, slow):
+    """100,000 tokens of one conversation over a few triggers; speakers change every ``slow`` tokens."""
+    if slow == 7:
+        n, size = 5_000, 700
+    else:
+        n, size = (MANY, 40_000) if slow > 7 else (3_000, 500)
+    toks = [dict(conv_id=1, utt_idx=i // slow, tok_idx=i % slow, speaker="AB"[i // slow % 2], start_ms=100 * i, end_ms=100 * i + 90, text="t") for i in range(n)]
+    end = closing(toks[0], conv_id=-1, utt_idx=0, tok_idx=0, speaker="A", start_ms=FAR, end_ms=FAR, text="")
+    got = run(spark, tmp_path, "m", P.TOK_SCHEMA, shuffled_batches(toks, "start_ms", size, 3000) + [end], lambda s: live.utterances(s, delay="5 seconds"))
+    have = sorted((r.start_ms, r.end_ms, r.n_tokens, r.speaker) for r in got if r.conv_id == 1)
+    firsts = range(0, n, slow)
+    assert have == [(100 * i, 100 * min(i + slow, n) - 10, min(slow, n - i), "AB"[i // slow % 2]) for i in firsts]
+
+
+def state_rows(spark, tmp, name, schema, batches, make):
+    """Rows left in the state store when all input is processed."""
+    src = f"{tmp}/{name}_in"
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{src}/b{i:03d}")
+    stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*"))
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp}/{name}_ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_nothing_is_kept_of_a_conversation_that_has_ended(spark, tmp_path):
+    """The row that moves the watermark is a conversation of its own: its one row and timer are all there is."""
+    events = [asr("a", i, 700 * i, 700 * i + 500, "AB"[i % 2], "x") for i in range(50)]
+    over = [dict(conv_id="a", seq=None, start_ms=40_000, end_ms=None, kind=None, speaker=None, token=None)]
+    clock = [over[0] | dict(conv_id="z", start_ms=FAR)]
+    alone = state_rows(spark, tmp_path, "none", EVENT, [clock], live.chunk_text)
+    kept = state_rows(spark, tmp_path, "open", EVENT, [events, clock], lambda s: live.chunk_text(s, idle=None))
+    assert kept > alone
+    assert state_rows(spark, tmp_path, "over", EVENT, [events, over, clock], lambda s: live.chunk_text(s, idle=None)) == alone
+    assert state_rows(spark, tmp_path, "idle", EVENT, [events, clock], lambda s: live.chunk_text(s, idle="1 hour")) == alone
+
+
+def test_idle_conversations_are_settled(spark, tmp_path, rows):
+    """After ``idle`` the lines that still wait are put out as at an end."""
+    end = closing(rows[0], conv_id=-1, utt_idx=0, speaker="A", start_ms=FAR, end_ms=FAR, n_tokens=0, text="")
+    got = run(spark, tmp_path, "i", P.UTT_SCHEMA, [rows, end], lambda s: live.tagged_utterances(s, idle="1 hour"))
+    near = neighbours(spark.createDataFrame(rows, P.UTT_SCHEMA)).withColumn("kind", D.boundary())
+    assert {(r.conv_id, r.utt_idx): r.kind for r in got} == {(r.conv_id, r.utt_idx): r.kind for r in near.collect()}
