@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import query
+from checks.registry import query, same_result
 from parley.functions import text as X
 from parley.operators import chunks as C
 from parley.operators import dialogue as D
@@ -44,7 +44,20 @@ SELECT conv_id, group_idx, any_value(speaker) AS speaker, min(start_ms) AS start
 FROM h GROUP BY conv_id, group_idx""",
 )
 def _(t):
-    g = group_into_utterances(t.tokens())
+    return _grouped(t)
+
+
+#: Limits that make hot keys of ordinary conversations, to be cut into segments of some twenty rows.
+HOT = dict(hot_rows=50, seg_rows=20)
+
+
+@same_result("wn_1_hot", "wn_1_group_into_utterances")
+def _(t):
+    return _grouped(t, **HOT)
+
+
+def _grouped(t, **kw):
+    g = group_into_utterances(t.tokens(), **kw)
     words = F.sort_array(F.collect_list(F.struct("start_ms", "utt_idx", "tok_idx", "text")))
     return g.groupBy("conv_id", "group_idx").agg(
         F.first("speaker").alias("speaker"),
@@ -259,6 +272,12 @@ def _(t):
     return out.select("conv_id", "seq", "start_ms", "end_ms", "speaker", "token", "kind")
 
 
+@same_result("ds_9_hot", "ds_9_event_stream")
+def _(t):
+    out = D.event_stream(t.utterances(), t.tokens(), **HOT)
+    return out.select("conv_id", "seq", "start_ms", "end_ms", "speaker", "token", "kind")
+
+
 FLAG_SQL = (
     "is_ts AS is_turn_taking, is_pause, is_silence, coalesce(is_bc, false) AS is_back_channel, "
     "is_te AS is_turn_ending"
@@ -296,7 +315,16 @@ def _(t):
     select="SELECT conv_id, seq, start_ms, end_ms, speaker, token, kind FROM evt",
 )
 def _(t):
-    out = D.two_state_stream(t.utterances(), t.tokens())
+    return _two_state(t)
+
+
+@same_result("ds_11_hot", "ds_11_two_state_stream")
+def _(t):
+    return _two_state(t, **HOT)
+
+
+def _two_state(t, **kw):
+    out = D.two_state_stream(t.utterances(), t.tokens(), **kw)
     return out.select("conv_id", "seq", "start_ms", "end_ms", "speaker", "token", "kind")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import query
+from checks.registry import query, same_result
 from parley.operators import alignment as A
 from parley.operators import dialogue as D
 from parley.operators import evaluation as E
@@ -52,12 +52,12 @@ mrg AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, cha
                AS utt_idx FROM tied)"""
 
 
-def _merge(t):
+def _merge(t, **kw):
     u = positions(t.utterances(), ["conv_id", "speaker"], ["utt_idx"], name="src_idx")
     # Rounded starts give ties between and within the channels.
     u = u.withColumn("start_ms", F.floor(F.col("start_ms") / 4000).cast("long") * 4000)
     side = lambda s: u.where(F.col("speaker") == s).select("conv_id", "src_idx", "start_ms")
-    return U.merge_channels(side("A"), side("B"))
+    return U.merge_channels(side("A"), side("B"), **kw)
 
 
 @query("jn_2_merge_channels", S.UTT, MERGED, select="SELECT * FROM mrg")
@@ -65,6 +65,12 @@ def _(t):
     return _merge(t).select("conv_id", "channel", "src_idx", "start_ms", "utt_idx")
 
 
+@same_result("jn_2_hot", "jn_2_merge_channels")
+def _(t):
+    out = _merge(t, hot_rows=50, seg_rows=20)
+    return out.select("conv_id", "channel", "src_idx", "start_ms", "utt_idx")
+
+
 @query(
     "jn_2_merge_counts",
     S.UTT,
@@ -235,6 +241,11 @@ def _(t):
     return P.overlap_clusters(t.utterances()).select("conv_id", "utt_idx", "cluster_id")
 
 
+@same_result("wn_5_hot", "wn_5_overlap_clusters")
+def _(t):
+    return P.overlap_clusters(t.utterances(), hot_rows=50, seg_rows=20).select("conv_id", "utt_idx", "cluster_id")
+
+
 @query(
     "ag_6_cluster_info",
     S.UTT,

@@ -17,3 +17,14 @@ def query(name, *ctes, select=None):
         return fn
 
     return add
+
+
+def same_result(name, of):
+    """Register a builder whose rows have to be those of another query, by that query's oracle."""
+
+    def add(fn):
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        ORACLES[name] = ORACLES[of]
+        return fn
+
+    return add

@@ -1,10 +1,11 @@
 """Ordered scans (running sums, maxima, last values, neighbours) that survive a hot key.
 
-A plain window puts all rows of one key into one task. Here a key with more than ``HOT_ROWS``
-rows is cut along its order into segments of about ``SEG_ROWS`` rows. Each segment is scanned on
-its own, each hot segment is summed up in one row, a second window over those few rows gives what
-every segment inherits from the ones before it, and a join adds that on. Keys below the limit
-stay in one segment and need no carry.
+A plain window puts all rows of one key into one task. Keys are counted first, by a job of its own; where
+none has more than ``HOT_ROWS`` rows, a plain window is all there is. Otherwise the rows are written once,
+and a hot key is cut along its order into segments of about ``SEG_ROWS`` rows. Each segment is summed up
+in one row; these few rows, combined along the order, say what every segment inherits from the ones
+before it, and are written as well. The rows are then scanned segment by segment, in one pass, and what is
+inherited is joined on. All other keys are one segment and inherit nothing.
 
 ``x`` names a numeric column that never decreases along ``order``; segments are ranges of it.
 """
@@ -13,6 +14,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parley.session import written
 
 HOT_ROWS = 2_000_000
 SEG_ROWS = 500_000
@@ -48,43 +52,50 @@ def largest_keys(df, by, hot_rows):
     return counts.orderBy(F.desc("__n"), *by).limit(MAX_HOT)
 
 
-def hot_keys(df, by, x, hot_rows=None, seg_rows=None):
-    """Hot keys with the values of ``x`` at which their segments begin, by quantiles.
+def cuts(df, by, x, counts, seg_rows):
+    """(key, values of ``x`` at which its segments begin) of the counted keys, by quantiles.
 
-    An outlier in ``x`` moves no border. A key has at most ``GRID`` segments.
+    An outlier in ``x`` moves no border. A key has at most ``GRID`` segments, so this is a small table.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    seg_rows = SEG_ROWS if seg_rows is None else seg_rows
-    hot = largest_keys(df, by, hot_rows)
+    spark, keys = df.sparkSession, [df.schema[c] for c in by]
+    hot = spark.createDataFrame(counts, T.StructType([*keys, T.StructField("__n", T.LongType())]))
     rows = null_safe_join(df.select(*by, F.col(x).alias("__x")), F.broadcast(hot), by, "inner")
     grid = F.percentile_approx("__x", [k / GRID for k in range(1, GRID)], 10 * GRID).alias("__grid")
     many = F.least(F.lit(GRID), F.ceil(F.col("__n") / seg_rows)).cast("int")
     place = lambda k: F.greatest(F.lit(1), F.floor(k * GRID / many)).cast("int")
-    cuts = F.when(
+    begins = F.when(
         many > 1,
         F.array_distinct(F.transform(F.sequence(F.lit(1), many - 1), lambda k: F.get("__grid", place(k) - 1))),
     )
-    return rows.groupBy(*by).agg(F.first("__n").alias("__n"), grid).select(*by, cuts.alias("__cuts"))
-
+    found = rows.groupBy(*by).agg(F.first("__n").alias("__n"), grid).select(*by, begins.alias("__cuts"))
+    return spark.createDataFrame(found.collect(), found.schema)
 
-def _seg(x):
-    return F.size(F.filter("__cuts", lambda c: c <= F.col(x))).cast("long")
 
+@dataclass
+class Segments:
+    """What ``segment`` found: the hot keys with their cuts, or None where there is no hot key."""
 
-def with_segments(df, by, x, hot):
-    """All rows with ``__seg``; 0 for every key that is not hot."""
-    cut = F.when(F.col("__cuts").isNotNull(), _seg(x)).otherwise(F.lit(0).cast("long"))
-    return null_safe_join(df, F.broadcast(hot), by).withColumn("__seg", cut).drop("__cuts")
+    hot: DataFrame | None
 
 
 def segment(df, by, x, stats=None, hot_rows=None, seg_rows=None):
-    """(rows with ``__seg``, hot keys): lets several scans share one shuffle.
+    """(rows with ``__seg``, ``Segments``): lets several scans share one shuffle.
 
-    ``stats`` may be a table that is cheaper to count than ``df`` and has its keys and ``x``; it
-    need not hold the very same rows, as segments only have to be about equal.
+    ``stats`` may be a table that is cheaper to count than ``df`` and has its keys; it need not hold the
+    very same rows. With a hot key the rows come from a written table, and ``__seg`` counts the segments of
+    hot keys; it is 0 for all other keys.
     """
-    hot = hot_keys(df if stats is None else stats, by, x, hot_rows, seg_rows)
-    return with_segments(df, by, x, hot), hot
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    seg_rows = SEG_ROWS if seg_rows is None else seg_rows
+    counts = largest_keys(df if stats is None else stats, by, hot_rows).collect()
+    none = F.lit(0).cast("long")
+    if not counts:
+        return df.withColumn("__seg", none), Segments(None)
+    df = written(df, "rows")
+    hot = cuts(df, by, x, counts, seg_rows)
+    seg = F.size(F.filter("__cuts", lambda c: c <= F.col(x))).cast("long")
+    seg = F.when(F.col("__cuts").isNotNull(), seg).otherwise(none)
+    return null_safe_join(df, F.broadcast(hot), by).withColumn("__seg", seg).drop("__cuts"), Segments(hot)
 
 
 def _only_hot(df, by, hot):
@@ -113,8 +124,8 @@ def running(
     """Add one column per entry of ``runs`` (name -> Run), scanning ``by`` groups in ``order``.
 
     ``order`` lists column names and must be total inside a group. With ``split=False`` the
-    groups are known to be small (one record, one line of text) and a plain window is used. With
-    ``hot`` from ``segment`` the rows carry ``__seg`` already and keep it.
+    groups are known to be small (one record, one line of text) and a plain window is used. With the
+    ``Segments`` that ``segment`` found as ``hot``, the rows carry ``__seg`` already and keep it.
     """
     by, order = list(by), list(order)
     if reverse:
@@ -123,12 +134,13 @@ def running(
     def window(part, cols, run):
         return W.partitionBy(*part).orderBy(*_ordered(cols, run.reverse))
 
-    if not split:
-        return df.withColumns({n: _local(r, window(by, order, r)) for n, r in runs.items()})
-
     shared = hot is not None
-    if not shared:
+    if split and not shared:
         df, hot = segment(df, by, x or order[0], stats, hot_rows, seg_rows)
+    if not split or hot.hot is None:
+        out = df.withColumns({n: _local(r, window(by, order, r)) for n, r in runs.items()})
+        return out if shared or not split else out.drop("__seg")
+
     values = {f"__v{i}": r.value for i, r in enumerate(runs.values())}
     df = df.withColumns(values)
     parts, carried = [], []
@@ -146,12 +158,9 @@ def running(
             pick = F.min_by if run.reverse else F.max_by
             parts.append(pick(value, key).alias(f"__s{i}"))
             carried.append(F.last(f"__s{i}", True).over(across).alias(f"__c{i}"))
-    carry = (
-        _only_hot(df, by, hot)
-        .groupBy(*by, "__seg")
-        .agg(*parts)
-        .select(*by, "__seg", *carried)
-    )
+    sums = _only_hot(df, by, hot.hot).groupBy(*by, "__seg").agg(*parts)
+    # A row per segment of a hot key.
+    carry = written(sums.select(*by, "__seg", *carried), "carry")
     out = df.withColumns(
         {
             n: _local(replace(r, value=F.col(f"__v{i}")), window(by + ["__seg"], order, r))
@@ -201,12 +210,11 @@ def neighbours(
     by = list(by)
     line = F.struct("speaker", "start_ms", "end_ms")
     mate = F.struct(F.col(idx).alias("utt_idx"), "start_ms", "end_ms", "n_tokens")
+    hot = None
     if split:
-        df, hot = segment(df, by, idx, None, hot_rows, seg_rows)
-        data = df
-        part = by + ["__seg"]
-    else:
-        data, hot, part = df, None, by
+        df, found = segment(df, by, idx, None, hot_rows, seg_rows)
+        df, hot = (df, found.hot) if found.hot is not None else (df.drop("__seg"), None)
+    data, part = df, by + ["__seg"] if hot is not None else by
     ahead = W.partitionBy(*part).orderBy(idx)
     back = W.partitionBy(*part).orderBy(F.col(idx).desc()).rowsBetween(UNB, -1)
     own = W.partitionBy(*part, "speaker").orderBy(idx)
@@ -227,13 +235,13 @@ def neighbours(
         )
     data = data.withColumn("next_other", other)
     data = data.withColumn("next_same", F.lead(mate).over(own))
-    if not split:
+    if hot is None:
         return data.withColumn(
             "next_is_last", F.when(F.col("next").isNotNull(), F.col("next_is_last"))
         )
 
     # What a hot segment cannot see: the segments around it.
-    firsts = (
+    firsts = written(
         _only_hot(df, by, hot)
         .groupBy(*part, "speaker")
         .agg(
@@ -245,7 +253,8 @@ def neighbours(
             F.max(idx).alias("l_idx"),
             F.max_by("start_ms", idx).alias("l_start"),
             F.max_by("end_ms", idx).alias("l_end"),
-        )
+        ),
+        "firsts",
     )
     first_mate = F.struct(
         F.col("f_idx").alias("utt_idx"),
@@ -258,6 +267,7 @@ def neighbours(
         "speaker",
         F.lead(first_mate).over(W.partitionBy(*by, "speaker").orderBy("__seg")).alias("__same"),
     )
+    same = written(same, "same")
     nth = F.row_number().over(W.partitionBy(*part).orderBy("f_idx"))
     edges = (
         firsts.withColumn("__nth", nth)
@@ -299,7 +309,8 @@ def neighbours(
     edges = edges.withColumn("__turn", change).select(
         *part, "__prev", "__next", "__next_last", F.last("__turn", True).over(later).alias("__other")
     )
-    data = data.join(edges, part, "left").join(same, part + ["speaker"], "left")
+    edges = written(edges, "edges")
+    data = null_safe_join(null_safe_join(data, edges, part), same, part + ["speaker"])
     return data.withColumns(
         {
             "next_is_last": F.when(

@@ -39,3 +39,10 @@ def scratch_dir(spark, name):
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name):
+    """The rows of ``df`` from a table written below the scratch folder; its lineage ends there."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks import load
 from parley.operators.scan import Run, neighbours, positions, running
 from tests import model as P
 
@@ -88,11 +89,28 @@ def test_neighbours(spark, cut, speakers, index_gaps):
             assert r.next_is_last == (None if after is None else i + 2 == len(lines))
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_no_carry_work_without_hot_keys(numbers):
-    """Below the limit the whole carry side disappears from the executed plan."""
+    """Below the limit there is one exchange and no join."""
     _, df = numbers
-    out = positions(df, ["k"], ["x", "i"])
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert "SortMergeJoin" not in final
+    plan = final_plan(positions(df, ["k"], ["x", "i"]))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["wn_1_hot", "wn_5_hot", "jn_2_hot", "ds_9_hot", "ds_11_hot"])
+def test_hot_keys_are_read_once(spark, name):
+    """With hot keys the rows are scanned once; what segments inherit are tables of a few rows."""
+    plan = final_plan(load()[0][name](spark, "/root/testdata/sf0.001"))
+    assert 2 <= plan.count("FileScan") <= 3, plan
+
+
+def test_rows_of_one_time_and_null_keys(spark):
+    """A hot key whose rows all share one time stamp, and a hot null key."""
+    rows = [(None if k % 2 else "a", 5, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, x long, i long")
+    got = {(r.k, r.i): r.pos for r in positions(df, ["k"], ["x", "i"], hot_rows=50, seg_rows=20).collect()}
+    assert got == {(k, i): i // 2 for k, _, i in rows}
