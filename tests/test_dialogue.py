@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,53 @@ def test_merge_channels_is_stable(spark, cut):
     want = sorted([("A", i, s) for _, i, s in a] + [("B", i, s) for _, i, s in b], key=lambda r: r[2])
     assert [(r.channel, r.src_idx, r.start_ms) for r in out] == want
     assert [r.utt_idx for r in out] == list(range(7))
+
+
+def lines_with_long_ones(n, seed=4):
+    """Short lines of one conversation, and some of hours, days and a year; empty and reversed ones, ties."""
+    rnd = random.Random(seed)
+    rows = [(1, k, "AB"[k % 2], at := 2000 * k - 5000, at + rnd.choice([0, 1, 500, 2500, 30_000])) for k in range(n)]
+    for k, long in enumerate([3_600_000, 7_200_000, 86_400_000, 31_536_000_000, 31_536_000_000]):
+        rows.append((1, n + k, "A", 1000 * k, 1000 * k + long))
+    rows += [(1, n + 10, "B", 4000, 3000), (1, n + 11, "B", 4000, 4000), (2, 0, "A", 0, 31_536_000_000), (2, 1, "A", 5, 6), (2, 2, "B", None, 7)]
+    return rows
+
+
+LONG = "conv_id long, utt_idx long, speaker string, start_ms long, end_ms long"
+
+
+@pytest.mark.parametrize("width", [700, 10_000])
+def test_interval_joins_with_lines_of_any_length(spark, width):
+    rows = lines_with_long_ones(300)
+    df = spark.createDataFrame(rows, LONG)
+    whole = [r for r in rows if r[3] is not None]
+    want = {
+        (a[0], a[1], b[1])
+        for a in whole
+        for b in whole
+        if a[0] == b[0] and a[1] < b[1] and a[3] < b[4] and b[3] < a[4]
+    }
+    got = [(r.conv_id, r.a_utt_idx, r.b_utt_idx) for r in S.overlap_pairs(df, width=width).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    spans = [(1, 0, 0), (1, -5000, -4000), (1, 9_999, 700_000), (1, 0, 10**11), (1, 50, 40), (2, 5, 10**9), (3, 0, 5), (None, 0, 5)]
+    found = S.utterances_in_span(df, spark.createDataFrame(spans, "conv_id long, span_start long, span_end long"), width=width)
+    want = sorted((c, s, e, r[1]) for c, s, e in spans for r in whole if r[0] == c and r[4] >= s and r[3] <= e)
+    assert sorted((r.conv_id, r.span_start, r.span_end, r.utt_idx) for r in found.collect()) == want
+
+
+def test_a_long_line_spreads_over_all_tasks(spark):
+    """One conversation and a year-long line that overlaps with all others: no task has four times the median."""
+    n = 400_000
+    lines = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * 78_000).alias("x_start"))
+    lines = lines.withColumn("__last", F.col("x_start") + 1500)
+    year = spark.createDataFrame([(1, 0, 31_536_000_000)], "conv_id int, x_start long, __last long")
+    lines = lines.unionByName(year)
+    levels = S.levels_of(lines, "x_start", "__last", S.BUCKET_MS)
+    assert len(levels) == 2
+    on = ["conv_id", "__level", "__cell"]
+    sent = S.probes(lines, "x_start", levels, S.BUCKET_MS).select(*on)
+    sent = sent.unionByName(S.indexed(lines, "x_start", "__last", S.BUCKET_MS).select(*on))
+    sizes = sorted(r[1] for r in sent.repartition(64, *on).groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 64 and sizes[-1] <= 4 * sizes[32]
+    plan = S.overlap_pairs(spark.createDataFrame(lines_with_long_ones(5), LONG))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and plan.count("Join") == 1 and "__cell" in plan
