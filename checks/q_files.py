@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import query
+from checks.registry import query, same_result
 from parley.operators import evaluation as E
 from parley.operators import labelling as L
 from parley.operators import records as R
@@ -11,6 +11,7 @@ from parley.operators import spans as P
 from parley.operators import utterances as U
 from parley.plans import flows
 from parley.sources import readers, sinks
+from parley.sources.named import named_index, named_paths, read_lines_by_offsets, write_named
 
 
 def _lines_dir(t, name, df, partition_by="conv_id"):
@@ -256,6 +257,33 @@ def _(t):
     return out.groupBy(split.alias("split"), "id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "snk_1_per_conversation",
+    S.UTT,
+    WINS,
+    select="SELECT CAST(conv_id AS VARCHAR) AS name, CAST(conv_id AS VARCHAR) AS id, count(*) AS n FROM wins GROUP BY 1, 2",
+)
+def _(t):
+    rows = R.dialogue_records(t.utterances(), t.tokens(), 3)
+    path = sinks.write_conversations(rows, t.path("conversations"))
+    files = named_index(t.spark, path).select("file", "name", "rows")
+    lines = read_lines_by_offsets(t.spark, named_paths(path))
+    out = readers.records_of(lines).groupBy(F.element_at(F.split("file", "/"), -1).alias("file"), "id")
+    out = out.agg(F.count(F.lit(1)).alias("n")).join(files, "file").where("n = rows")
+    return out.select("name", "id", "n")
+
+
+@same_result("src_1_by_offsets", "src_1_read_dialogues")
+def _(t):
+    lines = readers.read_lines(t.spark, _aligned(t), footer=True).withColumn("conv_id", _conv_of())
+    path = write_named(lines, t.path("offsets"), "conv_id", ["line"], footer=True)
+    # Splits of a few lines, so that a file is read by several tasks.
+    rows = readers.read_dialogues_by_offsets(t.spark, named_paths(path), split_bytes=20_000)
+    rows = rows.withColumn("conv_id", F.regexp_extract("file", r"([0-9]+)\.jsonl$", 1).cast("long"))
+    keep = ("conv_id", "line", "speaker")
+    return readers.tokens_of(rows, keep).select(*keep, "tok_idx", "start_ms", "end_ms", "text")
+
+
 @query(
     "src_7_read_labels",
     S.LAB,
@@ -284,14 +312,17 @@ def _(t):
     toks = t.tokens().join(t.segments().select("conv_id", "utt_idx", "path"), ["conv_id", "utt_idx"])
     rows = sinks.aligned_lines(toks, ["conv_id", "utt_idx"], F.col("path"))
     source = _lines_dir(t, "unlabelled", rows.select("conv_id", F.col("utt_idx").alias("ord"), "value"))
-    lines = readers.read_lines(t.spark, source, footer=True).withColumn("conv_id", _conv_of())
-    labels = t.utterances().where("event_id % 3 = 0").select(
-        "conv_id", F.col("utt_idx").alias("line"), F.lit("continuer").alias("label")
-    )
-    done = sinks.labelled_lines(lines.drop("file"), labels, ("conv_id", "line"))
-    path = sinks.write_lines(done, t.path("labelled"), "conv_id", ["line"])
-    out = readers.read_dialogues(t.spark, path)
-    return out.select(_conv_of().alias("conv_id"), "line", "bc_label", F.size("text_stream").cast("long").alias("n"))
+    lines = readers.read_lines(t.spark, source, footer=True).select("file", "line", _conv_of().alias("conv_id"))
+    said = t.tokens().groupBy("conv_id", "utt_idx").agg(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))).alias("w"))
+    said = said.select("conv_id", F.col("utt_idx").alias("line"), F.array_join("w.text", "").alias("text"))
+    labels = t.utterances().where("event_id % 3 = 0").select("conv_id", F.col("utt_idx").alias("line"))
+    # A label of another text is not used.
+    labels = labels.withColumn("label", F.lit("continuer")).join(said, ["conv_id", "line"]).join(lines, ["conv_id", "line"])
+    odd = lines.join(labels, ["file", "line"], "left_anti").withColumns({"label": F.lit("assessment"), "text": F.lit("?")})
+    path, _ = flows.label_files(t.spark, source, labels.unionByName(odd), t.path("labelled"), r"conv_id=([0-9]+)/[^/]+$")
+    out = readers.read_dialogues_by_offsets(t.spark, named_paths(path))
+    conv = F.regexp_extract("file", r"([0-9]+)\.jsonl$", 1).cast("long")
+    return out.select(conv.alias("conv_id"), "line", "bc_label", F.size("text_stream").cast("long").alias("n"))
 
 
 @query(
@@ -312,8 +343,8 @@ def _(t):
     source = _lines_dir(t, "channels", rows, "name")
     out = t.path("merged")
     flows.merge_channel_files(t.spark, source, out, name=r"name=(\d+_[ab])/")
-    lines = readers.read_dialogues(t.spark, out)
-    base = F.regexp_extract("file", "base=([0-9]+)", 1).cast("long")
+    lines = readers.read_dialogues_by_offsets(t.spark, named_paths(out))
+    base = F.regexp_extract("file", r"([0-9]+)\.jsonl$", 1).cast("long")
     start = F.array_min(F.transform("text_stream", lambda x: x["start_ms"]))
     return lines.select(
         base.alias("conv_id"), "line", "speaker", start.alias("start_ms"), F.size("text_stream").cast("long").alias("n")
