@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from parley.functions import repeats as P
 from parley.functions import tagged as G
 from parley.functions import text as X
 from parley.functions import udtf
-from parley.functions.distance import bit_distance, edit_distance
+from parley.functions.distance import bit_distance, bit_distances, edit_distance
 from parley.operators import evaluation as E
 from tests import model as R
 
@@ -188,3 +190,29 @@ def test_serialise_modes(spark):
     ]
     quiet = spark.createDataFrame([([("ts", "A", "<ts>")],)], df.schema)
     assert quiet.select(G.serialise(F.col("e"), "two_state")).collect()[0][0] == ""
+
+
+def test_distances_of_many_pairs():
+    """Pairs taken together, in words of 64 places, give what each gives alone."""
+    rnd = random.Random(12)
+    pairs = [("", ""), ("", "abc"), ("a" * 64, "a" * 64), ("a" * 65, "b" * 200), ("é😀" * 40, "é" * 80), ("\ud800x", "x")]
+    for n in (1, 5, 63, 64, 65, 128, 300, 700):
+        for letters in ("ab", "あいうえおかき😀", "x"):
+            for _ in range(9):
+                a = [rnd.choice(letters) for _ in range(n)]
+                b = [c if rnd.random() < 0.9 else rnd.choice(["", "zz", letters[0]]) for c in a]
+                pairs.append(("".join(a), "".join(b)))
+    rnd.shuffle(pairs)
+    assert bit_distances(*zip(*pairs)) == [bit_distance(a, b) for a, b in pairs]
+    assert bit_distances([], []) == []
+
+
+def test_squeeze_of_many_texts():
+    """Texts looked at together do not run into each other."""
+    rnd = random.Random(3)
+    texts = ["", "a", "aa", "\0\0\0\0", "a\0a\0a\0"] + ["".join(rnd.choice("ab\0") for _ in range(rnd.randrange(40))) for _ in range(800)]
+    for least, longest, keep in ((3, 20, 1), (2, 5, 1), (4, 3, 2), (3, 20, 0)):
+        assert P.squeeze_all(texts, least, longest, keep) == [R.squeeze(t, least, longest, keep) for t in texts]
+    assert P.squeeze_tagged(["ab" * 9 + "<ts>" + "ab" * 9, ""]) == ["ab<ts>ab", ""]
+    with pytest.raises(ValueError):
+        P.squeeze("aaa", 1)
