@@ -20,7 +20,8 @@ CLUSTERS = 31
 SIZE = 24
 NAMED = CLUSTERS * SIZE
 TAIL = NAMED  # input number of the rare ids
-STEP = 1024  # windows in one go
+STEP = 1024  # windows scored in one go
+BATCH = 128  # windows of a training step; the arrays of larger ones cost page faults
 SAFE = 60.0  # exponents below this need no maximum taken off
 F32 = np.float32
 
@@ -88,13 +89,6 @@ def _mask(rows, cols):
     return np.clip(distance, 0, SPAN - 1), distance < 0
 
 
-def _softmax(s):
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    return s
-
-
 def _log_sums(s, bound):
     """Log of the sums of exp(s) along the last axis; ``s`` is used up."""
     top = 0
@@ -194,57 +188,106 @@ class Scorer:
         return out
 
 
+def _shares(s, bound):
+    """Softmax along the last axis, in place, of values up to ``bound`` in size; the sums are products with ones."""
+    if bound > SAFE:
+        s -= s.max(-1, keepdims=True)
+    np.exp(s, out=s)
+    s *= (1 / (s @ np.ones(s.shape[-1], s.dtype)))[..., None]
+    return s
+
+
+def _sums_by(number, rows, size):
+    """Sum of the rows of each number below ``size``."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(number.astype(np.int16), kind="stable")
+    number = number[order]
+    at = np.flatnonzero(np.diff(number, prepend=-1))
+    out[number[at]] = np.add.reduceat(rows[order], at, axis=0)
+    return out
+
+
 def gradients(w, x, y):
-    """Mean loss and gradients for windows: inputs x and targets y of shape (windows, SPAN)."""
+    """Mean loss and gradients for windows: inputs x and targets y of shape (windows, SPAN).
+
+    Behind the attention the tokens stand in the order of their targets' clusters, so that each
+    cluster's share of every array is a slice.
+    """
     n, span = x.shape
     distance, later = _mask(span, span)
-    scale = F32(DIM**-0.5)
-    e = w["emb"][x]
-    q, k, v = e @ w["wq"] * scale, e @ w["wk"], e @ w["wv"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) + np.where(later, F32(-1e9), w["near"][distance])
-    p = _softmax(s)
-    z = (e + np.matmul(p, v)).reshape(-1, DIM)
-    a = z @ w["w1"] + w["b1"]
-    r = np.maximum(a, 0)
-    h = z + r @ w["w2"]
+    kind = w["emb"].dtype
+    scale = kind.type(DIM**-0.5)
     number = y.ravel()
     cluster = np.minimum(number // SIZE, CLUSTERS)
+    order = np.argsort(cluster.astype(np.int8), kind="stable")
+    number, cluster = number[order], cluster[order]
+    edge = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
     rows = np.arange(len(number))
+    flat = w["emb"][x.ravel()]
+    project = np.concatenate((w["wq"] * scale, w["wk"], w["wv"]), 1)
+    qkv = (flat @ project).reshape(n, span, 3 * DIM)
+    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += w["near"][distance]
+    # Later inputs get no share; each row keeps its own input, so no sum is 0.
+    if s.max() > SAFE or s.min() < -SAFE:
+        s -= np.where(later, kind.type(-np.inf), s).max(-1, keepdims=True)
+        np.minimum(s, 0, out=s)
+    p = np.exp(s, out=s)
+    p *= ~later
+    p *= (1 / (p @ np.ones(span, kind)))[..., None]
+    z = (flat + np.matmul(p, v).reshape(-1, DIM))[order]
+    a = z @ w["w1"]
+    a += w["b1"]
+    r = np.maximum(a, 0)
+    # A column of ones takes the biases along in the products.
+    h = np.ones((len(rows), DIM + 1), kind)
+    np.matmul(r, w["w2"], out=h[:, :DIM])
+    h[:, :DIM] += z
+    top, inside = np.concatenate((w["top"], w["top0"][None])), np.concatenate((w["in"], w["in0"][:, None]), 1)
+    longest = np.sqrt(np.einsum("ij,ij->i", h, h).max())
+    bound = longest * np.linalg.norm(inside, axis=1).max()
     g = {name: np.zeros_like(value) for name, value in w.items()}
-    t = _softmax(h @ w["top"] + w["top0"])
-    loss = -np.log(t[rows, cluster] + 1e-20).sum()
+    t = _shares(h @ top, longest * np.linalg.norm(top, axis=0).max())
+    hit, within = t[rows, cluster], np.ones(len(rows), kind)
     t[rows, cluster] -= 1
-    g["top"], g["top0"] = h.T @ t, t.sum(0)
+    both = h.T @ t
+    g["top"], g["top0"] = both[:-1], both[-1]
     dh = t @ w["top"].T
-    order = np.argsort(cluster, kind="stable")
-    edge = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
     for c in range(CLUSTERS):
-        mine = order[edge[c] : edge[c + 1]]
-        if not len(mine):
+        lo, hi = edge[c], edge[c + 1]
+        if lo == hi:
             continue
-        t = _softmax(h[mine] @ w["in"][c] + w["in0"][c])
-        pick = number[mine] - c * SIZE
-        loss -= np.log(t[np.arange(len(mine)), pick] + 1e-20).sum()
-        t[np.arange(len(mine)), pick] -= 1
-        g["in"][c], g["in0"][c] = h[mine].T @ t, t.sum(0)
-        dh[mine] += t @ w["in"][c].T
+        t = _shares(h[lo:hi] @ inside[c], bound)
+        at = rows[: hi - lo] * SIZE + (number[lo:hi] - c * SIZE)
+        within[lo:hi] = t.ravel()[at]
+        t.ravel()[at] -= 1
+        both = h[lo:hi].T @ t
+        g["in"][c], g["in0"][c] = both[:-1], both[-1]
+        dh[lo:hi] += t @ w["in"][c].T
+    loss = -np.log(hit * within + kind.type(1e-30)).sum()
     g["w2"] = r.T @ dh
-    dr = (dh @ w["w2"].T) * (a > 0)
+    dr = dh @ w["w2"].T
+    dr *= a > 0
     g["w1"], g["b1"] = z.T @ dr, dr.sum(0)
-    dz = (dh + dr @ w["w1"].T).reshape(n, span, DIM)
-    de = dz.copy()
-    dv = np.matmul(p.transpose(0, 2, 1), dz)
-    dp = np.matmul(dz, v.transpose(0, 2, 1))
-    ds = p * (dp - (dp * p).sum(-1, keepdims=True))
-    g["near"] = np.bincount(distance.ravel(), np.where(later, 0, ds.sum(0)).ravel(), SPAN).astype(F32)
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-    flat = e.reshape(-1, DIM)
-    for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
-        d = d.reshape(-1, DIM)
-        g[name] = flat.T @ d
-        de += (d @ w[name].T).reshape(de.shape)
-    np.add.at(g["emb"], x.ravel(), de.reshape(-1, DIM))
-    many = F32(len(number))
+    dh += dr @ w["w1"].T
+    de = np.empty_like(flat)
+    de[order] = dh
+    dz = de.reshape(n, span, DIM)
+    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    ds *= p
+    ds -= p * (ds @ np.ones(span, kind))[..., None]
+    g["near"] = np.bincount(distance.ravel(), np.where(later, 0, ds.sum(0)).ravel(), SPAN).astype(kind)
+    dqkv = np.empty_like(qkv)
+    dqkv[..., :DIM] = np.matmul(ds, k)
+    dqkv[..., DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), q)
+    dqkv[..., 2 * DIM :] = np.matmul(p.transpose(0, 2, 1), dz)
+    dqkv = dqkv.reshape(-1, 3 * DIM)
+    both = flat.T @ dqkv
+    g["wq"], g["wk"], g["wv"] = both[:, :DIM] * scale, both[:, DIM : 2 * DIM], both[:, 2 * DIM :]
+    de += dqkv @ project.T
+    g["emb"] = _sums_by(x.ravel(), de, len(w["emb"]))
+    many = kind.type(len(number))
     return loss / many, {name: value / many for name, value in g.items()}
 
 
@@ -283,14 +326,16 @@ def train(weights, blocks, rate, steps=200, seed=0):
     """(weights, number of windows): one pass over blocks of windows of numbers, shape (n, SPAN + 1).
 
     Starts from copies of the weights. Blocks are read one after another; windows are mixed within
-    parts of bounded size. A part has about ``steps`` steps, of 16 to 256 windows each.
+    parts of bounded size. A part has at least about ``steps`` steps, of 16 to ``BATCH`` windows each; the
+    rate falls to a twentieth over a part.
     """
     adam, rng, n = Adam({k: v.copy() for k, v in weights.items()}, rate), np.random.default_rng(seed), 0
     for windows in in_parts(blocks):
-        batch = min(max(len(windows) // steps, 16), 256)
+        batch = min(max(len(windows) // steps, 16), BATCH)
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
             some = windows[order[at : at + batch]].astype(np.int64)
+            adam.rate = rate * (1 - 0.95 * at / len(order))
             adam.step(some[:, :-1], some[:, 1:])
         n += len(windows)
     return adam.w, n

@@ -3,7 +3,8 @@
 ``gather`` reads the corpus once. Every task counts the words and the ids of its training texts and cuts
 all their ids into windows. Word counts are merged by hash range; the attention model (``attention.py``)
 starts from the id counts and is trained on all windows, data-parallel: each task makes one pass over
-its own from the common weights, and the weights are averaged, round after round.
+its own from the common weights, and the weights are averaged. A round on every ``WARM``-th window, of all
+texts alike, goes before, so that the tasks' models start out close enough to be averaged.
 
 ``score`` reads the corpus a second time. The most frequent words (a fixed number) and the model go to
 the tasks; a text's other words are dealt by hash range to where their counts are, and only sums come
@@ -21,17 +22,16 @@ from pyspark.sql import types as T
 
 from parley.llm import attention, wordbpe
 from parley.llm.common import materialise, texts_of, tree_merge
-from parley.llm.shingles import in_chunks, mix, word_hashes
+from parley.llm.shingles import in_chunks, word_hashes
 
 END_ID = 49407
 END_WORD = 0x5D1E_57A9_0C3B_F7E1  # the hash that stands for the end of a text
 HEAVY = 1 << 17
-SLICE_BYTES = 320
-SLICE_EVERY = 6144
 IDS = -1  # stands in place of a hash range: a task's id counts
 FLUSH_IDS = 1 << 18
 FLUSH_WORDS = 6_000_000
-RATES = (0.04, 0.015)
+RATES = (0.04, 0.02)
+WARM = 8  # the rounds before the last take every eighth window
 LN10 = float(np.log(10))
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,27 +57,6 @@ def range_of(h, ranges):
     return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def slices(text):
-    """Short parts of a text, from places that its bytes decide; cut at white space. Training reads whole texts."""
-    n, seed, out = len(text), zlib.crc32(text), []
-    if n <= 2 * SLICE_BYTES:
-        return [text]
-    for k in range(1 + n // SLICE_EVERY):
-        room = n - SLICE_BYTES
-        at = int(mix(np.array([seed * 4096 + k], np.uint64))[0] % np.uint64(room))
-        if k == 0 and seed % 8 == 0:
-            at = 0
-        elif k == 0 and seed % 8 == 1:
-            at = room
-        part = text[at : at + SLICE_BYTES]
-        if at:
-            part = part[max(part.find(b" "), 0) :]
-        if at < room:
-            part = part[: part.rfind(b" ")] if b" " in part.strip() else part
-        out.append(part)
-    return out
-
-
 def gather(df, vocab, ranges, key="key", text="text", fold=(10, 0)):
     """Rows of (range, task, data): word counts by range, id counts (range ``IDS``), windows of ids (range null).
 
@@ -230,17 +209,18 @@ def trained(gathered, size, rates=RATES):
     counts = np.frombuffer(zlib.decompress(found[0]), "<i8") if found else np.zeros(size, np.int64)
     vocabulary = attention.Vocabulary(counts, END_ID)
     weights = attention.initial(vocabulary)
-    for rate in rates:
-        weights = _round(blobs, weights, vocabulary, rate)
+    for k, rate in enumerate(rates, 1):
+        weights = _round(blobs, weights, vocabulary, rate, 1 if k == len(rates) else WARM)
     return weights, vocabulary
 
 
-def _round(blobs, weights, vocabulary, rate):
+def _round(blobs, weights, vocabulary, rate, every):
+    """Averaged weights after one pass of each task over every ``every``-th of its windows."""
     sent = blobs.sparkSession.sparkContext.broadcast((weights, vocabulary))
 
     def train(frames):
         start, known = sent.value
-        mine = (known.number[_windows_of(b)] for f in frames for b in f["data"])
+        mine = (known.number[_windows_of(b)[::every]] for f in frames for b in f["data"])
         out, n = attention.train(start, mine, rate)
         if n:
             yield pd.DataFrame({"n": [float(n)], "data": [(attention.pack(out).astype(np.float64) * n).tobytes()]})

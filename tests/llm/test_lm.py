@@ -115,14 +115,6 @@ def test_model_learns_order(spark, vocab):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
-def test_slices_follow_the_text():
-    assert lm.slices(b"short text") == [b"short text"]
-    text = b" ".join(b"word%d" % k for k in range(9000))
-    parts = lm.slices(text)
-    assert len(parts) == 1 + len(text) // lm.SLICE_EVERY
-    assert all(p.strip() in text for p in parts)
-
-
 def test_training_sees_every_token(spark, vocab, edge_docs):
     from parley.llm import wordbpe
 
