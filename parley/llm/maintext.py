@@ -50,11 +50,9 @@ JUNK = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"article|body|content|entry|main|page|post|text|story|blog", re.I)
 BAD = re.compile(r"hidden|foot|meta|outbrain|shout|tool|list|link|combx|contact", re.I)
-TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
-    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>",
-    re.S,
-)
+REMARK = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>", re.S)
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)  # a ">" ends it, also within quotes
 ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]*+)))?", re.S)
 HEADINGS = {f"h{i}" for i in range(1, 7)}
 START = {"article": 10, "main": 10, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "li": -3}
@@ -72,80 +70,117 @@ class Node:
         self.score = None
 
 
+class Open:
+    """The open elements; the nearest of a kind is known without a walk over the others."""
+
+    def __init__(self, root):
+        self.nodes, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, node):
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def nearest(self, tags):
+        """Place of the innermost element with one of the tags; 0 (the root): none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, k):
+        """Ends the element at place ``k`` and all within it."""
+        for node in self.nodes[k:]:
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+        del self.nodes[k:]
+
+    def end_paragraph(self):
+        k = self.nearest(("p",))
+        if k and k >= max(self.blocks[-1], self.nearest(P_STOPS)):
+            self.cut(k)
+
+    def end_open(self, ended, within):
+        k = self.nearest(ended)
+        if k and k >= self.nearest(within):
+            self.cut(k)
+
+    def close(self, name):
+        """An end tag. A stray inline one does not end blocks, one of div, p or li no table."""
+        k = self.nearest((name,))
+        if not k or (name not in BLOCK and self.blocks[-1] > k):
+            return
+        if name not in ("div", "p", "li") or self.nearest(("table",)) < k:
+            self.cut(k)
+
+
+def marks(page):
+    """Tags, comments and the like in page order, as matches; time grows in proportion to the page.
+
+    After the first tag that its quotes keep open to the end of the page, a tag ends at the next ">".
+    The caller sends the place to go on from, or None for the end of the match.
+    """
+    tag, last, at = TAG, page.rfind(">"), page.find("<")
+    while at >= 0:
+        found = REMARK.match(page, at)
+        if found is None and at < last:
+            found = tag.match(page, at)
+            if found is None and (found := PLAIN.match(page, at)):
+                tag = PLAIN
+        elif found is None:
+            # No tag ends any more; a comment may still begin.
+            found = REMARK.search(page, at)
+            if found is None:
+                return
+        if found is None:
+            at = page.find("<", at + 1)
+            continue
+        on = yield found
+        at = page.find("<", found.end() if on is None else on)
+
+
 def parse(page):
     """The tree of a page; never fails, unclosed and stray tags are mended as browsers mostly do."""
     root = Node("#root")
-    stack, at = [root], 0
+    opened, at = Open(root), 0
 
     def text(value):
         if value:
-            stack[-1].children.append(html.unescape(value) if "&" in value else value)
+            opened.nodes[-1].children.append(html.unescape(value) if "&" in value else value)
 
-    position, size = 0, len(page)
-    while position < size:
-        found = TAG.search(page, position)
-        if found is None:
-            text(page[at:])
-            return root
+    reader, on = marks(page), None
+    while True:
+        try:
+            found = reader.send(on)
+        except StopIteration:
+            break
+        on = None
         text(page[at : found.start()])
-        at = position = found.end()
-        name = found[2]
-        if name is None:
+        at = found.end()
+        if found.re is REMARK:
             if found[0].startswith("<![CDATA["):
                 text(found[0][9:].removesuffix("]]>"))
             continue
-        name = name.lower()
+        name = found[2].lower()
         if found[1]:
-            _close(stack, name)
+            opened.close(name)
             continue
         if name in BLOCK:
-            _end_paragraph(stack)
+            opened.end_paragraph()
         if name in ENDS:
-            _end_open(stack, *ENDS[name])
-        node = Node(name, found[3], stack[-1])
-        stack[-1].children.append(node)
+            opened.end_open(*ENDS[name])
+        parent = opened.nodes[-1]
+        node = Node(name, found[3], parent)
+        parent.children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(page, position)
-            node.children.append(page[position : end.start()] if end else page[position:])
-            at = position = end.end() if end else size
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
+            node.children.append(page[at : end.start()] if end else page[at:])
+            at = on = end.end() if end else len(page)
         elif name not in VOID:
-            stack.append(node)
+            opened.push(node)
     text(page[at:])
     return root
 
 
-def _end_paragraph(stack):
-    for k in range(len(stack) - 1, 0, -1):
-        tag = stack[k].tag
-        if tag == "p":
-            del stack[k:]
-            return
-        if tag in BLOCK or tag in P_STOPS:
-            return
-
-
-def _end_open(stack, ended, within):
-    for k in range(len(stack) - 1, 0, -1):
-        tag = stack[k].tag
-        if tag in ended:
-            del stack[k:]
-            return
-        if tag in within:
-            return
-
-
-def _close(stack, name):
-    block = name in BLOCK
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == name:
-            del stack[k:]
-            return
-        if not block and stack[k].tag in BLOCK:
-            return  # a stray inline end tag does not end blocks
-        if name not in ("table", "html", "body") and stack[k].tag in ("table",) and name in ("div", "p", "li"):
-            return
-
-
 def attributes(raw):
     out = {}
     for name, a, b, c in ATTR.findall(raw):
