@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from parley.llm.common import materialise
+from parley.operators.lookup import lookup_join
 from parley.session import scratch_dir
 
 ARC_FIELDS = {
@@ -157,16 +158,17 @@ def write_arc(df, folder, key="page_id", url="url", html="html", versions=(1, 2)
     """Write an ARC record per row; returns the manifest (file, records), written.
 
     Blocks are HTTP responses; the key travels in an HTTP header, a null key in none. Files take the
-    format versions in turn and end after ``file_bytes`` or ``FILE_RECORDS`` records.
+    format versions in turn, tasks begin at different ones, and end after ``file_bytes`` or ``FILE_RECORDS`` records.
     """
 
     def run(batches):
         count, out, name, size, records, version = 0, None, None, 0, 0, 1
+        first = TaskContext.get().partitionId() if TaskContext.get() else 0
         done = []
         for batch in batches:
             for k, u, h in zip(*(batch.column(i) for i in range(3))):
                 if out is None:
-                    name, version = f"part-{_attempt()}-{count:05d}.arc.gz", versions[count % len(versions)]
+                    name, version = f"part-{_attempt()}-{count:05d}.arc.gz", versions[(first + count) % len(versions)]
                     out = _open(posixpath.join(folder, name), "w")
                     out.write(_member(arc_head(version, name)))
                     size = records = 0
@@ -296,11 +298,11 @@ def decisions(index, key_type, min_payload=0):
     place = F.struct("order", "file", "number", "url", "date")
     best = index.filter(F.col("payload_bytes") >= min_payload).groupBy("payload_digest", "payload_bytes")
     best = best.agg(F.max(place).alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    best = best.toDF("_digest", "_bytes", "to")
-    same = (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
     itself = (F.col("to.file") == F.col("file")) & (F.col("to.number") == F.col("number"))
     to = F.when(~itself, F.struct("to.file", "to.number", "to.url", "to.date"))
-    return index.join(best, same, "left").select("file", "number", to.alias("to"))
+    # One page may be a third of all payloads: its rows are dealt over tasks.
+    known = lookup_join(index, best, ["payload_digest", "payload_bytes"], "left")
+    return known.select("file", "number", to.alias("to"))
 
 
 def convert(manifest, folder, key_type="long", min_payload=0):
@@ -375,11 +377,10 @@ def index_warc(manifest):
 
 def resolved(rows):
     """Revisits with key and payload length of the record they refer to: ``refers_to``."""
-    target = rows.filter("record_type != 'revisit'").select(
-        F.col("record_id").alias("_id"), F.col("key").alias("refers_to"), F.col("payload_bytes").alias("_bytes")
-    )
-    joined = rows.join(target, F.col("refers_to_id") == F.col("_id"), "left")
-    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).drop("_id", "_bytes")
+    full, revisits = rows.filter("record_type != 'revisit'"), rows.filter("record_type = 'revisit'").drop("payload_bytes")
+    target = full.select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"), "payload_bytes")
+    joined = lookup_join(revisits, target, "refers_to_id", "left")
+    return full.withColumn("refers_to", F.lit(None).cast("string")).unionByName(joined)
 
 
 def round_trip(df, key="page_id", url="url", html="html", min_payload=0, file_bytes=FILE_BYTES):

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from parley.llm import archives
+from parley.operators import lookup
 
 PAGES = "page_id long, url string, html string"
 
@@ -55,6 +56,20 @@ def test_small_files_and_both_versions(spark):
     assert out.count() == 33 and out.filter("record_type = 'response'").count() == len(brute(rows()).keys() & {*brute(rows())}) - 4
 
 
+def test_small_tables_use_both_versions(spark, tmp_path):
+    df = spark.createDataFrame(rows() * 3, PAGES).repartition(4)
+    files = [r["file"] for r in archives.write_arc(df, str(tmp_path)).collect()]
+    heads = {gzip.open(f).read().split(b"\n")[1][:1] for f in files}
+    assert heads == {b"1", b"2"}
+
+
+def test_a_payload_in_very_many_records(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_ROWS", 3)
+    monkeypatch.setattr(lookup, "SEG_ROWS", 2)
+    some = [(k, "http://a", "same") for k in range(40)] + [(k, "http://b", str(k)) for k in range(40, 50)]
+    assert shown(archives.pages_query(spark.createDataFrame(some, PAGES).repartition(3))) == brute(some)
+
+
 def test_payloads_below_the_limit_are_never_revisits(spark):
     out = archives.round_trip(spark.createDataFrame(rows(), PAGES), min_payload=5)
     assert {r["record_type"] for r in out.collect()} == {"response"}
