@@ -100,20 +100,24 @@ def with_digest(df, key="doc_id", text="text"):
 def deduplicated(df, key="doc_id", text="text", counters=COUNTERS):
     """Rows of ``df`` that stay, all columns as they are."""
     digests = materialise(with_digest(df, key, text), "digests")
-    found = verified(digests, counters).toDF("__digest", "__keep", "__size")
+    mark = "__"
+    while {mark + "digest", mark + "keep", mark + "size"} & set(df.columns):
+        mark += "_"
+    by, keep, size = mark + "digest", mark + "keep", mark + "size"
+    found = verified(digests, counters).toDF(by, keep, size)
     heavy, names = F.broadcast(found), df.columns
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    rows = df.withColumn("__digest", digest)
-    stays = F.col(key).eqNullSafe(F.col("__keep"))
-    hot = rows.join(heavy, "__digest").filter(stays).select(*names, "__digest")
-    cold = rows.join(heavy, "__digest", "left_anti")
-    rest = digests.join(heavy.select(F.col("__digest").alias("digest")), "digest", "left_anti")
-    repeated = winners(rest).filter("group_size > 1").toDF("__digest", "__keep", "__size")
-    cold = cold.join(repeated, "__digest", "left")
-    single = cold.filter(F.col("__size").isNull()).select(*names)
-    winner = cold.filter(F.col("__size").isNotNull() & stays).select(*names, "__digest")
+    rows = df.withColumn(by, digest)
+    stays = F.col(key).eqNullSafe(F.col(keep))
+    hot = rows.join(heavy, by).filter(stays).select(*names, by)
+    cold = rows.join(heavy, by, "left_anti")
+    rest = digests.join(heavy.select(F.col(by).alias("digest")), "digest", "left_anti")
+    repeated = winners(rest).filter("group_size > 1").toDF(by, keep, size)
+    cold = cold.join(repeated, by, "left")
+    single = cold.filter(F.col(size).isNull()).select(*names)
+    winner = cold.filter(F.col(size).isNotNull() & stays).select(*names, by)
     # Rows that repeat key and text: one of them.
-    return single.unionByName(hot.unionByName(winner).dropDuplicates([key, "__digest"]).select(*names))
+    return single.unionByName(hot.unionByName(winner).dropDuplicates([key, by]).select(*names))
 
 
 def documents_query(docs, counters=COUNTERS):

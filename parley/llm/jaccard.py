@@ -101,10 +101,10 @@ def described(df, key, text, width=WIDTH, bits=SKETCH_BITS):
             )
         if kind is not None:
             ranges = list(range(0, 1 << bits, step))
-            none = pa.nulls(len(ranges))
+            none, keys = pa.nulls(len(ranges)), pa.nulls(len(ranges), kind)
             packed = [Sketch.pack(np.minimum(counts[r : r + step], 2**32 - 1)) for r in ranges]
             yield pa.RecordBatch.from_arrays(
-                [none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(len(ranges)), pa.int32()), pa.array(packed, pa.binary())],
+                [keys, none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(len(ranges)), pa.int32()), pa.array(packed, pa.binary())],
                 names=schema.names,
             )
 
@@ -574,12 +574,18 @@ def grouped(df, key="doc_id", text="text", width=WIDTH, share=SHARE, bits=SKETCH
 def representatives(df, key="doc_id", text="text", **options):
     """Rows of ``df`` that stay when of each component only the smallest key does, all columns as they are.
 
-    Rows that share a key are one document here.
+    A null key is larger than any other; of rows that share a key, null or not, the one whose text has the
+    smaller hash stays. Rows that share key and text are one document: they stay or go together.
     """
-    found = materialise(grouped(df, key, text, **options), "components")
-    stays = F.col("key").eqNullSafe(F.col("component_id"))
-    lost = found.groupBy("key").agg(F.max(stays).alias("stays")).filter("not stays")
-    return df.join(lost.select(F.col("key").alias("__key")), F.col(key) == F.col("__key"), "left_anti")
+    place = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = df.select(place.alias("key"), F.col(text).alias("text"))
+    found = materialise(grouped(rows, "key", "text", **options), "components")
+    lost = found.filter(F.col("key") != F.col("component_id")).select("key").distinct()
+    taken = "__lost"
+    while taken in df.columns:
+        taken = "_" + taken
+    lost = lost.withColumnRenamed("key", taken)
+    return df.join(lost, place == F.col(taken), "left_anti")
 
 
 def documents_query(docs):

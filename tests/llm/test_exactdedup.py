@@ -55,3 +55,10 @@ def test_rows_that_stay(clashing, counters):
 def test_empty(no_docs):
     assert exactdedup.documents_query(no_docs).count() == 0
     assert exactdedup.deduplicated(no_docs).count() == 0
+
+
+def test_columns_of_the_operators_own_names(spark):
+    rows = [(1, "a", "x", 1, 1), (2, "a", "y", 2, 2), (3, "b", "z", 3, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __digest string, __keep long, __size long")
+    got = exactdedup.deduplicated(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[1], rows[2]]

@@ -105,6 +105,18 @@ def test_representatives(clashing):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_representatives_of_rows_with_null_and_shared_keys(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda n: " ".join([*words, f"x{n}"])
+    other = lambda n: " ".join(f"{n}v{k}" for k in range(60))
+    rows = [(None, near(1), "a"), (5, near(2), "b"), (7, near(3), "c"), (None, other(1), "d"), (None, None, "e")]
+    rows += [(9, other(2), "f"), (9, other(2) + " y", "g"), (None, other(3), "h"), (None, other(3) + " z", "i"), (11, other(4), "j"), (11, other(4), "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __lost string")
+    kept = sorted(r["__lost"] for r in jaccard.representatives(df.repartition(3), bits=12).collect())
+    assert [k for k in kept if k not in "fghi"] == ["b", "d", "e", "j", "k"]
+    assert len([k for k in kept if k in "fg"]) == 1 and len([k for k in kept if k in "hi"]) == 1
+
+
 def test_empty_table(no_docs):
     assert jaccard.documents_query(no_docs).count() == 0
     assert jaccard.representatives(no_docs).count() == 0
