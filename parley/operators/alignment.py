@@ -11,6 +11,7 @@ from parley.operators.lookup import lookup_join
 from parley.operators.scan import Run, running
 
 NO_SPACES = ("ja", "zh")
+CELL = 64
 
 
 def clip_plan(utts, manifest, sample_rate, on="path"):
@@ -71,13 +72,31 @@ def word_index(chars, by, lang="en"):
     return running(out, by, ["char_idx"], runs, split=False).drop("__ends")
 
 
+def _cell(at):
+    return F.floor(at / CELL).cast("long")
+
+
 def chars_in_sentences(chars, spans, by):
-    """Sentence of each character; borders are shared and the later sentence keeps them."""
-    covered = spans.select(
-        *by, "span_idx", F.explode(F.sequence("span_start", "span_end")).alias("char_idx")
-    )
-    best = covered.groupBy(*by, "char_idx").agg(F.max("span_idx").alias("span_idx"))
-    return chars.join(best, list(by) + ["char_idx"], "left")
+    """Sentence of each character; borders are shared and the later sentence keeps them.
+
+    Sentences are cut at cells of ``CELL`` characters, and each character looks up its cell. A cell keeps one sentence,
+    the latest, per range of it that is covered, so however many sentences overlap, few are left to look at.
+    """
+    by, at = list(by), F.col("char_idx")
+    begin, end = F.least("span_start", "span_end"), F.greatest("span_start", "span_end")
+    known = spans.where(F.col("span_start").isNotNull() & F.col("span_end").isNotNull())
+    cells = F.sequence(_cell(begin), _cell(end))
+    pieces = known.select(*by, "span_idx", begin.alias("__lo"), end.alias("__hi"), F.explode(cells).alias("__cell"))
+    first = F.col("__cell") * CELL
+    pieces = pieces.withColumns({"__lo": F.greatest("__lo", first), "__hi": F.least("__hi", first + CELL - 1)})
+    latest = pieces.groupBy(*by, "__cell", "__lo", "__hi").agg(F.max("span_idx").alias("span_idx"))
+    inside = latest.groupBy(*by, "__cell").agg(F.collect_list(F.struct("__lo", "__hi", "span_idx")).alias("__spans"))
+    # The size of the cells is guessed before they are made: never a broadcast.
+    out = chars.withColumn("__cell", _cell(at)).join(inside.hint("merge"), by + ["__cell"], "left")
+    over = F.filter("__spans", lambda s: (s["__lo"] <= at) & (at <= s["__hi"]))
+    best = F.array_max(F.transform(over, lambda s: s["span_idx"])).alias("span_idx")
+    names = [c for c in chars.columns if c not in by and c != "char_idx"]
+    return out.select(*by, "char_idx", *names, best)
 
 
 def rollup_words(chars, by):

@@ -1,5 +1,8 @@
 """What has to hold on tables of any size: plans, task sizes, files."""
 
+import random
+
+from parley.operators import alignment as A
 from parley.operators import spans as P
 
 
@@ -14,3 +17,20 @@ def test_cells_are_not_broadcast(spark):
     out = P.utterances_in_span(utts, spans)
     assert "BroadcastHashJoin" not in plan_of(out)
     assert sorted((r.span_start, r.utt_idx) for r in out.collect()) == [(-5, 0), (-5, 1), (0, 0)]
+
+
+def test_sentences_of_characters(spark):
+    rng = random.Random(5)
+    spans = [(g, k, a, a + rng.randrange(-3, 200)) for g in range(3) for k, a in enumerate(rng.choices(range(-100, 400), k=40))]
+    spans += [(0, 99, None, 5), (1, 98, 5, None), (2, None, 0, 400)]
+    chars = [(g, i, "x") for g in (0, 1, 2, 7) for i in range(-10, 420)]
+    df = A.chars_in_sentences(
+        spark.createDataFrame(chars, "g long, char_idx long, char string"),
+        spark.createDataFrame(spans, "g long, span_idx long, span_start long, span_end long"),
+        ["g"],
+    )
+    assert "BroadcastHashJoin" not in plan_of(df)
+    whole = [s for s in spans if None not in s]
+    want = [(g, i, "x", max((k for h, k, a, b in whole if h == g and min(a, b) <= i <= max(a, b)), default=None)) for g, i, _ in chars]
+    assert df.columns == ["g", "char_idx", "char", "span_idx"]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
