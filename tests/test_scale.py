@@ -4,6 +4,7 @@ import random
 
 from parley.operators import alignment as A
 from parley.operators import spans as P
+from parley.sources import readers
 
 
 def plan_of(df):
@@ -34,3 +35,12 @@ def test_sentences_of_characters(spark):
     want = [(g, i, "x", max((k for h, k, a, b in whole if h == g and min(a, b) <= i <= max(a, b)), default=None)) for g, i, _ in chars]
     assert df.columns == ["g", "char_idx", "char", "span_idx"]
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """What numbers, counts and filters lines scans a table, not the files again and again."""
+    (tmp_path / "a.jsonl").write_text('{"text": "a"}\n[0]\n')
+    path = str(tmp_path)
+    for lines in (readers.read_lines(spark, path), readers.read_lines(spark, path, footer=True), readers.record_texts(spark, path)):
+        assert "FileScan text" not in plan_of(lines) and lines.count() in (1, 2)
+    assert "FileScan json" not in plan_of(readers.read_segments_jsonl(spark, path, "*.none"))
