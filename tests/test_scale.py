@@ -2,6 +2,7 @@
 
 import random
 
+from checks import load
 from parley.operators import alignment as A
 from parley.operators import spans as P
 from parley.sources import readers
@@ -44,3 +45,8 @@ def test_files_are_read_once(spark, tmp_path):
     for lines in (readers.read_lines(spark, path), readers.read_lines(spark, path, footer=True), readers.record_texts(spark, path)):
         assert "FileScan text" not in plan_of(lines) and lines.count() in (1, 2)
     assert "FileScan json" not in plan_of(readers.read_segments_jsonl(spark, path, "*.none"))
+
+
+def test_label_files_hold_many_ids(spark):
+    labels = load()[0]["src_7_read_labels"](spark, "/root/testdata/sf0.01")
+    assert len(labels.inputFiles()) <= 8
