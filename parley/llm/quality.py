@@ -14,14 +14,16 @@ testing), and strata share ``delta`` (Bonferroni). So with probability 1 - delta
 under ``alpha`` of the good texts that pass the base rules are rejected. Copies of a text are one draw.
 A stratum with too few good holdout texts to show that rejects nothing.
 
-The path may be learned from at most about ``max_fit`` texts; the test counts all holdout texts.
+Cutoffs, path and test count all labelled texts, in Spark: only numbers by stratum, rule and cutoff come to the driver.
 """
 
 import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +31,6 @@ from parley.llm.common import materialise, texts_of
 
 ALPHA = 0.02  # largest share of good texts that may be rejected by mistake
 DELTA = 0.05  # probability that the share is higher in any stratum
-MAX_FIT = 32768
 MAX_STRATA = 64
 LEVELS = 24
 MIN_WORDS = 20
@@ -142,38 +143,41 @@ def labelled_texts(rows, labels, key, label):
     return texts.select("stratum", "good", (F.pmod(F.xxhash64("digest"), F.lit(2)) == 0).alias("fit"), F.col("digest"), *RULES)
 
 
-def path(good, bad, levels=LEVELS):
-    """Moves (rule, cutoff), each making the rule set stricter, from rows of values of good and bad texts.
+def levels_below(texts, at, levels=LEVELS):
+    """{(stratum number, rule number): cutoffs, rising} of the good texts in ``texts``: exact quantiles, by counting.
 
-    Candidates are quantiles of the good texts' values, from the largest down to the 90th percentile. A
-    move is taken as long as it rejects a larger share of the bad texts than of the good ones.
+    Cutoffs are order statistics of the values, from the 90th percentile to the largest. A (stratum, rule, value) has one row.
     """
-    if not len(good) or not len(bad):
-        return []
-    shares = np.linspace(0, 1, levels) ** 2 * 0.1
-    grid = [np.unique(np.quantile(good[:, r], 1 - shares, method="higher"))[::-1] for r in range(good.shape[1])]
-    have = [NEVER] * good.shape[1]
-    good, bad, n_good, n_bad = good.copy(), bad.copy(), len(good), len(bad)
-    moves = []
-    while True:
-        best = None
-        for r, cutoffs in enumerate(grid):
-            g, b = np.sort(good[:, r]), np.sort(bad[:, r])
-            for cutoff in cutoffs:
-                if cutoff >= have[r]:
-                    continue
-                lost = (len(g) - np.searchsorted(g, cutoff, "right")) / n_good
-                caught = (len(b) - np.searchsorted(b, cutoff, "right")) / n_bad
-                if caught > lost:
-                    worth = (caught / (lost + 0.5 / n_good), -r, cutoff)
-                    if best is None or worth > best[0]:
-                        best = (worth, r, int(cutoff))
-        if best is None:
-            return moves
-        _, r, cutoff = best
-        have[r] = cutoff
-        moves.append((r, cutoff))
-        good, bad = good[good[:, r] <= cutoff], bad[bad[:, r] <= cutoff]
+    values = F.posexplode(F.array(*RULES)).alias("rule", "value")
+    found = texts.filter("good = 1").select(at.alias("at"), values).groupBy("at", "rule", "value").agg(F.count(F.lit(1)).alias("n"))
+    group = W.partitionBy("at", "rule")
+    upto = F.sum("n").over(group.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    found = found.withColumns({"upto": upto, "all": F.sum("n").over(group)})
+    shares = F.array(*[F.lit(float(1 - x)) for x in np.linspace(0, 1, levels) ** 2 * 0.1])
+    place = lambda q: F.ceil((F.col("all") - 1) * q)
+    picked = F.exists(shares, lambda q: (place(q) < F.col("upto")) & (place(q) >= F.col("upto") - F.col("n")))
+    grid = {}
+    for r in found.filter(picked).select("at", "rule", "value").collect():
+        grid.setdefault((r["at"], r["rule"]), []).append(r["value"])
+    return {k: np.sort(np.array(v, np.int64)) for k, v in grid.items()}
+
+
+def _over(levels, bound):
+    """How many texts lie over each of the first ``bound`` cutoffs, from the numbers of texts by level."""
+    return levels[::-1].cumsum()[::-1][1 : bound + 1]
+
+
+def _move(good, bad, n_good, n_bad, have, grid):
+    """(rule, place of the cutoff) that rejects the largest share of bad texts for the fewest good ones, or None."""
+    best = None
+    for r, cutoffs in enumerate(grid):
+        for i, (g, b) in enumerate(zip(_over(good[r], have[r]), _over(bad[r], have[r]))):
+            lost, caught = g / n_good, b / n_bad
+            if caught > lost:
+                worth = (caught / (lost + 0.5 / n_good), -r, int(cutoffs[i]))
+                if best is None or worth > best[0]:
+                    best = (worth, r, i)
+    return best and best[1:]
 
 
 def _fraction(a, b, x):
@@ -255,7 +259,7 @@ class Cutoffs:
         return out.withColumn("rejected_by", reason).select(*rows.columns, "rejected_by")
 
 
-def fit(rows, labels, key="doc_id", label="quality", alpha=ALPHA, delta=DELTA, max_fit=MAX_FIT, max_strata=MAX_STRATA):
+def fit(rows, labels, key="doc_id", label="quality", alpha=ALPHA, delta=DELTA, max_strata=MAX_STRATA):
     """Cutoffs for rows of ``measured``, a written table.
 
     The ``max_strata`` strata with the most labelled texts are set apart, all others together are one.
@@ -266,53 +270,86 @@ def fit(rows, labels, key="doc_id", label="quality", alpha=ALPHA, delta=DELTA, m
     names = [r["stratum"] for r in sizes]
     number = {name: k for k, name in enumerate(names)}
     pooled = len(names)
-    many = texts.filter("fit").count()
-    proposing = texts.filter("fit")
-    if many > max_fit:
-        share = F.pmod(F.shiftright(F.xxhash64("digest"), 1), F.lit(1 << 30))
-        proposing = proposing.filter(share < int(max_fit / many * (1 << 30)))
-    # About max_fit rows of one number per rule.
-    sample = proposing.select("stratum", "good", *RULES).collect()
-    paths = []
-    for k in range(pooled + 1):
-        mine = [r for r in sample if number.get(r["stratum"], pooled) == k]
-        values = [np.array([r[2:] for r in mine if r["good"] == g], np.int64).reshape(-1, len(RULES)) for g in (1, 0)]
-        paths.append(path(*values))
-
-    def first_moves(frames):
+    at = F.lit(pooled)
+    for k, name in enumerate(names):
+        at = F.when(F.col("stratum").eqNullSafe(F.lit(name).cast("string")), k).otherwise(at)
+    grid = levels_below(texts.filter("fit"), at)
+    none = np.zeros(0, np.int64)
+    grids = [[grid.get((k, r), none) for r in range(len(RULES))] for k in range(pooled + 1)]
+    deep = 1 + max((len(g) for mine in grids for g in mine), default=0)
+
+    def to_levels(frames):
         for frame in frames:
-            at = frame["stratum"].map(lambda s: number.get(s, pooled)).to_numpy(np.int64)
-            values = frame[list(RULES)].to_numpy(np.int64)
-            step = np.full(len(frame), -1, np.int64)
-            for k, moves in enumerate(paths):
-                mine = np.flatnonzero(at == k)
-                left = mine
-                for i, (r, cutoff) in enumerate(moves):
-                    hit = values[left, r] > cutoff
-                    step[left[hit]] = i
-                    left = left[~hit]
-            yield frame.assign(at=at, step=step)[["at", "step"]]
-
-    tested = texts.filter("not fit and good = 1").select("stratum", *RULES).mapInPandas(first_moves, "at long, step long")
-    tally = {}
-    # One row per stratum and move.
-    for r in tested.groupBy("at", "step").agg(F.count(F.lit(1)).alias("n")).collect():
-        tally[r["at"], r["step"]] = r["n"]
-    level = delta / max(1, sum(bool(p) for p in paths))
+            where = frame["at"].to_numpy(np.int64)
+            out = {}
+            for r, rule in enumerate(RULES):
+                level = np.zeros(len(frame), np.int64)
+                for k in np.unique(where):
+                    mine = where == k
+                    level[mine] = np.searchsorted(grids[k][r], frame[rule].to_numpy(np.int64)[mine], "left")
+                out[rule] = level
+            yield frame.assign(**out)
+
+    # Kinds: good and bad texts that propose, good ones of the holdout. Texts that lie between the same cutoffs are one row.
+    kind = F.when(F.col("fit"), 1 - F.col("good")).otherwise(2).cast("int")
+    cells = texts.filter("fit or good = 1").select(at.cast("int").alias("at"), kind.alias("kind"), *RULES)
+    cells = cells.mapInPandas(to_levels, cells.schema).groupBy("at", "kind", *RULES).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialise(cells, "cells")
+    have = [[len(g) for g in mine] for mine in grids]
+
+    def tally():
+        """Texts that the moves so far have left: by stratum, kind, rule and level."""
+
+        def run(frames):
+            bounds = np.array(have)
+            for frame in frames:
+                where, of, n = (frame[c].to_numpy(np.int64) for c in ("at", "kind", "n"))
+                level = frame[list(RULES)].to_numpy(np.int64).reshape(-1, len(RULES))
+                left = np.flatnonzero((level <= bounds[where]).all(axis=1))
+                shape = (pooled + 1, 3, len(RULES), deep)
+                sums = np.zeros(shape, np.int64)
+                for r in range(len(RULES)):
+                    np.add.at(sums, (where[left], of[left], r, level[left, r]), n[left])
+                place = np.flatnonzero(sums)
+                yield pd.DataFrame({"place": place, "n": sums.ravel()[place]})
+
+        out = np.zeros((pooled + 1) * 3 * len(RULES) * deep, np.int64)
+        # At most a number per stratum, kind, rule and level.
+        for r in cells.mapInPandas(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            out[r["place"]] = r["n"]
+        return out.reshape(pooled + 1, 3, len(RULES), deep)
+
+    now = tally()
+    total = now[:, :, 0].sum(axis=2)  # by stratum and kind
+
+    def propose(k):
+        return _move(now[k, 0], now[k, 1], total[k, 0], total[k, 1], have[k], grids[k]) if total[k, 0] and total[k, 1] else None
+
+    first = [propose(k) for k in range(pooled + 1)]
+    level = delta / max(1, sum(m is not None for m in first))
+    held, lost, moves = [0] * (pooled + 1), [0] * (pooled + 1), first
+    # One job a move, for all strata together. A path ends with the first move that fails the test.
+    while any(moves):
+        for k, move in enumerate(moves):
+            if move:
+                r, i = move
+                more = int(_over(now[k, 2, r], i + 1)[i])
+                if not total[k, 2] or at_most(lost[k] + more, int(total[k, 2]), alpha) > level:
+                    moves[k] = None
+                else:
+                    lost[k], held[k], have[k][r] = lost[k] + more, held[k] + 1, i
+        if any(moves):
+            now = tally()
+            moves = [move and propose(k) for k, move in enumerate(moves)]
     cutoffs, certificates = [], []
-    for k, moves in enumerate(paths):
-        steps = [tally.get((k, i), 0) for i in range(len(moves))]
-        n = sum(steps) + tally.get((k, -1), 0)
-        held = certified(steps, n, alpha, level)
-        mine = [NEVER] * len(RULES)
-        for r, cutoff in moves[:held]:
-            mine[r] = cutoff
+    for k in range(pooled + 1):
+        mine = [int(g[i]) if i < len(g) else NEVER for g, i in zip(grids[k], have[k])]
         cutoffs.append(mine)
-        lost = sum(steps[:held])
-        bound = float(upper_bound(lost, n, level)) if held else None
+        n = int(total[k, 2])
+        bound = float(upper_bound(lost[k], n, level)) if held[k] else None
         name = names[k] if k < pooled else None
         for r, rule in enumerate(RULES):
-            certificates.append((name, k == pooled, rule, mine[r] if mine[r] < NEVER else None, n, lost, bound))
+            certificates.append((name, k == pooled, rule, mine[r] if mine[r] < NEVER else None, n, lost[k], bound))
     return Cutoffs(names, cutoffs, certificates)
 
 

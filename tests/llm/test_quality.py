@@ -189,3 +189,64 @@ def test_false_rejection_is_held():
         held = Q.certified(list(steps), 1500, 0.02, 0.05)
         wrong += rates[:held].sum() > 0.02
     assert wrong / 2000 < 0.06
+
+
+def plain_path(good, bad, levels=Q.LEVELS):
+    """Moves (rule, cutoff), each making the rule set stricter, from rows of values of good and bad texts.
+
+    Candidates are quantiles of the good texts' values, from the largest down to the 90th percentile. A
+    move is taken as long as it rejects a larger share of the bad texts than of the good ones.
+    """
+    if not len(good) or not len(bad):
+        return []
+    shares = np.linspace(0, 1, levels) ** 2 * 0.1
+    grid = [np.unique(np.quantile(good[:, r], 1 - shares, method="higher"))[::-1] for r in range(good.shape[1])]
+    have = [Q.NEVER] * good.shape[1]
+    good, bad, n_good, n_bad = good.copy(), bad.copy(), len(good), len(bad)
+    moves = []
+    while True:
+        best = None
+        for r, cutoffs in enumerate(grid):
+            g, b = np.sort(good[:, r]), np.sort(bad[:, r])
+            for cutoff in cutoffs:
+                if cutoff >= have[r]:
+                    continue
+                lost = (len(g) - np.searchsorted(g, cutoff, "right")) / n_good
+                caught = (len(b) - np.searchsorted(b, cutoff, "right")) / n_bad
+                if caught > lost:
+                    worth = (caught / (lost + 0.5 / n_good), -r, cutoff)
+                    if best is None or worth > best[0]:
+                        best = (worth, r, int(cutoff))
+        if best is None:
+            return moves
+        _, r, cutoff = best
+        have[r] = cutoff
+        moves.append((r, cutoff))
+        good, bad = good[good[:, r] <= cutoff], bad[bad[:, r] <= cutoff]
+
+
+def test_all_labelled_texts_count(spark):
+    """Cutoffs are those of a plain search over every proposing text."""
+    docs, labels = corpus(3000, 1)
+    documents, known = tables(spark, docs, labels)
+    rows = Q.materialise(Q.measured(documents), "rows")
+    assert "max_fit" not in Q.fit.__code__.co_varnames
+    cutoffs = Q.fit(rows, known)
+    texts = Q.labelled_texts(rows, known, "doc_id", "quality").collect()
+    paths = {}
+    for name in cutoffs.names:
+        mine = [t for t in texts if t["stratum"] == name]
+        value = lambda some: np.array([[t[r] for r in Q.RULES] for t in some], np.int64).reshape(-1, len(Q.RULES))
+        paths[name] = (*[value([t for t in mine if t["fit"] and t["good"] == g]) for g in (1, 0)], value([t for t in mine if not t["fit"] and t["good"]]))
+    moves = {name: plain_path(good, bad) for name, (good, bad, _) in paths.items()}
+    level = Q.DELTA / sum(bool(m) for m in moves.values())
+    for name, have in zip(cutoffs.names, cutoffs.cutoffs):
+        left, steps = paths[name][2], []
+        for r, cutoff in moves[name]:
+            steps.append(int((left[:, r] > cutoff).sum()))
+            left = left[left[:, r] <= cutoff]
+        want = [Q.NEVER] * len(Q.RULES)
+        for r, cutoff in moves[name][: Q.certified(steps, len(paths[name][2]), Q.ALPHA, level)]:
+            want[r] = cutoff
+        assert have == want
+    assert any(c < Q.NEVER for have in cutoffs.cutoffs for c in have)
