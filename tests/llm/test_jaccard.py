@@ -170,6 +170,21 @@ def test_components(spark, shape):
         assert got.get(node, node) == min(seen)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 90, 8])
+def test_components_take_few_steps(spark, size, monkeypatch):
+    rng = random.Random(5)
+    chains = [(1000 * k + j, 1000 * k + j + 1) for k in range(4) for j in range(60)]
+    edges = chains + [(9000, 9000 + k) for k in range(1, 60)]
+    rng.shuffle(edges)
+    steps, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: steps.append(name) or write(df, name))
+    found = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5), size)
+    got = sorted((r["node"], r["root"]) for r in found.collect())
+    assert got == sorted((b, b // 1000 * 1000) for _, b in edges)
+    if size == 1 << 20:  # one step of the tasks, one that joins what they leave
+        assert steps == ["edges", "edges"]
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_all_links_against_brute_force(spark, block):
     rows = families(3, 10)
