@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import char_array, strip
 from parley.operators.lookup import lookup_join
-from parley.operators.scan import Run, running
+from parley.operators.scan import Run, dealt, running
 
 NO_SPACES = ("ja", "zh")
 CELL = 64
@@ -151,8 +151,12 @@ def merge_equal_spans(df, by, lang="ja", idx="idx"):
     )
 
 
-def collapse_runs(frames, by, time="time_index", token="token_index"):
-    """Segments of equal token on a frame path: first frame, last frame + 1, mean score."""
+def collapse_runs(frames, by, time="time_index", token="token_index", rows=None):
+    """Segments of equal token on a frame path: first frame, last frame + 1, mean score.
+
+    ``rows`` is the number of frames, for frames that are not dealt by ``by`` yet.
+    """
+    frames = dealt(frames, by, rows)
     before = F.lag(token).over(W.partitionBy(*by).orderBy(time))
     changed = (before.isNull() | (before != F.col(token))).cast("long")
     out = frames.withColumn("__changed", changed)

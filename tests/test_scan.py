@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import load
+from parley.operators import scan
 from parley.operators.scan import Run, neighbours, positions, running
 from tests import model as P
 
@@ -114,3 +115,30 @@ def test_rows_of_one_time_and_null_keys(spark):
     df = spark.createDataFrame(rows, "k string, x long, i long")
     got = {(r.k, r.i): r.pos for r in positions(df, ["k"], ["x", "i"], hot_rows=50, seg_rows=20).collect()}
     assert got == {(k, i): i // 2 for k, _, i in rows}
+
+
+def _rows_of_tasks(df):
+    return [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+def test_known_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """What is written is tiny, so nothing but the number of rows says that one task is not enough."""
+    monkeypatch.setattr(scan, "TASK_ROWS", 500)
+    df = spark.range(4000).select((F.col("id") % 400).alias("k"), F.col("id").alias("x"))
+    once = {"n": scan.Run("sum", F.lit(1).cast("long"))}
+    for out in (
+        scan.running(df, ["k"], ["x"], once, split=False, rows=4000),
+        scan.running(df, ["k"], ["x"], once),
+        scan.running(df, ["k"], ["x"], once, hot_rows=9, seg_rows=3),
+    ):
+        assert max(_rows_of_tasks(out)) < 1500
+        assert out.agg(F.sum("n")).first()[0] == 400 * 55
+    few = scan.running(df.limit(300), ["k"], ["x"], once, split=False, rows=300)
+    assert few.agg(F.max("n")).first()[0] == 1
+
+
+def test_key_counts(spark):
+    rows = [(None,)] * 5 + [("a",)] * 4 + [("b",)] * 4 + [("c",)]
+    df = spark.createDataFrame(rows, "k string")
+    assert scan.key_counts(df, ["k"], 3) == (14, [(None, 5), ("a", 4), ("b", 4)])
+    assert scan.key_counts(df.limit(0), ["k"], 3) == (0, [])
