@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -77,6 +78,14 @@ def test_collapse_phrases(spark):
     assert column(spark, ["a、a、b"], lambda c: P.collapse_phrases(c, 2)) == ["a、b"]
 
 
+def test_collapse_phrases_of_a_long_text(spark):
+    """Work grows with the number of phrases, not with a power of it."""
+    began = time.time()
+    text = "、".join(f"語{k // 3}" for k in range(6000))
+    assert column(spark, [text], P.collapse_phrases) == ["、".join(f"語{k}" for k in range(2000))]
+    assert time.time() - began < 20
+
+
 def test_clean_prediction_leaves_tags(spark):
     texts = ["<ts><ts><ts><ts>", "<speaker_A>はいはいはい</speaker_A><te>", "ab", None, "x、x、x、y", "<speaker_A>x、x、x</speaker_A><ts>、y"]
     want = ["<ts><ts><ts><ts>", "<speaker_A>はい</speaker_A><te>", "ab", None, "x、y", "<speaker_A>x</speaker_A><ts>、y"]
