@@ -339,3 +339,100 @@ def test_idle_conversations_are_settled(spark, tmp_path, rows):
     got = run(spark, tmp_path, "i", P.UTT_SCHEMA, [rows, end], lambda s: live.tagged_utterances(s, idle="1 hour"))
     near = neighbours(spark.createDataFrame(rows, P.UTT_SCHEMA)).withColumn("kind", D.boundary())
     assert {(r.conv_id, r.utt_idx): r.kind for r in got} == {(r.conv_id, r.utt_idx): r.kind for r in near.collect()}
+
+
+class Counted(Store):
+    """A store that counts calls and keeps bytes as they come back from Spark."""
+
+    def __getattribute__(self, name):
+        if name in ("get", "update", "clear", "getValue", "updateValue", "removeKey"):
+            self.cost["calls"] += 1
+        return super().__getattribute__(name)
+
+
+class CountedHandle(Handle):
+    def __init__(self):
+        super().__init__()
+        self.cost["calls"] = 0
+
+    def _store(self, kind):
+        self.stores.append(Counted(self.cost, kind))
+        return self.stores[-1]
+
+
+def drive_together(processor, batches, delay):
+    """Batches of rows with a ``conv_id`` through one state key; (output rows, the handle)."""
+    handle, now, out = CountedHandle(), 0, []
+    together = S.Together(processor, ["conv_id"])
+    together.init(handle)
+    for batch in [*batches, [], []]:
+        clock = Clock(now)
+        if batch:
+            assert not list(together.handleInputRows((7,), iter([pd.DataFrame(batch)]), clock))
+        for at in sorted(t for t in handle.timers if t <= now):
+            for frame in together.handleExpiredTimer((7,), clock, None):
+                out += frame.to_dict("records")
+            handle.timers.discard(at)
+        now = max(now, max((r["start_ms"] for r in batch), default=FAR) + 1 - delay)
+    return out, handle
+
+
+@pytest.mark.parametrize("kind", ["utterances", "neighbours", "chunks"])
+def test_conversations_of_a_state_key_share_its_calls(kind):
+    """As many calls to the state for 200 conversations as for few, and each has the rows that it has alone."""
+    names = {
+        "utterances": ["conv_id", "speaker", "start_ms", "end_ms", "n_tokens", "text"],
+        "neighbours": ["conv_id", *[c.split()[0] for c in S.Neighbours.LINE.split(", ")]],
+        "chunks": ["conv_id", "k", "items"],
+    }[kind]
+
+    def make():
+        if kind == "utterances":
+            return S.Utterances(names, 1000)
+        return S.Neighbours(names, 1500, "non_backchannel", 10**8) if kind == "neighbours" else S.Chunks(names, 2000, 10**8)
+
+    def rows_of(conv):
+        for i in range(40):
+            at = 700 * i + conv % 13 * 100 + (i // 9) * 3000
+            yield dict(
+                conv_id=conv, utt_idx=i, tok_idx=0, seq=i, kind="asr", speaker="AB"[(i * 7 + conv) % 5 // 3], start_ms=at, end_ms=at + 600,
+                n_tokens=2, text=f"{conv}.{i}", token=f"{conv}.{i}", bc_label="continuer" if (i + conv) % 4 == 0 else None,
+            )
+
+    def cut(rows):
+        rows = sorted(rows, key=lambda r: r["start_ms"])
+        return [[r for r in rows if lo <= r["start_ms"] < lo + 9000] for lo in range(0, 45_000, 9000)]
+
+    def plain(rows):
+        return sorted(repr([S.plain(v) if not isinstance(v, list) else v for v in r.values()]) for r in rows)
+
+    calls = {}
+    for n in (4, 200):
+        out, handle = drive_together(make(), cut([r for c in range(n) for r in rows_of(c)]), 5000)
+        calls[n] = handle.cost["calls"]
+        assert handle.kept() == 0
+    alone = []
+    for c in range(200):
+        mine, one, now = cut(rows_of(c)), Handle(), 0
+        processor = make()
+        processor.init(one)
+        whole = cut([r for k in range(200) for r in rows_of(k)])
+        for batch, all_rows in [*zip(mine, whole), ([], []), ([], [])]:
+            clock = Clock(now)
+            if batch:
+                processor.handleInputRows((c,), iter([pd.DataFrame(batch)]), clock)
+            for at in sorted(t for t in one.timers if t <= now):
+                for frame in processor.handleExpiredTimer((c,), clock, None):
+                    alone += frame.to_dict("records")
+                one.timers.discard(at)
+            now = max(now, max((r["start_ms"] for r in all_rows), default=FAR) + 1 - 5000)
+    assert plain(out) == plain(alone) and len(out) > 200
+    assert calls[200] <= calls[4] + 8
+
+
+def test_a_long_list_is_added_to_in_pieces():
+    """Long utterances lie in pieces by themselves; what is written a row does not grow, and nothing is left."""
+    toks = [dict(conv_id="x", utt_idx=0, tok_idx=i, speaker="A", start_ms=100 * i, end_ms=100 * i + 90, text=str(i % 10)) for i in range(20_000)]
+    out, handle = drive_together(S.Utterances(["conv_id", "speaker", "start_ms", "end_ms", "n_tokens", "text"], 1000), [toks[i : i + 500] for i in range(0, len(toks), 500)], 5000)
+    assert [(r["n_tokens"], r["text"]) for r in out] == [(20_000, "0123456789" * 2000)]
+    assert handle.kept() == 0
