@@ -6,7 +6,7 @@ of its own, which are added to and not rewritten: a new row costs the same wheth
 hundred rows or a million. A key has one timer, at the next time at which something can happen.
 
 ``Together`` runs such a processor for many conversations under one state key, so that a trigger costs a few
-calls to the state store for all of them and not some twenty for each.
+calls to the state store for all of them and not twenty or more for each.
 
 Needs a state store with column families, see ``live.prepared``.
 """

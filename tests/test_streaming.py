@@ -436,3 +436,12 @@ def test_a_long_list_is_added_to_in_pieces():
     out, handle = drive_together(S.Utterances(["conv_id", "speaker", "start_ms", "end_ms", "n_tokens", "text"], 1000), [toks[i : i + 500] for i in range(0, len(toks), 500)], 5000)
     assert [(r["n_tokens"], r["text"]) for r in out] == [(20_000, "0123456789" * 2000)]
     assert handle.kept() == 0
+
+
+def test_conversation_numbers_keep_their_value(spark, tmp_path):
+    """Numbers past 2^53 beside a null one."""
+    mk = lambda c, at: dict(conv_id=c, utt_idx=0, tok_idx=0, speaker="A", start_ms=at, end_ms=at + 50, text="x")
+    ids = [2**60 + 1, 2**60, None, -3]
+    end = [mk(-1, FAR)]
+    got = run(spark, tmp_path, "k", P.TOK_SCHEMA, [[mk(c, 100) for c in ids], end], live.utterances)
+    assert sorted(str(r.conv_id) for r in got if r.conv_id != -1) == sorted(map(str, ids))
