@@ -10,6 +10,9 @@ the window before, so each token is scored once, with SPAN - FRESH to SPAN input
 windows of a batch of texts go through one masked attention.
 """
 
+import functools
+import math
+
 import numpy as np
 
 SPAN = 24
@@ -20,7 +23,7 @@ CLUSTERS = 31
 SIZE = 24
 NAMED = CLUSTERS * SIZE
 TAIL = NAMED  # input number of the rare ids
-STEP = 1024  # windows scored in one go
+STEP = 256  # windows scored in one go
 BATCH = 128  # windows of a training step; the arrays of larger ones cost page faults
 SAFE = 60.0  # exponents below this need no maximum taken off
 F32 = np.float32
@@ -83,6 +86,7 @@ def unpack(flat, like):
     return out
 
 
+@functools.cache
 def _mask(rows, cols):
     """Distance of each key to each query (rows are the last inputs), and where the key is later."""
     distance = (np.arange(cols - rows, cols)[:, None] - np.arange(cols)[None, :]).astype(np.int64)
@@ -99,11 +103,25 @@ def _log_sums(s, bound):
     return np.log(s @ np.ones(s.shape[1], F32)) + top
 
 
+class Room:
+    """Arrays that are used again by each step; fresh ones of this size would cost page faults."""
+
+    def __init__(self):
+        self.held = {}
+
+    def __call__(self, name, shape, kind):
+        """An array with whatever was in it before."""
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size or self.held[name].dtype != kind:
+            self.held[name] = np.empty(size, kind)
+        return self.held[name][:size].reshape(shape)
+
+
 class Scorer:
     """Natural log probabilities of texts' ids."""
 
     def __init__(self, weights, vocabulary):
-        self.w, self.v = weights, vocabulary
+        self.w, self.v, self.room = weights, vocabulary, Room()
         scale = F32(DIM**-0.5)
         self.q, self.k = weights["emb"] @ weights["wq"] * scale, weights["emb"] @ weights["wk"]
         # The column of ones sums the attention weights up.
@@ -118,15 +136,19 @@ class Scorer:
 
     def __call__(self, texts):
         """Sum over each text's ids, the end id appended."""
-        v = self.v
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        return self.sums(np.concatenate([np.zeros(0, np.int32), *(part for t in texts for part in (t, [self.v.end_id]))]), size)
+
+    def sums(self, flat, size):
+        """The same for texts that stand one after another, each of ``size`` ids with its end id."""
+        v = self.v
+        flat = flat.astype(np.int32)
         blocks = -(-size // FRESH)
         first = np.cumsum(blocks) - blocks
         total = int(blocks.sum())
         if not total:
             return np.zeros(0)
         # Inputs are the targets moved by one place; a text's first input is the end id.
-        flat = np.concatenate([part for t in texts for part in (t, [v.end_id])]).astype(np.int32)
         begin = np.cumsum(size) - size
         at = np.repeat(first * FRESH - begin, size) + np.arange(len(flat))
         target = np.full(total * FRESH, -1, np.int32)
@@ -149,7 +171,11 @@ class Scorer:
     def _windows(self, window, opening, target):
         w = self.w
         own = window[:, SPAN - FRESH :]
-        s = np.matmul(self.q[own], self.k[window].transpose(0, 2, 1))
+        # Products of many small matrices are several times faster with a copy than with a transposed second one.
+        n = len(window)
+        k = self.room("k", (n, DIM, SPAN), F32)
+        np.copyto(k, self.k[window].transpose(0, 2, 1))
+        s = np.matmul(self.q[own], k, out=self.room("s", (n, FRESH, SPAN), F32))
         s += self.bias
         s[opening, :, : SPAN - FRESH] = -1e9
         if self.attention_bound > SAFE:
@@ -175,22 +201,23 @@ class Scorer:
         value = top[np.arange(len(want)), cluster] + self.v.log_share[ids[order]]
         value -= _log_sums(top, longest * self.top_norm + self.top_bias)
         edge = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
-        bound = longest * self.in_norm + self.in_bias
+        named = edge[CLUSTERS]
+        inside = self.room("inside", (named, SIZE), F32)
         for c in range(CLUSTERS):
             lo, hi = edge[c], edge[c + 1]
             if lo < hi:
-                inside = h[lo:hi] @ w["in"][c]
-                inside += w["in0"][c]
-                value[lo:hi] += inside[np.arange(hi - lo), number[lo:hi] - c * SIZE]
-                value[lo:hi] -= _log_sums(inside, bound)
+                np.matmul(h[lo:hi], w["in"][c], out=inside[lo:hi])
+                inside[lo:hi] += w["in0"][c]
+        value[:named] += inside.ravel()[np.arange(named) * SIZE + number[:named] % SIZE]
+        value[:named] -= _log_sums(inside, longest * self.in_norm + self.in_bias)
         out = np.zeros(len(target), F32)
         out[want[order]] = value
         return out
 
 
-def _shares(s, bound):
-    """Softmax along the last axis, in place, of values up to ``bound`` in size; the sums are products with ones."""
-    if bound > SAFE:
+def _shares(s):
+    """Softmax along the last axis, in place; the sums are products with ones."""
+    if s.size and (s.max() > SAFE or s.min() < -SAFE):
         s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
     s *= (1 / (s @ np.ones(s.shape[-1], s.dtype)))[..., None]
@@ -207,105 +234,139 @@ def _sums_by(number, rows, size):
     return out
 
 
-def gradients(w, x, y):
+def gradients(w, x, y, room=None):
     """Mean loss and gradients for windows: inputs x and targets y of shape (windows, SPAN).
 
-    Behind the attention the tokens stand in the order of their targets' clusters, so that each
-    cluster's share of every array is a slice.
+    Inputs have their queries, keys and values from one table. Behind the attention the tokens stand in
+    the order of their targets' clusters, so that each cluster's share of every array is a slice.
     """
+    room = room or Room()
     n, span = x.shape
-    distance, later = _mask(span, span)
+    many = n * span
     kind = w["emb"].dtype
     scale = kind.type(DIM**-0.5)
-    number = y.ravel()
-    cluster = np.minimum(number // SIZE, CLUSTERS)
-    order = np.argsort(cluster.astype(np.int8), kind="stable")
+    new = lambda name, *shape: room(name, shape, kind)
+    inputs, number = x.ravel(), y.ravel()
+    cluster = np.minimum(number // SIZE, CLUSTERS).astype(np.int8)
+    order = np.argsort(cluster, kind="stable")
     number, cluster = number[order], cluster[order]
     edge = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
-    rows = np.arange(len(number))
-    flat = w["emb"][x.ravel()]
+    rows, named = np.arange(many), edge[CLUSTERS]
+
+    # Columns: input vector, query, key, value, and a one that adds the attention weights up.
     project = np.concatenate((w["wq"] * scale, w["wk"], w["wv"]), 1)
-    qkv = (flat @ project).reshape(n, span, 3 * DIM)
-    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += w["near"][distance]
+    table = np.concatenate((w["emb"], w["emb"] @ project, np.ones((len(w["emb"]), 1), kind)), 1)
+    seen = np.take(table, inputs, axis=0, out=new("seen", many, 4 * DIM + 1), mode="clip")
+    both = seen.reshape(n, span, -1)
+    q, k, v1 = both[..., DIM : 2 * DIM], both[..., 2 * DIM : 3 * DIM], both[..., 3 * DIM :]
+    # Copies, as in the scorer.
+    turned = new("turned", n, 2 * DIM + 1, span)
+    np.copyto(turned, both[..., 2 * DIM :].transpose(0, 2, 1))
+    p = np.matmul(q, turned[:, :DIM], out=new("p", n, span, span))
     # Later inputs get no share; each row keeps its own input, so no sum is 0.
-    if s.max() > SAFE or s.min() < -SAFE:
-        s -= np.where(later, kind.type(-np.inf), s).max(-1, keepdims=True)
-        np.minimum(s, 0, out=s)
-    p = np.exp(s, out=s)
-    p *= ~later
-    p *= (1 / (p @ np.ones(span, kind)))[..., None]
-    z = (flat + np.matmul(p, v).reshape(-1, DIM))[order]
-    a = z @ w["w1"]
-    a += w["b1"]
-    r = np.maximum(a, 0)
+    distance, later = _mask(span, span)
+    norm = lambda a: np.sqrt(np.einsum("ij,ij->i", a, a).max())
+    wide = norm(table[:, DIM : 2 * DIM]) * norm(table[:, 2 * DIM : 3 * DIM]) + np.abs(w["near"]).max()
+    p += np.where(later, kind.type(-1e9), w["near"][distance])
+    if not wide < SAFE:
+        p -= p.max(-1, keepdims=True)
+    np.exp(p, out=p)
+    mixed = np.matmul(p, v1, out=new("mixed", n, span, DIM + 1))
+    part = 1 / mixed[..., DIM:]
+    mixed = np.multiply(mixed[..., :DIM], part, out=mixed[..., :DIM])
+
     # A column of ones takes the biases along in the products.
-    h = np.ones((len(rows), DIM + 1), kind)
+    z = new("z", many, DIM + 1)
+    z[:, DIM] = 1
+    np.add(both[..., :DIM], mixed, out=z[:, :DIM].reshape(n, span, DIM))
+    z = np.take(z, order, axis=0, out=new("z in order", many, DIM + 1), mode="clip")
+    r = np.matmul(z, np.concatenate((w["w1"], w["b1"][None])), out=new("r", many, HIDDEN))
+    np.maximum(r, 0, out=r)
+    h = new("h", many, DIM + 1)
+    h[:, DIM] = 1
     np.matmul(r, w["w2"], out=h[:, :DIM])
-    h[:, :DIM] += z
-    top, inside = np.concatenate((w["top"], w["top0"][None])), np.concatenate((w["in"], w["in0"][:, None]), 1)
-    longest = np.sqrt(np.einsum("ij,ij->i", h, h).max())
-    bound = longest * np.linalg.norm(inside, axis=1).max()
-    g = {name: np.zeros_like(value) for name, value in w.items()}
-    t = _shares(h @ top, longest * np.linalg.norm(top, axis=0).max())
-    hit, within = t[rows, cluster], np.ones(len(rows), kind)
-    t[rows, cluster] -= 1
-    both = h.T @ t
-    g["top"], g["top0"] = both[:-1], both[-1]
-    dh = t @ w["top"].T
-    for c in range(CLUSTERS):
-        lo, hi = edge[c], edge[c + 1]
-        if lo == hi:
-            continue
-        t = _shares(h[lo:hi] @ inside[c], bound)
-        at = rows[: hi - lo] * SIZE + (number[lo:hi] - c * SIZE)
-        within[lo:hi] = t.ravel()[at]
-        t.ravel()[at] -= 1
-        both = h[lo:hi].T @ t
-        g["in"][c], g["in0"][c] = both[:-1], both[-1]
-        dh[lo:hi] += t @ w["in"][c].T
-    loss = -np.log(hit * within + kind.type(1e-30)).sum()
+    h[:, :DIM] += z[:, :DIM]
+
+    g = {}
+    t = _shares(np.matmul(h, np.concatenate((w["top"], w["top0"][None])), out=new("t", many, CLUSTERS + 1)))
+    at = rows * (CLUSTERS + 1) + cluster
+    loss = -np.log(t.ravel()[at] + kind.type(1e-30)).sum()
+    t.ravel()[at] -= 1
+    add = h.T @ t
+    g["top"], g["top0"] = add[:-1], add[-1]
+    dh = np.matmul(t, w["top"].T, out=new("dh", many, DIM))
+    inside = np.concatenate((w["in"], w["in0"][:, None]), 1)
+    back = np.ascontiguousarray(w["in"].transpose(0, 2, 1))
+    parts = [(c, edge[c], edge[c + 1]) for c in range(CLUSTERS) if edge[c] < edge[c + 1]]
+    t = new("inside", named, SIZE)
+    for c, lo, hi in parts:
+        np.matmul(h[lo:hi], inside[c], out=t[lo:hi])
+    _shares(t)
+    at = rows[:named] * SIZE + number[:named] % SIZE
+    loss -= np.log(t.ravel()[at] + kind.type(1e-30)).sum()
+    t.ravel()[at] -= 1
+    add, more = np.zeros_like(inside), new("more", many, DIM)
+    for c, lo, hi in parts:
+        np.matmul(h[lo:hi].T, t[lo:hi], out=add[c])
+        np.matmul(t[lo:hi], back[c], out=more[lo:hi])
+    g["in"], g["in0"] = add[:, :-1], add[:, -1]
+    dh[:named] += more[:named]
+
     g["w2"] = r.T @ dh
-    dr = dh @ w["w2"].T
-    dr *= a > 0
-    g["w1"], g["b1"] = z.T @ dr, dr.sum(0)
-    dh += dr @ w["w1"].T
-    de = np.empty_like(flat)
+    dr = np.matmul(dh, w["w2"].T, out=new("dr", many, HIDDEN))
+    dr *= np.greater(r, 0, out=room("active", r.shape, bool))
+    add = z.T @ dr
+    g["w1"], g["b1"] = add[:-1], add[-1]
+    dh += np.matmul(dr, w["w1"].T, out=more)
+
+    de, dqkv = new("de", many, DIM), new("dqkv", n, span, 3 * DIM)
     de[order] = dh
-    dz = de.reshape(n, span, DIM)
-    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    dz = new("dz", n, span, DIM + 1)
+    np.multiply(de.reshape(n, span, DIM), part, out=dz[..., :DIM])
+    np.negative(np.einsum("nij,nij->ni", dz[..., :DIM], mixed), out=dz[..., DIM])
+    ds = np.matmul(dz, turned[:, DIM:], out=new("ds", n, span, span))
     ds *= p
-    ds -= p * (ds @ np.ones(span, kind))[..., None]
     g["near"] = np.bincount(distance.ravel(), np.where(later, 0, ds.sum(0)).ravel(), SPAN).astype(kind)
-    dqkv = np.empty_like(qkv)
-    dqkv[..., :DIM] = np.matmul(ds, k)
-    dqkv[..., DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), q)
-    dqkv[..., 2 * DIM :] = np.matmul(p.transpose(0, 2, 1), dz)
-    dqkv = dqkv.reshape(-1, 3 * DIM)
-    both = flat.T @ dqkv
-    g["wq"], g["wk"], g["wv"] = both[:, :DIM] * scale, both[:, DIM : 2 * DIM], both[:, 2 * DIM :]
-    de += dqkv @ project.T
-    g["emb"] = _sums_by(x.ravel(), de, len(w["emb"]))
-    many = kind.type(len(number))
-    return loss / many, {name: value / many for name, value in g.items()}
+    np.matmul(ds, k, out=dqkv[..., :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., DIM : 2 * DIM])
+    np.matmul(p.transpose(0, 2, 1), dz[..., :DIM], out=dqkv[..., 2 * DIM :])
+    dqkv = dqkv.reshape(many, 3 * DIM)
+    add = seen[:, :DIM].T @ dqkv
+    g["wq"], g["wk"], g["wv"] = add[:, :DIM] * scale, add[:, DIM : 2 * DIM], add[:, 2 * DIM :]
+    de += np.matmul(dqkv, project.T, out=more)
+    g["emb"] = _sums_by(inputs, de, len(table))
+    return loss / many, {name: g[name] / kind.type(many) for name in w}
 
 
 class Adam:
+    """``w`` are views of one flat vector, in the order of ``pack``."""
+
     def __init__(self, weights, rate):
-        self.w, self.rate, self.t = weights, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.s = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.rate, self.t, self.room = rate, 0, Room()
+        self.flat = pack(weights).astype(F32)
+        self.w, at = {}, 0
+        for k in sorted(weights):
+            self.w[k] = self.flat[at : at + weights[k].size].reshape(weights[k].shape)
+            at += weights[k].size
+        self.m, self.s, self.root = (np.zeros_like(self.flat) for _ in range(3))
 
     def step(self, x, y):
-        loss, g = gradients(self.w, x, y)
+        loss, g = gradients(self.w, x, y, self.room)
+        d = np.concatenate([g[k].ravel() for k in self.w])
         self.t += 1
         warm = min(1.0, self.t / 10)
-        for k, d in g.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * d
-            self.s[k] = 0.98 * self.s[k] + 0.02 * d * d
-            m, s = self.m[k] / F32(1 - 0.9**self.t), self.s[k] / F32(1 - 0.98**self.t)
-            self.w[k] = (self.w[k] - F32(self.rate * warm) * m / (np.sqrt(s) + F32(1e-6))).astype(F32)
+        self.m *= F32(0.9)
+        self.m += F32(0.1) * d
+        self.s *= F32(0.98)
+        d *= d
+        d *= F32(0.02)
+        self.s += d
+        np.sqrt(self.s, out=self.root)
+        self.root *= F32((1 - 0.98**self.t) ** -0.5)
+        self.root += F32(1e-6)
+        np.divide(self.m, self.root, out=self.root)
+        self.root *= F32(self.rate * warm / (1 - 0.9**self.t))
+        self.flat -= self.root
         return loss
 
 

@@ -1,14 +1,15 @@
 """Language-model scores of whole texts, and a smoothed unigram base.
 
-``gather`` reads the corpus once. Every task counts the words and the ids of its training texts and cuts
-all their ids into windows. Word counts are merged by hash range; the attention model (``attention.py``)
-starts from the id counts and is trained on all windows, data-parallel: each task makes one pass over
-its own from the common weights, and the weights are averaged. A round on every ``WARM``-th window, of all
-texts alike, goes before, so that the tasks' models start out close enough to be averaged.
-
-``score`` reads the corpus a second time. The most frequent words (a fixed number) and the model go to
-the tasks; a text's other words are dealt by hash range to where their counts are, and only sums come
-back. Words are 64-bit hashes throughout.
+``gather`` reads the corpus once, some texts at a time. Every task counts the words and the ids of its
+training texts, and keeps the ids and words of all texts, as numbers of two bytes, for what follows. Word
+counts are merged by hash range; the attention model (``attention.py``) starts from the id counts and is
+trained on windows of all training ids, data-parallel: each task makes one pass over its own from the
+common weights, and the weights are averaged. A round on every ``WARM``-th window, of all texts alike, goes
+before, so that the tasks' models start out close enough to be averaged.
+
+``score`` reads what was kept. The most frequent words (a fixed number) and the model go to the tasks; a
+text's other words are dealt by hash range to where their counts are, and only sums come back. Words
+are 64-bit hashes throughout.
 """
 
 import zlib
@@ -22,13 +23,13 @@ from pyspark.sql import types as T
 
 from parley.llm import attention, wordbpe
 from parley.llm.common import materialise, texts_of, tree_merge
-from parley.llm.shingles import in_chunks, word_hashes
+from parley.llm.shingles import word_hashes
 
 END_ID = 49407
 END_WORD = 0x5D1E_57A9_0C3B_F7E1  # the hash that stands for the end of a text
 HEAVY = 1 << 17
 IDS = -1  # stands in place of a hash range: a task's id counts
-FLUSH_IDS = 1 << 18
+CHUNK = 1 << 19  # bytes of text that become one row
 FLUSH_WORDS = 6_000_000
 RATES = (0.04, 0.02)
 WARM = 8  # the rounds before the last take every eighth window
@@ -57,80 +58,113 @@ def range_of(h, ranges):
     return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def text_chunks(column, size=CHUNK):
+    """(first row, texts) of consecutive texts of about ``size`` bytes; a longer text stands alone with those before."""
+    first, some, total = 0, [], 0
+    for k in range(len(column)):
+        some += texts_of(column.slice(k, 1))
+        total += len(some[-1])
+        if total >= size or k == len(column) - 1:
+            yield first, some
+            first, some, total = k + 1, [], 0
+
+
 def gather(df, vocab, ranges, key="key", text="text", fold=(10, 0)):
-    """Rows of (range, task, data): word counts by range, id counts (range ``IDS``), windows of ids (range null).
+    """Word counts by range, id counts (range ``IDS``), and rows of texts (range null).
 
     A task's training texts are one stream of ids, an end id before the first and after each. Every id
     but the first is a window's target; the last window reaches back over ids of the one before, or is
-    filled up with end ids in front, so the last ``SPAN`` ids may be targets twice.
+    filled up with end ids in front, so the last ``SPAN`` ids may be targets twice. ``data`` of a row of texts
+    is the part of the stream that has its windows: it starts with ids of the row before, and what is
+    left over at its end starts the next row's.
+
+    ``keys`` are the row's texts, the ``known`` training ones first. Their ids (``n_ids`` of each text, its end
+    id last) are those of ``data`` without the first ``skip``, and ``rest``; ``words`` are numbers, ``n_words`` of each
+    text, of the hashes in ``distinct``. The task's last window has no texts.
     """
     span = attention.SPAN
+    key_type = df.schema[key].dataType
+    kinds = {"range": T.IntegerType(), "task": T.IntegerType(), "data": T.BinaryType(), "keys": T.ArrayType(key_type)}
+    kinds |= dict.fromkeys(("known", "skip"), T.IntegerType())
+    kinds |= dict.fromkeys(("rest", "n_ids", "words", "n_words", "distinct"), T.BinaryType())
+    schema = T.StructType([T.StructField(*x) for x in kinds.items()])
 
     def run(batches):
         bpe, task = wordbpe.load(vocab), TaskContext.get().partitionId()
         keys, counts, waiting = [], [], 0
-        stream, ready, back = [np.array([END_ID])], 0, np.zeros(0, np.int64)
+        # What is left over for the next row, and the last ids of all.
+        left = tail = np.array([END_ID], "<u2")
         seen = np.zeros(len(bpe.width), np.int64)
+        shape = None
+
+        def rows(**columns):
+            n = len(next(iter(columns.values())))
+            columns["task"] = [task] * n
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in shape], schema=shape)
 
-        def words():
+        def counted():
             h, c = summed(np.concatenate(keys), np.concatenate(counts))
             part = range_of(h, ranges)
             edge = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
             some = [r for r in range(ranges) if edge[r] < edge[r + 1]]
             data = [zlib.compress(h[edge[r] : edge[r + 1]].tobytes() + c[edge[r] : edge[r + 1]].astype("<u4").tobytes(), 1) for r in some]
-            return rows(some, data)
-
-        def rows(where, data):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), pa.array([task] * len(data), pa.int32()), pa.array(data, pa.binary())],
-                names=["range", "task", "data"],
-            )
-
-        def windows(ids):
-            n = (len(ids) - 1) // span
-            at = np.arange(n)[:, None] * span + np.arange(span + 1)[None, :]
-            return rows([None], [ids[at].astype("<u2").tobytes()])
-
-        def last(ids):
-            before = np.full(max(span + 1 - len(ids), 0), END_ID)
-            return windows(np.concatenate((before, ids))[-span - 1 :])
+            return rows(range=some, data=data)
 
         for batch in batches:
-            held = [zlib.crc32(str(k).encode() if k is not None else b"") % fold[0] == fold[1] for k in batch.column(0).to_pylist()]
-            train = [lowered(t) for t, h in zip(texts_of(batch.column(1)), held) if not h]
-            for some in in_chunks(train):
+            if shape is None:
+                types = {"range": pa.int32(), "task": pa.int32(), "keys": pa.list_(batch.schema.field(0).type), "known": pa.int32(), "skip": pa.int32()}
+                shape = pa.schema([(name, types.get(name, pa.binary())) for name in schema.names])
+            for first, some in text_chunks(batch.column(1)):
+                names = batch.column(0).slice(first, len(some))
+                held = [zlib.crc32(str(k).encode() if k is not None else b"") % fold[0] == fold[1] for k in names.to_pylist()]
+                order = np.argsort(held, kind="stable")
+                known = len(held) - sum(held)
+                some = [lowered(some[k]) for k in order]
+
                 h, edge = word_hashes(some)
-                h = np.append(h, np.full(len(some), END_WORD, np.uint64))
-                u, c = summed(h, np.ones(len(h), np.int64))
-                keys.append(u)
-                counts.append(c)
-                waiting += len(u)
-                ids = np.concatenate([x for t in bpe.encode(some) for x in (t, [END_ID])]).astype(np.int64)
-                seen += np.bincount(ids, minlength=len(seen))
-                stream.append(ids)
-                ready += len(ids)
-                if ready > FLUSH_IDS:
-                    ids = np.concatenate(stream)
-                    yield windows(ids)
-                    # What is left over, and a window's worth before it for the last one.
-                    done = (len(ids) - 1) // span * span
-                    stream, ready, back = [ids[done:]], 0, ids[done - span : done]
+                n_words = np.diff(edge) + 1
+                u, words = np.unique(np.insert(h, edge[1:], np.uint64(END_WORD)), return_inverse=True)
+                c = np.bincount(words[: n_words[:known].sum()], minlength=len(u))
+                keys.append(u[c > 0])
+                counts.append(c[c > 0])
+                waiting += len(keys[-1])
+
+                ids = bpe.encode(some)
+                n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
+                ids = np.concatenate([x for t in ids for x in (t, [END_ID])]).astype("<u2")
+                cut = n_ids[:known].sum()
+                seen += np.bincount(ids[:cut], minlength=len(seen))
+                stream = np.concatenate((left, ids[:cut]))
+                done = (len(stream) - 1) // span * span
+                data = stream[: done + 1] if done else stream[:0]
+                skip = min(len(left), len(data))
+                rest = ids[len(data) - skip :]
+                tail = np.concatenate((tail, ids[:cut][-span - 1 :]))[-span - 1 :]
+                left = stream[done:]
+                yield rows(
+                    range=[None],
+                    data=[data.tobytes()],
+                    keys=pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.take(pa.array(order))),
+                    known=[known],
+                    skip=[skip],
+                    rest=[rest.tobytes()],
+                    n_ids=[n_ids.astype("<i4").tobytes()],
+                    words=[words.astype("<u2" if len(u) <= 1 << 16 else "<u4").tobytes()],
+                    n_words=[n_words.astype("<i4").tobytes()],
+                    distinct=[u.astype("<u8").tobytes()],
+                )
                 if waiting > FLUSH_WORDS:
-                    yield words()
+                    yield counted()
                     keys, counts, waiting = [], [], 0
-        if keys:
-            yield words()
+        if waiting:
+            yield counted()
         if seen.any():
-            yield rows([IDS], [zlib.compress(seen.astype("<i8").tobytes(), 1)])
-        ids = np.concatenate(stream)
-        if len(ids) > span:
-            yield windows(ids)
-            done = (len(ids) - 1) // span * span
-            ids, back = ids[done:], ids[done - span : done]
-        if len(ids) > 1:
-            yield last(np.concatenate((back, ids)))
+            yield rows(range=[IDS], data=[zlib.compress(seen.astype("<i8").tobytes(), 1)])
+        if len(left) > 1:
+            before = np.full(max(span + 1 - len(tail), 0), END_ID, "<u2")
+            yield rows(range=[None], data=[np.concatenate((before, tail)).tobytes()])
 
-    return df.select(key, text).mapInArrow(run, "range int, task int, data binary")
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def _counts_of(blob):
@@ -159,7 +193,7 @@ def word_counts(gathered):
         )
 
     schema = "range int, data binary, distinct long, total long, classes array<int>, members array<long>"
-    return materialise(gathered.filter(F.col("range") != IDS).groupBy("range").applyInPandas(merge, schema), "words")
+    return materialise(gathered.filter(F.col("range") != IDS).select("range", "data").groupBy("range").applyInPandas(merge, schema), "words")
 
 
 def size_class(c):
@@ -193,7 +227,11 @@ def heavy_words(words, most=HEAVY):
 
 
 def _windows_of(blob):
-    return np.frombuffer(blob, "<u2").reshape(-1, attention.SPAN + 1).astype(np.int64)
+    """Windows of a part of a stream, each with the first id of the next as its last."""
+    ids = np.frombuffer(blob, "<u2")
+    n = max(len(ids) - 1, 0) // attention.SPAN
+    at = np.arange(n)[:, None] * attention.SPAN + np.arange(attention.SPAN + 1)[None, :]
+    return ids[at].astype(np.int64)
 
 
 def trained(gathered, size, rates=RATES):
@@ -254,7 +292,7 @@ def scored(df, vocab, key="doc_id", text="text", fold=(10, 0), heavy=HEAVY, rate
     least = np.log10(total + 0.1 * (distinct + 1))
 
     def run(batches):
-        bpe, task = wordbpe.load(vocab), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         top, top_count, weights, vocabulary = sent.value
         top_log = np.log10(top_count + 0.1) - least
         model, number = attention.Scorer(weights, vocabulary), 0
@@ -281,44 +319,40 @@ def scored(df, vocab, key="doc_id", text="text", fold=(10, 0), heavy=HEAVY, rate
         shape = None
         for batch in batches:
             if shape is None:
-                kinds = [pa.int32(), pa.int32(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
+                kinds = [pa.int32(), pa.int32(), batch.schema.field(0).type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
                 shape = pa.schema(list(zip(names, kinds)))
-            held = [zlib.crc32(str(k).encode() if k is not None else b"") % fold[0] == fold[1] for k in batch.column(0).to_pylist()]
-            n_tokens, n_known, base, score = [], [], [], []
-            for some in in_chunks([lowered(t) for t in texts_of(batch.column(1))]):
-                h, edge = word_hashes(some)
-                size = np.diff(edge)
-                h = np.insert(h, edge[1:], np.uint64(END_WORD))
-                size, owner = size + 1, np.repeat(np.arange(len(some)), size + 1)
-                u, back = np.unique(h, return_inverse=True)
+            for row in range(batch.num_rows):
+                parts = [c[row].as_buffer() for c in batch.columns[3:]]
+                data, rest, n_ids, words, n_words, u = (np.frombuffer(x, t) for x, t in zip(parts, ("<u2", "<u2", "<i4", np.uint8, "<i4", "<u8")))
+                size = n_words.astype(np.int64)
+                words = words.view("<u2" if len(words) == 2 * size.sum() else "<u4")
+                owner = np.repeat(np.arange(len(size)), size)
                 at = np.minimum(np.searchsorted(top, u), max(len(top) - 1, 0))
                 found = top[at] == u if len(top) else np.zeros(len(u), bool)
                 value = np.where(found, top_log[at], 0) if len(top) else np.zeros(len(u))
-                base.append(np.bincount(owner, value[back], len(some)))
-                n_known.append(np.bincount(owner, found[back], len(some)))
-                n_tokens.append(size)
-                seldom = np.flatnonzero(~found[back])
-                pair, many = np.unique(owner[seldom] * len(u) + back[seldom], return_counts=True)
+                seldom = np.flatnonzero(~found[words])
+                pair, many = np.unique(owner[seldom] * len(u) + words[seldom], return_counts=True)
                 rare.append((number + pair // len(u), u[pair % len(u)], many))
-                number += len(some)
-                score.append(model(bpe.encode(some)) / LN10)
-            if not base:
-                continue
-            rows = batch.num_rows
-            none = pa.nulls(rows)
-            columns = [
-                pa.array(np.full(rows, task, np.int32)),
-                pa.array(np.arange(number - rows, number, dtype=np.int32)),
-                batch.column(0),
-                pa.array(held, pa.bool_()),
-                *(pa.array(np.concatenate(x).astype(t)) for x, t in ((n_tokens, "i8"), (n_known, "i8"), (base, "f8"), (score, "f8"))),
-                none.cast(pa.int32()),
-                none.cast(pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=shape)
-            if sum(len(x[0]) for x in rare) > FLUSH_WORDS // 4:
-                yield flush()
-                rare = []
+                score = model.sums(np.concatenate((data[batch.column(2)[row].as_py() :], rest)), n_ids.astype(np.int64)) / LN10
+                rows = len(size)
+                none = pa.nulls(rows)
+                columns = [
+                    pa.array(np.full(rows, task, np.int32)),
+                    pa.array(np.arange(number, number + rows, dtype=np.int32)),
+                    batch.column(0)[row].values,
+                    pa.array(np.arange(rows) >= batch.column(1)[row].as_py()),
+                    pa.array(size),
+                    pa.array(np.bincount(owner, found[words], rows).astype(np.int64)),
+                    pa.array(np.bincount(owner, value[words], rows)),
+                    pa.array(score.astype(np.float64)),
+                    none.cast(pa.int32()),
+                    none.cast(pa.binary()),
+                ]
+                number += rows
+                yield pa.RecordBatch.from_arrays(columns, schema=shape)
+                if sum(len(x[0]) for x in rare) > FLUSH_WORDS // 4:
+                    yield flush()
+                    rare = []
         if rare:
             yield flush()
 
@@ -334,7 +368,8 @@ def scored(df, vocab, key="doc_id", text="text", fold=(10, 0), heavy=HEAVY, rate
     ]
     schema = T.StructType([*fields, T.StructField("range", T.IntegerType()), T.StructField("data", T.BinaryType())])
     names = schema.names
-    out = materialise(rows.mapInArrow(run, schema), "scored")
+    kept = gathered.filter("keys is not null").select("keys", "known", "skip", "data", "rest", "n_ids", "words", "n_words", "distinct")
+    out = materialise(kept.mapInArrow(run, schema), "scored")
     docs, rest = out.filter("range is null").select(*names[:8]), out.filter("range is not null")
 
     def look_up(frame):

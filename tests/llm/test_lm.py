@@ -139,3 +139,73 @@ def test_a_pass_takes_all_blocks():
     assert sum(map(len, attention.in_parts(blocks, most=50))) == 147
     assert attention.train(weights, iter(blocks), 0.01)[1] == 147
     assert attention.train(weights, iter([]), 0.01)[1] == 0
+
+
+class Caught:
+    """Stands for a data frame; gives back the function that tasks would run."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def gathered(batch, vocab, monkeypatch):
+    from pyspark.sql import types as T
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(lm, "TaskContext", Task)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("text", T.StringType())])
+    return lm.gather(Caught(schema), vocab, 16)(iter([batch]))
+
+
+def test_memory_of_a_task_does_not_follow_its_batches(vocab, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    for _ in gathered(pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a"])], names=["key", "text"]), vocab, monkeypatch):
+        pass  # loads the vocabulary
+    text, peak = "the cat sat on a mat and went to sleep again " * 100, []
+    for n in (1000, 5000):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n)], names=["key", "text"])
+        tracemalloc.start()
+        for _ in gathered(batch, vocab, monkeypatch):
+            pass
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] - peak[0] < len(text) * 1000
+
+
+def test_kept_rows_hold_all_ids_and_words(vocab, monkeypatch):
+    import pyarrow as pa
+
+    from parley.llm import wordbpe
+    from parley.llm.shingles import word_hashes
+
+    monkeypatch.setattr(lm.text_chunks, "__defaults__", (60,))
+    rng = random.Random(4)
+    texts = [rng.choice([None, "", "a", "The cat sat", "x y " * rng.randrange(30), "d'été 日本 <b>"]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["key", "text"])
+    bpe, got = wordbpe.load(vocab), {}
+    for out in gathered(batch, vocab, monkeypatch):
+        for r in out.to_pylist():
+            if r["keys"] is None:
+                continue
+            ids = np.frombuffer(r["data"], "<u2")[r["skip"] :].tolist() + np.frombuffer(r["rest"], "<u2").tolist()
+            u, n_words = np.frombuffer(r["distinct"], "<u8"), np.frombuffer(r["n_words"], "<i4")
+            words = u[np.frombuffer(r["words"], "<u2")].tolist()
+            for place, (k, n, m) in enumerate(zip(r["keys"], np.frombuffer(r["n_ids"], "<i4"), n_words)):
+                assert (place >= r["known"]) == (zlib.crc32(str(k).encode()) % 10 == 0)
+                got[k], ids, words = (ids[:n], words[:m]), ids[n:], words[m:]
+            assert not ids and not words
+    for k, t in enumerate(texts):
+        t = lm.lowered((t or "").encode())
+        assert got[k] == ([*bpe.encode([t])[0].tolist(), lm.END_ID], [*word_hashes([t])[0].tolist(), lm.END_WORD])
