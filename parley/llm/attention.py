@@ -104,7 +104,7 @@ def _log_sums(s, bound):
 
 
 class Room:
-    """Arrays that are used again by each step; fresh ones of this size would cost page faults."""
+    """Arrays that are used again, by each step and within it; fresh ones of this size would cost page faults."""
 
     def __init__(self):
         self.held = {}
@@ -185,12 +185,11 @@ class Scorer:
         z = z[..., :DIM] / z[..., DIM:]
         z += w["emb"][own]
         want = np.flatnonzero(target >= 0)
-        z = z.reshape(-1, DIM)[want]
-        ids = target[want]
-        number = self.v.number[ids]
-        cluster = number // SIZE
+        cluster = self.v.number[target[want]] // SIZE
         order = np.argsort(cluster.astype(np.int8), kind="stable")
-        z, number, cluster = z[order], number[order], cluster[order]
+        want, cluster = want[order], cluster[order]
+        ids = target[want]
+        z, number = z.reshape(-1, DIM)[want], self.v.number[ids]
         a = z @ w["w1"]
         a += w["b1"]
         np.maximum(a, 0, out=a)
@@ -198,7 +197,7 @@ class Scorer:
         longest = float(np.sqrt(np.einsum("ij,ij->i", h, h).max())) if len(h) else 0.0
         top = h @ w["top"]
         top += w["top0"]
-        value = top[np.arange(len(want)), cluster] + self.v.log_share[ids[order]]
+        value = top[np.arange(len(want)), cluster] + self.v.log_share[ids]
         value -= _log_sums(top, longest * self.top_norm + self.top_bias)
         edge = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
         named = edge[CLUSTERS]
@@ -211,7 +210,7 @@ class Scorer:
         value[:named] += inside.ravel()[np.arange(named) * SIZE + number[:named] % SIZE]
         value[:named] -= _log_sums(inside, longest * self.in_norm + self.in_bias)
         out = np.zeros(len(target), F32)
-        out[want[order]] = value
+        out[want] = value
         return out
 
 
@@ -265,10 +264,9 @@ def gradients(w, x, y, room=None):
     p = np.matmul(q, turned[:, :DIM], out=new("p", n, span, span))
     # Later inputs get no share; each row keeps its own input, so no sum is 0.
     distance, later = _mask(span, span)
-    norm = lambda a: np.sqrt(np.einsum("ij,ij->i", a, a).max())
-    wide = norm(table[:, DIM : 2 * DIM]) * norm(table[:, 2 * DIM : 3 * DIM]) + np.abs(w["near"]).max()
+    far = max(p.max(), -p.min()) + np.abs(w["near"]).max()
     p += np.where(later, kind.type(-1e9), w["near"][distance])
-    if not wide < SAFE:
+    if not far < SAFE:
         p -= p.max(-1, keepdims=True)
     np.exp(p, out=p)
     mixed = np.matmul(p, v1, out=new("mixed", n, span, DIM + 1))
@@ -288,7 +286,7 @@ def gradients(w, x, y, room=None):
     h[:, :DIM] += z[:, :DIM]
 
     g = {}
-    t = _shares(np.matmul(h, np.concatenate((w["top"], w["top0"][None])), out=new("t", many, CLUSTERS + 1)))
+    t = _shares(np.matmul(h, np.concatenate((w["top"], w["top0"][None])), out=new("wide", many, CLUSTERS + 1)))
     at = rows * (CLUSTERS + 1) + cluster
     loss = -np.log(t.ravel()[at] + kind.type(1e-30)).sum()
     t.ravel()[at] -= 1
@@ -298,7 +296,7 @@ def gradients(w, x, y, room=None):
     inside = np.concatenate((w["in"], w["in0"][:, None]), 1)
     back = np.ascontiguousarray(w["in"].transpose(0, 2, 1))
     parts = [(c, edge[c], edge[c + 1]) for c in range(CLUSTERS) if edge[c] < edge[c + 1]]
-    t = new("inside", named, SIZE)
+    t = new("wide", named, SIZE)
     for c, lo, hi in parts:
         np.matmul(h[lo:hi], inside[c], out=t[lo:hi])
     _shares(t)
@@ -313,18 +311,18 @@ def gradients(w, x, y, room=None):
     dh[:named] += more[:named]
 
     g["w2"] = r.T @ dh
-    dr = np.matmul(dh, w["w2"].T, out=new("dr", many, HIDDEN))
+    dr = np.matmul(dh, w["w2"].T, out=new("wide", many, HIDDEN))
     dr *= np.greater(r, 0, out=room("active", r.shape, bool))
     add = z.T @ dr
     g["w1"], g["b1"] = add[:-1], add[-1]
     dh += np.matmul(dr, w["w1"].T, out=more)
 
-    de, dqkv = new("de", many, DIM), new("dqkv", n, span, 3 * DIM)
+    de, dqkv = new("z", many, DIM), new("r", n, span, 3 * DIM)
     de[order] = dh
-    dz = new("dz", n, span, DIM + 1)
+    dz = new("h", n, span, DIM + 1)
     np.multiply(de.reshape(n, span, DIM), part, out=dz[..., :DIM])
     np.negative(np.einsum("nij,nij->ni", dz[..., :DIM], mixed), out=dz[..., DIM])
-    ds = np.matmul(dz, turned[:, DIM:], out=new("ds", n, span, span))
+    ds = np.matmul(dz, turned[:, DIM:], out=new("wide", n, span, span))
     ds *= p
     g["near"] = np.bincount(distance.ravel(), np.where(later, 0, ds.sum(0)).ravel(), SPAN).astype(kind)
     np.matmul(ds, k, out=dqkv[..., :DIM])

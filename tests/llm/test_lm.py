@@ -209,3 +209,23 @@ def test_kept_rows_hold_all_ids_and_words(vocab, monkeypatch):
     for k, t in enumerate(texts):
         t = lm.lowered((t or "").encode())
         assert got[k] == ([*bpe.encode([t])[0].tolist(), lm.END_ID], [*word_hashes([t])[0].tolist(), lm.END_WORD])
+
+
+def test_arrays_used_again_hold_nothing_of_the_step_before():
+    weights, vocabulary = small()
+    room = attention.Room()
+    for n in (40, 3, 17, 60):
+        some = numbers(n, attention.SPAN + 1, vocabulary)
+        got, want = (attention.gradients(weights, some[:, :-1], some[:, 1:], r) for r in (room, None))
+        assert got[0] == want[0]
+        assert all((got[1][k] == want[1][k]).all() for k in weights)
+
+
+def test_gradients_of_extreme_weights():
+    weights, vocabulary = small()
+    large = {k: v * np.float32(6) for k, v in weights.items()}
+    some = numbers(5, attention.SPAN + 1, vocabulary)
+    _, grad = attention.gradients(large, some[:, :-1], some[:, 1:])
+    _, exact = attention.gradients({k: v.astype(np.float64) for k, v in large.items()}, some[:, :-1], some[:, 1:])
+    most = max(np.abs(v).max() for v in exact.values())
+    assert max(np.abs(grad[k] - exact[k]).max() for k in weights) < 1e-4 * most
